@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, sharding
+from . import bpe, packing, quality_rules, secrets, sharding
 
 SHARD_NAMES = [f"shard-{i:02d}" for i in range(sharding.SHARDS)]
 
@@ -30,6 +30,41 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, "doc_id", SHARD_NAMES).select("doc_id", "slot", "shard", "text_chars")
 
 
+def tokenizer_path() -> str:
+    """The place of the vocabulary; every executor has it installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    coded = _table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), path).alias("ids"))
+    back = coded.withColumn("decoded", bpe.decode(F.col("ids"), path))
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
+def _listed(spans: str) -> str:
+    return f"array_join(transform({spans}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _table(spark, sf_dir, "documents").select("doc_id", secrets.scan(F.col("text")).alias("found"))
+    of = lambda kind: F.expr(f"cast(size(filter(found, s -> s.kind = '{kind}')) AS bigint)")
+    base = "filter(found, s -> s.kind IN ({}))".format(", ".join(f"'{k}'" for k in secrets.BASE_KINDS))
+    return found.select(
+        "doc_id",
+        *[of(k).alias(f"n_{k}") for k in secrets.BASE_KINDS],
+        F.sha2(F.expr(_listed(base)), 256).alias("base_sha256"),
+        F.expr(_listed("found")).alias("spans"),
+    )
+
+
 OP1_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
 w AS (
@@ -84,6 +119,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_sharding": op3_sharding,
+        "op6_bpe": op6_bpe,
+        "op8_secret_scan": op8_secret_scan,
     }
 
 
