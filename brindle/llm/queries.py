@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality_rules, secrets, sharding
+from . import bpe, classifier, html, packing, quality_rules, secrets, sharding
 
 SHARD_NAMES = [f"shard-{i:02d}" for i in range(sharding.SHARDS)]
 
@@ -65,6 +65,16 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classifier.classify(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _table(spark, sf_dir, "pages").select("page_id", "url", html.extract(F.col("html")).alias("text"))
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 OP1_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
 w AS (
@@ -121,6 +131,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": op3_sharding,
         "op6_bpe": op6_bpe,
         "op8_secret_scan": op8_secret_scan,
+        "op9_quality_classifier": op9_quality_classifier,
+        "op10_html_extraction": op10_html_extraction,
     }
 
 
