@@ -14,10 +14,10 @@ tokens; repeated rows and further columns pass through.
 
 from __future__ import annotations
 
-import gc
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
 #: Words that a worker's cache holds at most; then it starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 NO_PAIR = 1 << 30
 #: Symbols of a word that is merged beside others; characters of text that are looked through at a time.
 ROW_SYMBOLS, TEXT_BLOCK = 65, 1 << 21
@@ -95,15 +95,14 @@ class Vocabulary:
         self.letters = dict(enumerate(byte_letters()))
         self.pieces = regex.compile(PIECE)
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.first = [self.ids.get(x, -1) for x in byte_letters()]
-        self.last = [self.ids.get(x + self.suffix, -1) for x in byte_letters()]
+        self.first = np.array([self.ids.get(x, -1) for x in byte_letters()], np.int64)
+        self.last = np.array([self.ids.get(x + self.suffix, -1) for x in byte_letters()], np.int64)
         keys = np.array([a << 20 | b for a, b in self.merges], np.int64)
         order = np.argsort(keys)
         self.pair_keys = keys[order]
         self.pair_ranks = np.array([r for r, _ in self.merges.values()], np.int64)[order]
         self.merged = np.array([new for _, new in sorted(self.merges.values())], np.int64)
-        self.words: dict[str, list[int]] = {}  # ids by white-space-free chunk
-        self.known: dict[str, list[int]] = {}  # ids by piece
+        self.words: dict[str, bytes] = {}  # packed ids by white-space-free chunk and by piece
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one piece, by merging the leftmost lowest-ranked pair until none is left."""
@@ -135,31 +134,36 @@ class Vocabulary:
             if (h := before[i]) >= 0:
                 update(h, get((ids[h], merged), none)[0])
 
-    def merge_many(self, pieces: list[str]) -> list[list[int]]:
-        """merge() of many pieces at once; trees of the same size stand side by side in an array."""
-        out: list[list[int]] = [[]] * len(pieces)
-        classes: dict[int, list[tuple[int, list[int]]]] = {}
-        first, last = self.first, self.last
-        for at, piece in enumerate(pieces):
-            raw = piece.encode("utf-8")
-            ids = [first[b] for b in raw[:-1]] + [last[raw[-1]]]
-            if len(ids) > ROW_SYMBOLS or -1 in ids:
-                out[at] = self.merge(piece)
-            elif len(ids) < 2:
-                out[at] = ids
-            else:
-                classes.setdefault(1 << (len(ids) - 2).bit_length(), []).append((at, ids))
-        for size, rows in classes.items():
-            flat = np.full((len(rows), size + 1), -1, np.int64)
-            lengths = np.array([len(ids) for _, ids in rows])
-            flat[np.arange(size + 1) < lengths[:, None]] = np.fromiter(chain.from_iterable(ids for _, ids in rows), np.int64, lengths.sum())
-            merged = self._merge_rows(flat, size)
+    def merge_many(self, pieces: list[str]) -> list[bytes]:
+        """merge() of many pieces at once, as packed ids; trees of the same size stand side by side in an array."""
+        out = [b""] * len(pieces)
+        raws = [p.encode("utf-8") for p in pieces]
+        lengths = np.fromiter(map(len, raws), np.int64, len(raws))
+        data = np.frombuffer(b"".join(raws), np.uint8)
+        stops = np.cumsum(lengths)
+        starts = stops - lengths
+        ids = self.first[data]
+        ids[stops - 1] = self.last[data[stops - 1]]
+        alone = lengths > ROW_SYMBOLS
+        if (ids < 0).any():
+            alone |= np.minimum.reduceat(ids, starts) < 0
+        for at in np.flatnonzero(alone).tolist():
+            out[at] = np.array(self.merge(pieces[at]), np.int32).tobytes()
+        sizes = np.where(lengths < 2, 0, 1 << np.ceil(np.log2(np.maximum(lengths - 1, 1))).astype(np.int64))
+        for size in np.unique(sizes[~alone]).tolist():
+            rows = np.flatnonzero((sizes == size) & ~alone)
+            spots = np.arange(size + 1)
+            held = spots < lengths[rows, None]
+            flat = np.full(held.shape, -1, np.int64)
+            flat[held] = ids[(starts[rows, None] + spots)[held]]
+            merged = self._merge_rows(flat, size) if size else flat
             left = merged >= 0
-            flat_ids, stops = merged[left].tolist(), np.cumsum(left.sum(axis=1)).tolist()
-            start = 0
-            for (at, _), stop in zip(rows, stops, strict=True):
-                out[at] = flat_ids[start:stop]
-                start = stop
+            packed = merged[left].astype(np.int32).tobytes()
+            ends = (np.cumsum(left.sum(axis=1)) * 4).tolist()
+            begin = 0
+            for at, end in zip(rows.tolist(), ends, strict=True):
+                out[at] = packed[begin:end]
+                begin = end
         return out
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -205,24 +209,29 @@ class Vocabulary:
         return ids
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_batch([text])[0]
-
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text; blocks of texts look up their unknown words together."""
-        out: list[list[int]] = []
-        block: list[list[list[str] | int]] = []
-        held = 0
-        gc.disable()  # the many small lists hold no cycles
+        return np.frombuffer(self.encode_batch([text])[0], np.int32).tolist()
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Packed ids (int32) of each text; unknown words are looked up together."""
+        block = []
         for text in texts:
             parts = self.split_special.split(text) if self.split_special and "<|" in text else [text]
             block.append([self.special[p] if p in self.special else self._chunks(p) for p in parts])
-            held += len(text)
-            if held >= TEXT_BLOCK:
-                out += self._encode_block(block)
-                block, held = [], 0
-        out += self._encode_block(block)
-        gc.enable()
-        return out
+        words = self.words
+        lists = [p for parts in block for p in parts if not isinstance(p, int)]
+        distinct = set(chain.from_iterable(lists))
+        unseen = distinct.difference(words)
+        if len(words) + len(unseen) > CACHE_WORDS:
+            words.clear()
+            unseen = distinct
+        split = {c: self.pieces.findall(c) for c in unseen if not c.isalpha()}
+        fresh = [c for c in unseen if c.isalpha()]
+        fresh += list(set(chain.from_iterable(split.values())).difference(words, fresh))
+        words.update(zip(fresh, self.merge_many(fresh), strict=True))
+        get = words.__getitem__
+        for c, pieces in split.items():
+            words[c] = b"".join(map(get, pieces))
+        return [b"".join([np.int32(p).tobytes() if isinstance(p, int) else b"".join(map(get, p)) for p in parts]) for parts in block]
 
     @staticmethod
     def _chunks(text: str) -> list[str]:
@@ -230,34 +239,12 @@ class Vocabulary:
         low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return list(filter(None, _spaces().split(low))) if _separators().search(low) else low.split()
 
-    def _encode_block(self, block: list[list[list[str] | int]]) -> list[list[int]]:
-        words, known = self.words, self.known
-        lists = [p for parts in block for p in parts if not isinstance(p, int)]
-        unseen = {c for c in set(chain.from_iterable(lists)) if c not in words}
-        if len(words) + len(unseen) > CACHE_WORDS:
-            words.clear()
-            unseen = set(chain.from_iterable(lists))
-        split = {c: [c] if c.isalpha() else self.pieces.findall(c) for c in unseen}
-        fresh = list({p for ps in split.values() for p in ps if p not in known})
-        if len(known) + len(fresh) > CACHE_WORDS:
-            known.clear()
-            fresh = list({p for ps in split.values() for p in ps})
-        known.update(zip(fresh, self.merge_many(fresh), strict=True))
-        for c, ps in split.items():
-            words[c] = known[ps[0]] if len(ps) == 1 else list(chain.from_iterable(known[p] for p in ps))
-        get = words.__getitem__
-        out = []
-        for parts in block:
-            ids: list[int] = []
-            for p in parts:
-                ids.extend([p] if isinstance(p, int) else chain.from_iterable(map(get, p)))
-            out.append(ids)
-        return out
-
     def decode(self, ids: list[int]) -> str:
         """The tokens' strings, joined by spaces; unknown ids are left out."""
-        names = self.names
-        return " ".join([names[i] for i in ids if i in names])
+        try:
+            return " ".join(map(self.names.__getitem__, ids))
+        except KeyError:
+            return " ".join([self.names[i] for i in ids if i in self.names])
 
 
 @lru_cache(1)
@@ -276,11 +263,18 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _int_lists(rows: list[list[int]]) -> pa.Array:
-    offsets = [0]
-    for r in rows:
-        offsets.append(offsets[-1] + len(r))
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(chain.from_iterable(rows), pa.int32(), size=offsets[-1]))
+def _blocks(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts in runs of about TEXT_BLOCK bytes, so that a worker holds little besides its cache."""
+    run: list[str] = []
+    held = 0
+    for t in texts:
+        run.append(t.as_py() or "")
+        held += len(run[-1])
+        if held >= TEXT_BLOCK:
+            yield run
+            run, held = [], 0
+    if run:
+        yield run
 
 
 def encode(text: Column, path: str) -> Column:
@@ -288,7 +282,13 @@ def encode(text: Column, path: str) -> Column:
 
     def run(texts: pa.Array) -> pa.Array:
         v = vocabulary(path)
-        return _int_lists(v.encode_batch([t or "" for t in texts.to_pylist()]))
+        made = []
+        for block in _blocks(texts):
+            rows = v.encode_batch(block)
+            values = np.frombuffer(b"".join(rows), np.int32)
+            stops = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
+            made.append(pa.ListArray.from_arrays(pa.array(stops), pa.array(values)))
+        return pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.int32()))
 
     return F.arrow_udf(run, "array<int>")(text)
 
@@ -298,6 +298,7 @@ def decode(ids: Column, path: str) -> Column:
 
     def run(lists: pa.Array) -> pa.Array:
         v = vocabulary(path)
-        return pa.array([None if x is None else v.decode(x) for x in lists.to_pylist()], pa.string())
+        rows = (v.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in lists)
+        return pa.array(rows, pa.string(), size=len(lists))
 
     return F.arrow_udf(run, "string")(ids)
