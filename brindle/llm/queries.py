@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, html, packing, quality_rules, secrets, sharding
+from . import bpe, classifier, html, packing, pivots, quality_rules, secrets, sharding, suffix
 
 SHARD_NAMES = [f"shard-{i:02d}" for i in range(sharding.SHARDS)]
 
@@ -30,6 +30,15 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, "doc_id", SHARD_NAMES).select("doc_id", "slot", "shard", "text_chars")
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.find_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
 def tokenizer_path() -> str:
     """The place of the vocabulary; every executor has it installed."""
     import public_tokenizers
@@ -129,6 +138,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_sharding": op3_sharding,
+        "op4_embedding_near_dedup": op4_embedding_near_dedup,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_bpe": op6_bpe,
         "op8_secret_scan": op8_secret_scan,
         "op9_quality_classifier": op9_quality_classifier,
