@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, html, packing, pivots, quality_rules, secrets, sharding, suffix
+from . import bpe, classifier, html, jaccard, packing, pivots, quality_rules, secrets, sharding, suffix
 
 SHARD_NAMES = [f"shard-{i:02d}" for i in range(sharding.SHARDS)]
 
@@ -62,6 +62,10 @@ def _listed(spans: str) -> str:
     return f"array_join(transform({spans}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _table(spark, sf_dir, "documents").select("doc_id", secrets.scan(F.col("text")).alias("found"))
     of = lambda kind: F.expr(f"cast(size(filter(found, s -> s.kind = '{kind}')) AS bigint)")
@@ -141,6 +145,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_embedding_near_dedup": op4_embedding_near_dedup,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_bpe": op6_bpe,
+        "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_secret_scan": op8_secret_scan,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_html_extraction": op10_html_extraction,
