@@ -13,7 +13,7 @@ earlier place of the same one. Strings never cross documents and are judged on t
    mergesort, with comparisons through the longest common extension, found by binary search over prefix polynomial
    hashes. All neighbours in the order are then compared byte by byte; a collision sends the strings of the task to a
    plain sort. Of equal strings the first in place stays. Anchors with over HOT distinct segments (a common phrase in
-   many contexts) are split: their strings are grouped whole, by Spark's partial aggregation.
+   many contexts) are split: their strings are grouped by two independent hashes (128 bits), by partial aggregation.
 
 Defined results: a null text is empty; a row without an id is compared with nothing and keeps all; rows that repeat an
 id and a text are one document and get the same result; texts that share an id aren't earlier than one another at the
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 LENGTH, K = 100, 24
-HOT, BUCKET_SEGMENTS, BLOCK = 256, 10_000, 1 << 20
+HOT, BUCKET_SEGMENTS, BLOCK = 128, 10_000, 1 << 20
 
 _U = np.uint64
 _SPANS = "array<struct<start:int,end:int>>"
@@ -417,11 +417,12 @@ def find_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
 
     marks = docs.filter("doc_id IS NOT NULL").select("text_key", "data").mapInArrow(_anchor_rows(length), "mark bigint, text_key bigint")
     # Both marks of a hash meet in a partition: the lowest bit takes no part in the dealing.
-    dealt = marks.withColumn("h", F.shiftright("mark", 1)).repartition("h").sortWithinPartitions("h", "text_key").select("mark", "text_key")
+    dealt = marks.repartition(F.shiftright("mark", 1)).sortWithinPartitions(F.shiftright("mark", 1), "text_key")
     repeated = scratch.table(dealt.mapInArrow(_repeated, "hash bigint, text_key bigint"), "repeated")
     held = repeated.groupBy("text_key").agg(F.collect_list("hash").alias("hashes")).join(firsts_of, "text_key").select(F.col("first_id").alias("doc_id"), "text_key", "hashes")
     fetched = docs.join(held, ["doc_id", "text_key"])
     texts = scratch.table(fetched.select("doc_id", "text_key", "data", "hashes").mapInArrow(_windows(length), "doc_id bigint, text_key bigint, data binary, cuts binary"), "cut")
+    scratch.drop("repeated")
 
     # The place (id, start) as one number, which partial aggregation keeps in order.
     place = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("start").cast("decimal(11,0)")
@@ -435,8 +436,10 @@ def find_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
     buckets = max(1, -(-distinct.count() // BUCKET_SEGMENTS))
     cool = flagged.filter("hot IS NULL").select("hash", "data", *unpacked, F.pmod(F.xxhash64("hash"), F.lit(buckets)).alias("bucket"))
     firsts = cool.groupBy("bucket").applyInPandas(_firsts(length), "doc_id bigint, start bigint, n bigint")
-    strings = flagged.filter("hot").select(F.posexplode(F.expr(f"transform(sequence(0, octet_length(data) - {length}), i -> substring(data, i + 1, {length}))")).alias("i", "string"), "place")
-    hot_firsts = strings.groupBy("string").agg(F.min(F.col("place") + F.col("i")).cast("decimal(38,0)").alias("place")).select(*unpacked, F.lit(1).cast("bigint").alias("n"))
+    string = lambda i: F.substring("data", i + 1, F.lit(length))
+    hashed = F.transform(F.sequence(F.lit(0), F.octet_length("data") - length), lambda i: F.struct(F.xxhash64(string(i)).alias("h1"), F.xxhash64(F.lit(1), string(i)).alias("h2")))
+    strings = flagged.filter("hot").select(F.posexplode(hashed).alias("i", "h"), "place")
+    hot_firsts = strings.groupBy("h.h1", "h.h2").agg(F.min(F.col("place") + F.col("i")).cast("decimal(38,0)").alias("place")).select(*unpacked, F.lit(1).cast("bigint").alias("n"))
     by_text = firsts.unionAll(hot_firsts).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("firsts"))
     removed = texts.join(by_text, "doc_id", "left").select("doc_id", "text_key", "data", "cuts", "firsts").mapInArrow(
         _remove(length), f"doc_id bigint, text_key bigint, spans {_SPANS}, n_removed bigint, kept_sha256 string"
