@@ -9,7 +9,9 @@ Texts are sets of hashes (64 bits) of their n-grams of words; texts with equal s
    class and in the one below. One shuffle of the parts' hashes, read in order as a stream, links sets that meet. No link is
    lost, and short parts of a frequent passage rarely meet by themselves.
 2. Candidate groups are the components of these links. Large ones are split by size class, then into blocks of
-   BLOCK sets by hash of the id, and the blocks' pairs are tasks of their own, so that no task grows with a group.
+   BLOCK sets by hash of the id, and the blocks' pairs are tasks of their own, so that no task grows with a group. They
+   are first narrowed by the sets' bitmaps alone, a fraction of the sets' size: what the bitmaps' largest possible
+   overlap can't tell apart makes the groups anew, and these are split in the same way if they are still large.
 3. In a task, the sets of a group are the leaves of a signature tree. Nodes hold the union of their sets' bitmaps, their
    range of sizes and the most tokens that shared a bit. A dual traversal leaves out pairs of nodes whose largest
    possible overlap is too small, or whose sets are linked already; what reaches the leaves is compared exactly.
@@ -124,17 +126,29 @@ def signatures(tokens: np.ndarray, edges: np.ndarray, threshold: int = THRESHOLD
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
+def map_bits(class_: int, edges: np.ndarray) -> int:
+    """Bits of the bitmaps of a size class: twice the most tokens, as a power of two, up to 2 ** 15."""
+    return 1 << min(15, max(7, (2 * int(edges[class_ + 1])).bit_length()))
+
+
+def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros(bits // 64, _U)
+    spot = (tokens >> _U(7)) & _U(bits - 1)
+    np.bitwise_or.at(out, (spot >> _U(6)).astype(np.int64), _U(1) << (spot & _U(63)))
+    return out
+
+
+def folded(map_: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap that the set has with fewer bits."""
+    while len(map_) > words:
+        map_ = map_[: len(map_) // 2] | map_[len(map_) // 2 :]
+    return map_
+
+
 class SignatureTree:
     """Sets by size; level 0 holds the sets, each further one nodes of FANOUT nodes below."""
 
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        n = np.array([len(s) for s in sets])
-        flat = np.concatenate(sets)
-        words = bits // 64
-        maps = np.zeros((len(sets), words), _U)
-        row = np.repeat(np.arange(len(sets)), n)
-        spot = (flat >> _U(7)) & _U(bits - 1)
-        np.bitwise_or.at(maps, (row, (spot >> _U(6)).astype(np.int64)), _U(1) << (spot & _U(63)))
+    def __init__(self, maps: np.ndarray, n: np.ndarray):
         excess = n - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
         self.levels = [(maps, n, n, excess)]
         while len(self.levels[-1][0]) > 1:
@@ -155,13 +169,14 @@ class SignatureTree:
         return fits & ((100 + threshold) * overlap >= threshold * (least[:, None] + least_[None, :]))
 
 
-def link(sets: list[np.ndarray], ids: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: int, unions: Unions) -> None:
-    """Joins all similar pairs of sets of ``left`` x ``right`` (positions, each by size) that aren't joined yet."""
-    largest = max(len(s) for s in sets)
-    bits = 1 << int(np.clip(2 * largest - 1, 63, (1 << 15) - 1)).bit_length()
+def link(maps: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: int, unions: Unions, sets: list[np.ndarray] | None = None) -> None:
+    """Joins all similar pairs of sets of ``left`` x ``right`` (positions, each by size) that aren't joined yet.
+
+    Without the sets, pairs that their bitmaps can't tell apart are joined.
+    """
     same = left is right
-    one = SignatureTree([sets[i] for i in left], bits)
-    two = one if same else SignatureTree([sets[i] for i in right], bits)
+    one = SignatureTree(maps[left], n[left])
+    two = one if same else SignatureTree(maps[right], n[right])
     while len(one.levels) < len(two.levels):
         one.levels.append(one.levels[-1])
     while len(two.levels) < len(one.levels):
@@ -189,6 +204,9 @@ def link(sets: list[np.ndarray], ids: np.ndarray, left: np.ndarray, right: np.nd
             u, v = int(left[p]), int(right[q])
             if u == v or roots_a[p] == roots_b[q] or unions.find(u) == unions.find(v):
                 continue
+            if sets is None:
+                unions.join(u, v)
+                continue
             s, t = sets[u], sets[v]
             overlap = len(s) + len(t) - len(np.union1d(s, t))
             if 100 * overlap >= threshold * (len(s) + len(t) - overlap):
@@ -204,16 +222,17 @@ def _light(n_words: int, edges: np.ndarray, threshold: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sizes = [], []
+            keys, sizes, maps = [], [], []
             for t in _tokens_of(b.column("data")):
                 s = shingles(t, n_words)
                 keys.append(set_key(s))
                 sizes.append(len(s))
+                maps.append(bitmap(s, map_bits(int(np.searchsorted(edges, len(s), "right")) - 1, edges)).astype("<u8").tobytes() if len(s) else b"")
             n = np.array(sizes, np.int64)
             class_ = np.searchsorted(edges, n, "right") - 1
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64()), pa.array(n), pa.array(class_.astype(np.int32))],
-                names=["doc_id", "key1", "key2", "n_shingles", "class"],
+                [b.column("doc_id"), pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64()), pa.array(n), pa.array(class_.astype(np.int32)), pa.array(maps, pa.binary())],
+                names=["doc_id", "key1", "key2", "n_shingles", "class", "map"],
             )
 
     return run
@@ -279,24 +298,32 @@ def _placed(n_words: int):
     return run
 
 
-def _linked(threshold: int):
+def _linked(threshold: int, whole: bool):
+    """Rows (a, b): a set and the smallest one of the task that it is joined with, by whole sets or by bitmaps alone."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["grp", "doc_id"], kind="stable")
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for _, group in rows.groupby("grp", sort=False):
             if len(group) < 2:
                 continue
-            sets = [np.frombuffer(t, "<u8") for t in group.tokens]
             ids, side = group.doc_id.to_numpy(), group.side.to_numpy()
-            unions = Unions(len(sets))
-            by_size = np.array(sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0]))))
+            held = [np.frombuffer(t, "<u8") for t in group.tokens]
+            if whole:
+                n = np.array([len(s) for s in held])
+                bits = 1 << int(np.clip(2 * n.max() - 1, 63, (1 << 15) - 1)).bit_length()
+                maps = np.stack([bitmap(s, bits) for s in held])
+            else:
+                n, words = group.n.to_numpy(), min(len(m) for m in held)
+                maps = np.stack([folded(m, words) for m in held])
+            unions = Unions(len(held))
+            by_size = np.lexsort([maps[:, 0], n])
             sides = np.unique(side)
-            if len(sides) == 1:
-                link(sets, ids, by_size, by_size, threshold, unions)
-            else:  # two blocks; each meets itself in a group of its own
-                link(sets, ids, by_size[side[by_size] == sides[0]], by_size[side[by_size] == sides[1]], threshold, unions)
-            root = np.array([unions.find(i) for i in range(len(sets))])
-            moved = root != np.arange(len(sets))
+            # Two blocks meet each other; each meets itself in a group of its own.
+            left, right = (by_size, by_size) if len(sides) == 1 else (by_size[side[by_size] == s] for s in sides)
+            link(maps, n, left, right, threshold, unions, held if whole else None)
+            root = np.array([unions.find(i) for i in range(len(held))])
+            moved = root != np.arange(len(held))
             a.append(ids[moved])
             b.append(ids[root[moved]])
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
@@ -304,41 +331,63 @@ def _linked(threshold: int):
     return run
 
 
+def _with_groups(edges: DataFrame, scratch: Scratch, name: str, key: str) -> DataFrame:
+    """(key, grp) of every node of the edges."""
+    groups = components(edges, scratch, name)
+    return groups.select(F.col("id").alias(key), F.col("component_id").alias("grp")).unionAll(groups.select(F.col("component_id").alias(key), F.col("component_id").alias("grp")).distinct())
+
+
+def _large(members: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The members, with large set where their group has over BLOCK of them."""
+    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    large = scratch.table(sizes.filter(F.col("n") > BLOCK).select("grp", F.lit(True).alias("large")), name)
+    return members.join(large, "grp", "left")
+
+
+def _split(members: DataFrame) -> DataFrame:
+    """Members by size class and by pair of blocks: rep, key1, a task's group and the side of the pair."""
+    by_class = members.select("rep", "key1", "grp", F.explode(F.array("class", F.col("class") - 1)).alias("g"))
+    blocks = by_class.groupBy("grp", "g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    mine = by_class.join(blocks, ["grp", "g"]).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
+    return mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(
+        "rep", "key1", F.xxhash64("grp", "g", F.least("own", "other"), F.greatest("own", "other")).alias("grp"),
+        (F.col("own") > F.col("other")).cast("int").alias("side"),
+    )
+
+
+def _in_buckets(places: DataFrame, size: int) -> DataFrame:
+    return places.withColumn("bucket", F.pmod(F.xxhash64("grp", F.lit(3)), F.lit(max(1, -(-places.count() // size)))))
+
+
 def similar_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of every row; ``threshold`` in percent."""
     scratch = Scratch(df.sparkSession)
     edges = bounds(1 << 40, threshold)
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("data"))
-    light = scratch.table(docs.mapInArrow(_light(n_words, edges, threshold), "doc_id bigint, key1 bigint, key2 bigint, n_shingles bigint, class int"), "light")
+    light = scratch.table(docs.mapInArrow(_light(n_words, edges, threshold), "doc_id bigint, key1 bigint, key2 bigint, n_shingles bigint, class int, map binary"), "light")
     usable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     classes = scratch.table(light.filter(usable).groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("class").alias("class")), "classes")
 
     sigs = docs.filter("doc_id IS NOT NULL AND data IS NOT NULL").select("data").mapInArrow(_signature_rows(n_words, edges, threshold), "sig bigint, key1 bigint")
     met = sigs.repartition("sig").sortWithinPartitions("sig", "key1").mapInArrow(_meetings, "a bigint, b bigint").distinct()
     met = scratch.table(met, "met")
-    groups = components(met, scratch, "groups")
-    group_of = groups.select(F.col("id").alias("key1"), F.col("component_id").alias("grp")).unionAll(groups.select(F.col("component_id").alias("key1"), F.col("component_id").alias("grp")).distinct())
-    members = scratch.table(classes.join(group_of, "key1").select("rep", "key1", "class", "grp"), "members")
-
-    # Small groups are one task's; large ones go by size class and block.
-    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    large = scratch.table(sizes.filter(F.col("n") > BLOCK).select("grp", F.lit(True).alias("large")), "large")
-    flagged = members.join(large, "grp", "left")
-    small = flagged.filter("large IS NULL").select("rep", "key1", F.xxhash64("grp").alias("grp"), F.lit(0).alias("side"))
-    by_class = flagged.filter("large").select("rep", "key1", "grp", F.explode(F.array("class", F.col("class") - 1)).alias("g"))
-    blocks = by_class.groupBy("grp", "g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    mine = by_class.join(blocks, ["grp", "g"]).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
-    split = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(
-        "rep", "key1", F.xxhash64("grp", "g", F.least("own", "other"), F.greatest("own", "other")).alias("grp"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"),
-    )
-    places = small.unionAll(split)
-    buckets = max(1, -(-places.count() // BUCKET_SETS))
-    places = places.withColumn("bucket", F.pmod(F.xxhash64("grp", F.lit(3)), F.lit(buckets)))
+    members = classes.join(_with_groups(met, scratch, "groups", "key1"), "key1").select("rep", "key1", "n_shingles", "class", "grp")
+    members = _large(scratch.table(members, "members"), scratch, "large")
+    wide = members.filter("large").drop("large")
+    narrowed = _in_buckets(_split(wide), BUCKET_SETS).join(wide.select("rep", "key1", "n_shingles"), ["rep", "key1"])
+    maps = light.select(F.col("doc_id").alias("rep"), "key1", F.col("map").alias("tokens")).join(wide.select("rep", "key1"), ["rep", "key1"], "left_semi").dropDuplicates(["rep", "key1"])
+    mapped = narrowed.join(maps, ["rep", "key1"]).select("bucket", "grp", "side", F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n"), "tokens")
+    possible = scratch.table(mapped.groupBy("bucket").applyInPandas(_linked(threshold, False), "a bigint, b bigint"), "possible")
+    regrouped = wide.drop("grp").join(_with_groups(possible, scratch, "regrouped", "rep"), "rep").select("rep", "key1", "n_shingles", "class", "grp")
+    again = members.filter("large IS NULL").select("rep", "key1", "n_shingles", "class", F.xxhash64("grp", F.lit(0)).alias("grp"))
+    again = again.unionAll(regrouped.withColumn("grp", F.xxhash64("grp", F.lit(1))))
+    again = _large(scratch.table(again, "again"), scratch, "large2")
+    small = again.filter("large IS NULL").select("rep", "key1", "grp", F.lit(0).alias("side"))
+    places = _in_buckets(scratch.table(small.unionAll(_split(again.filter("large"))), "places"), BUCKET_SETS)
     wanted = places.groupBy("rep", "key1").agg(F.collect_list(F.struct("bucket", "grp", "side")).alias("places")).withColumnRenamed("rep", "doc_id")
     fetched = docs.join(wanted, "doc_id").select("doc_id", "key1", "data", "places")
     placed = fetched.mapInArrow(_placed(n_words), "bucket bigint, grp bigint, side int, doc_id bigint, tokens binary")
-    links = scratch.table(placed.groupBy("bucket").applyInPandas(_linked(threshold), "a bigint, b bigint"), "links")
+    links = scratch.table(placed.groupBy("bucket").applyInPandas(_linked(threshold, True), "a bigint, b bigint"), "links")
 
     found = components(links, scratch, "found").withColumnRenamed("id", "rep")
     of_class = classes.join(found, "rep", "left").select("key1", "key2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))

@@ -87,7 +87,9 @@ def test_signature_tree_finds_all_pairs():
     sets_ = [np.unique(np.append(rng.choice(s, len(s) - int(rng.integers(0, 12)), replace=False), rng.integers(0, 1 << 63, int(rng.integers(0, 6))).astype(np.uint64))) for s in base for _ in range(5)]
     by_size = np.array(sorted(range(len(sets_)), key=lambda i: len(sets_[i])))
     got, want = jaccard.Unions(len(sets_)), jaccard.Unions(len(sets_))
-    jaccard.link(sets_, np.arange(len(sets_)), by_size, by_size, 85, got)
+    maps, n = np.stack([jaccard.bitmap(s, 256) for s in sets_]), np.array([len(s) for s in sets_])
+    assert (np.stack([jaccard.folded(jaccard.bitmap(s, 1024), 4) for s in sets_]) == maps).all()
+    jaccard.link(maps, n, by_size, by_size, 85, got, sets_)
     for i in range(len(sets_)):
         for j in range(i):
             if 100 * len(np.intersect1d(sets_[i], sets_[j])) >= 85 * len(np.union1d(sets_[i], sets_[j])):
