@@ -28,7 +28,7 @@ EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 1e-3, 1e-3
 #: Logits are this many times the mean weight of the n-grams of a family.
 SCALE = 20.0
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
-CACHE_WORDS = 200_000
+CACHE_WORDS = 80_000
 
 _MASK = np.uint64((1 << BITS) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -97,9 +97,9 @@ def learn(samples: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
         w = -(zs - np.sign(zs) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
         return np.where(np.abs(zs) <= L1, 0.0, w)
 
-    prepared = [(np.append(s, size - 1), np.append(v, 1.0).astype(np.float64), y) for s, v, y in samples]
     for _ in range(EPOCHS):
-        for at, x, y in prepared:
+        for slots, shares, y in samples:
+            at, x = np.append(slots, size - 1), np.append(shares, np.float64(1.0))
             w = weights(at)
             g = (_logistic(w @ x) - y) * x
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
@@ -127,14 +127,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [features(t) for t in b.column("_text").to_pylist()]
+            made = [features(t.as_py()) for t in b.column("_text")]
             yield pa.RecordBatch.from_arrays(
                 [b.column("_id").cast(pa.string()), b.column("_label"), pa.array([s.tobytes() for s, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary())],
                 names=["id", "label", "slots", "shares"],
             )
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows_ = sorted((crc32(r["id"].encode()), r["id"], r["slots"], r["shares"], r["label"]) for b in batches for r in b.to_pylist())
+        rows_ = []
+        for b in batches:
+            rows_ += [(crc32(i.encode()), i, s, v, y) for i, s, v, y in zip(*(b.column(c).to_pylist() for c in ("id", "slots", "shares", "label")), strict=True)]
+        rows_.sort()
         w = learn([(np.frombuffer(s, np.int32), np.frombuffer(v, np.float32), y) for _, _, s, v, y in rows_])
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["weights"])
 
@@ -150,9 +153,9 @@ def score(df: DataFrame, weights: np.ndarray, text: str = "text", score_col: str
     def run(texts: pa.Array) -> pa.Array:
         w = shared.value
         out = []
-        for t in texts.to_pylist():
+        for t in texts:
             logit = float(w[-1])
-            for family in ngrams(t):
+            for family in ngrams(t.as_py()):
                 logit += SCALE * float(w[family].mean(dtype=np.float64))
             out.append(_logistic(logit))
         return pa.array(out, pa.float64())
