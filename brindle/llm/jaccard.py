@@ -38,7 +38,7 @@ from .common import Scratch, Unions, components
 
 WORDS, THRESHOLD = 4, 85
 BLOCK, BUCKET_SETS = 1500, 2000
-CACHE_WORDS, FANOUT = 200_000, 16
+CACHE_WORDS, FANOUT = 80_000, 16
 
 _U = np.uint64
 _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
