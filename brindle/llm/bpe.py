@@ -8,7 +8,8 @@ own tree, one numpy row a tree; long ones have a tree of their own. Tasks keep a
 The vocabulary is a file in the JSON format of the tokenizers library: BPE with an end-of-word suffix over bytes,
 NFC, white space runs as one space, lower case. Its path is a parameter; each worker reads it once.
 
-Defined results: a null text counts as empty and gives no ids; the special tokens' strings in a text are special
+Known limit: letters of the newest Unicode versions, which the library's own tables don't know yet, may be split
+differently. Defined results: a null text counts as empty and gives no ids; the special tokens' strings in a text are special
 tokens; repeated rows and further columns pass through.
 """
 
@@ -102,7 +103,7 @@ class Vocabulary:
         self.pair_keys = keys[order]
         self.pair_ranks = np.array([r for r, _ in self.merges.values()], np.int64)[order]
         self.merged = np.array([new for _, new in sorted(self.merges.values())], np.int64)
-        self.words: dict[str, bytes] = {}  # packed ids by white-space-free chunk and by piece
+        self.words: dict[str, bytes] = {}  # packed ids by piece
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one piece, by merging the leftmost lowest-ranked pair until none is left."""
@@ -216,7 +217,7 @@ class Vocabulary:
         block = []
         for text in texts:
             parts = self.split_special.split(text) if self.split_special and "<|" in text else [text]
-            block.append([self.special[p] if p in self.special else self._chunks(p) for p in parts])
+            block.append([self.special[p] if p in self.special else self._pieces(p) for p in parts])
         words = self.words
         lists = [p for parts in block for p in parts if not isinstance(p, int)]
         distinct = set(chain.from_iterable(lists))
@@ -224,20 +225,15 @@ class Vocabulary:
         if len(words) + len(unseen) > CACHE_WORDS:
             words.clear()
             unseen = distinct
-        split = {c: self.pieces.findall(c) for c in unseen if not c.isalpha()}
-        fresh = [c for c in unseen if c.isalpha()]
-        fresh += list(set(chain.from_iterable(split.values())).difference(words, fresh))
-        words.update(zip(fresh, self.merge_many(fresh), strict=True))
+        fresh = list(unseen)
+        if fresh:
+            words.update(zip(fresh, self.merge_many(fresh), strict=True))
         get = words.__getitem__
-        for c, pieces in split.items():
-            words[c] = b"".join(map(get, pieces))
         return [b"".join([np.int32(p).tobytes() if isinstance(p, int) else b"".join(map(get, p)) for p in parts]) for parts in block]
 
-    @staticmethod
-    def _chunks(text: str) -> list[str]:
-        # Letters are lowered one by one, so a capital sigma never becomes a final one.
-        low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return list(filter(None, _spaces().split(low))) if _separators().search(low) else low.split()
+    def _pieces(self, text: str) -> list[str]:
+        # Letters are lowered one by one, so a capital sigma never becomes a final one. White space ends pieces.
+        return self.pieces.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def decode(self, ids: list[int]) -> str:
         """The tokens' strings, joined by spaces; unknown ids are left out."""
@@ -247,17 +243,6 @@ class Vocabulary:
             return " ".join([self.names[i] for i in ids if i in self.names])
 
 
-@lru_cache(1)
-def _spaces():
-    return re.compile(f"[{SPACE}]+")
-
-
-@lru_cache(1)
-def _separators():
-    """Characters that str.split() takes for white space and the vocabulary doesn't."""
-    return re.compile("[\x1c-\x1f]")
-
-
 @lru_cache(4)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
