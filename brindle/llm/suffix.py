@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 LENGTH, K = 100, 24
-HOT, BUCKET_SEGMENTS, BLOCK = 128, 10_000, 1 << 20
+HOT, BUCKET_SEGMENTS, BLOCK = 128, 4_000, 1 << 20
 
 _U = np.uint64
 _SPANS = "array<struct<start:int,end:int>>"
