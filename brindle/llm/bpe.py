@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
 #: Words that a worker's cache holds at most; then it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 NO_PAIR = 1 << 30
 #: Symbols of a word that is merged beside others; characters of text that are looked through at a time.
 ROW_SYMBOLS, TEXT_BLOCK = 65, 1 << 21
@@ -233,7 +233,9 @@ class Vocabulary:
 
     def _pieces(self, text: str) -> list[str]:
         # Letters are lowered one by one, so a capital sigma never becomes a final one. White space ends pieces.
-        return self.pieces.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        return self.pieces.findall(text.replace("Σ", "σ").lower())
 
     def decode(self, ids: list[int]) -> str:
         """The tokens' strings, joined by spaces; unknown ids are left out."""
