@@ -4,7 +4,7 @@ A vector is described by its PERMUTATION nearest pivots in order of nearness. It
 pivot and is looked for from the cells of its PROBES nearest ones. Within a cell, inverted lists of the cell's
 vectors by pivot give the number of pivots that a probe shares with each of them; those that share SHARED or more
 are verified by their cosine in double precision. The index is approximate: pairs whose nearest pivots are no probes
-of each other are missed (the tests measure a recall over 0.99 at cosine 0.95).
+of each other are missed.
 
 Equal vectors are one entry with a count. Pivots are a bounded sample of distinct vectors, chosen by hash, about
 twice the square root of their number. Cells are cut into blocks by hash, so that a hot cell is many tasks, each with
