@@ -1,14 +1,18 @@
-"""Near duplicates among vectors through a pivot-permutation index.
+"""Near duplicates among vectors through inverted lists of pivots; every pair at the threshold is found.
 
-A vector is described by its PERMUTATION nearest pivots in order of nearness. It lives in the cell of its nearest
-pivot and is looked for from the cells of its PROBES nearest ones. Within a cell, inverted lists of the cell's
-vectors by pivot give the number of pivots that a probe shares with each of them; those that share SHARED or more
-are verified by their cosine in double precision. The index is approximate: pairs whose nearest pivots are no probes
-of each other are missed.
+A vector lives in the cell of its nearest pivot. It orders the other pivots by nearness too and looks into every cell
+that may hold a vector within the threshold's angle: the members of a cell are no nearer to the seeker's own pivot than
+to theirs, so the plane halfway between the two pivots parts them from the seeker, and a seeker that is further from
+that plane than the angle allows has no partner behind it. All vectors of a cell are verified by their cosine in double
+precision. A fixed number of probes, or of pivots shared, would be cheaper but loses pairs, most of all in large groups
+of near copies. Where vectors have no structure the bound rules out few cells, and the search is all pairs.
 
-Equal vectors are one entry with a count. Pivots are a bounded sample of distinct vectors, chosen by hash, about
-twice the square root of their number. Cells are cut into blocks by hash, so that a hot cell is many tasks, each with
-a bounded number of vectors; a block gives a row per vector with links, never its pairs.
+Of two cells, the vectors of the one with the smaller number look into the other, so that a pair is met once.
+
+Equal vectors are one entry with a count. Pivots are picked from a bounded sample of distinct vectors, chosen by hash,
+so that no two are near each other: a large group of near copies stays in few cells. Cells are cut into blocks by hash,
+so that a hot cell is many tasks, each with a bounded number of vectors; a block gives a row per vector with links,
+never its pairs.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or are of another length than most
 vectors, and vectors without an id, link with nothing. Repeated rows are vectors of their own. An empty table gives
@@ -20,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,13 +31,18 @@ from pyspark.sql import functions as F
 from .common import Scratch, Unions, components
 
 THRESHOLD = 0.95
-PERMUTATION, PROBES, SHARED = 16, 8, 2
-MIN_PIVOTS, MAX_PIVOTS = 16, 1024
+#: Vectors of a cell on average, as far as the number of pivots allows.
+CELL = 4000
+MIN_PIVOTS, MAX_PIVOTS, SAMPLE = 8, 1024, 4096
+#: Pivots' cosines stay below.
+APART = 0.8
 #: Vectors of a block at most, on average: those that live there, and those that look.
-BLOCK_HOMES, BLOCK_PROBES = 500, 2000
+BLOCK_HOMES, BLOCK_PROBES = 6000, 12000
+#: Seekers verified at once.
+TILE = 128
 
-_ENTRY = "rep bigint, n bigint, vec array<double>"
-_PLACED = "cell int, home_block int, probe_block int, home boolean, rep bigint, n bigint, pivots array<int>, vec array<double>"
+_PLACED = "cell int, home_block int, probe_block int, home boolean, own boolean, rep bigint, n bigint, vec array<double>"
+_FOUND = "rep bigint, links bigint, root bigint"
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -42,10 +50,31 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def _order(vectors: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
-    """Numbers of the k nearest pivots of each vector, nearest first, ties by number."""
-    near = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ pivots.T
-    return np.argsort(-near, axis=1, kind="stable")[:, :k].astype(np.int32)
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+def _apart(points: np.ndarray, most: int) -> np.ndarray:
+    """The first unit vectors, ``most`` at most, of which each is away from all before it."""
+    kept = points[:1]
+    for p in points[1:]:
+        if len(kept) == most:
+            break
+        if (kept @ p).max() < APART:
+            kept = np.vstack([kept, p])
+    return kept
+
+
+def _places(vectors: np.ndarray, pivots: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each vector's nearest pivot, and which cells it looks into: its own and those after it that the bound leaves."""
+    near = _unit(vectors) @ pivots.T
+    home = near.argmax(axis=1)
+    looks = np.arange(len(pivots)) >= home[:, None]
+    if threshold > 0:
+        gap = np.linalg.norm(pivots[:, None] - pivots[None], axis=2)
+        reach = (max(0.0, 1 - threshold * threshold) ** 0.5 + 1e-9) * gap[home]
+        looks &= near[np.arange(len(near)), home][:, None] - near <= reach
+    return home.astype(np.int32), looks
 
 
 def _spread(reps: np.ndarray, salt: int) -> np.ndarray:
@@ -53,51 +82,44 @@ def _spread(reps: np.ndarray, salt: int) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)
 
 
-def _search(threshold: float, shared: int, probes: int):
-    def search(block: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"rep": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})
-        homes, seekers = block[block.home], block[~block.home]
-        if not len(homes) or not len(seekers):
-            return none
-        cell = int(block.cell.iloc[0])
-        h, s = np.stack(homes.vec.to_numpy()), np.stack(seekers.vec.to_numpy())
-        h_norm, s_norm = np.linalg.norm(h, axis=1), np.linalg.norm(s, axis=1)
-        h_pivots, s_pivots = np.stack(homes.pivots.to_numpy()), np.stack(seekers.pivots.to_numpy())
-        h_rep, s_rep, h_n, s_n = homes.rep.to_numpy(), seekers.rep.to_numpy(), homes.n.to_numpy(), seekers.n.to_numpy()
-        # Inverted lists: the homes by pivot.
-        flat = h_pivots.ravel()
-        by = np.argsort(flat, kind="stable")
-        starts = np.searchsorted(flat[by], np.arange(flat.max() + 2))
-        owner = by // h_pivots.shape[1]
-        h_links, s_links = np.zeros(len(h), np.int64), np.zeros(len(s), np.int64)
-        reps = np.unique(np.concatenate([h_rep, s_rep]))
-        h_at, s_at = np.searchsorted(reps, h_rep), np.searchsorted(reps, s_rep)
-        unions = Unions(len(reps))
-        for i in range(len(s)):
-            lists = [owner[starts[p] : starts[p + 1]] for p in s_pivots[i] if p + 1 < len(starts)]
-            counts = np.bincount(np.concatenate(lists), minlength=len(h)) if lists else np.zeros(len(h), np.int64)
-            found = np.flatnonzero((counts >= shared) & (h_rep != s_rep[i]))
-            if not len(found):
-                continue
-            near = (h[found] @ s[i]) / (h_norm[found] * s_norm[i])
-            found = found[near >= threshold]
-            if not len(found):
+def _search(threshold: float):
+    def search(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        home, own = (block.column(c).to_numpy() for c in ("home", "own"))
+        rep, n = block.column("rep").to_numpy(), block.column("n").to_numpy()
+        vectors = _unit(_matrix(pa.concat_arrays(block.column("vec").chunks)))
+        h, s = np.flatnonzero(home), np.flatnonzero(~home)
+        h_vec, h_rep, h_n = vectors[h], rep[h], n[h].astype(float)
+        reps = np.unique(rep)
+        h_at = np.searchsorted(reps, h_rep)
+        links, unions, led = np.zeros(len(reps)), Unions(len(reps)), np.arange(len(reps))
+        for at in range(0, len(s), TILE):
+            part = s[at : at + TILE]
+            hit = vectors[part] @ h_vec.T >= threshold
+            # Vectors of the cell itself look for each other: the one with the smaller id finds the pair.
+            hit &= np.where(own[part][:, None], rep[part][:, None] < h_rep, True)
+            rows = np.flatnonzero(hit.any(axis=1))
+            if not len(rows):
                 continue
-            s_links[i] += h_n[found].sum()
-            # The other end counts this link itself if it looks into the seeker's own cell.
-            blind = ~(h_pivots[found, :probes] == s_pivots[i, 0]).any(axis=1)
-            h_links[found[blind]] += s_n[i]
-            for j in found.tolist():
-                unions.join(int(s_at[i]), int(h_at[j]))
-        links = np.bincount(h_at, h_links, len(reps)) + np.bincount(s_at, s_links, len(reps))
+            hit, part = hit[rows], part[rows]
+            p_at, weight = np.searchsorted(reps, rep[part]), hit.astype(float)
+            np.add.at(links, p_at, weight @ h_n)
+            np.add.at(links, h_at, n[part].astype(float) @ weight)
+            for i, me in enumerate(p_at.tolist()):
+                theirs = h_at[hit[i]]
+                known = led[theirs]
+                # ``led`` holds a member of each one's component: mostly the same, so few are joined one by one.
+                for other in [int(known[0])] if (known == known[0]).all() else np.unique(known).tolist():
+                    unions.join(me, other)
+                led[theirs] = led[me] = unions.find(me)
         root = reps[[unions.find(i) for i in range(len(reps))]]
         kept = (links > 0) | (root != reps)
-        return pd.DataFrame({"rep": reps[kept], "links": links[kept].astype("int64"), "root": root[kept]})
+        return pa.table({"rep": reps[kept], "links": links[kept].astype(np.int64), "root": root[kept]})
 
     return search
 
 
-def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, permutation: int = PERMUTATION, probes: int = PROBES, shared: int = SHARED) -> DataFrame:
+def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id and kept (the smallest id of its component) of every row."""
     spark, scratch = df.sparkSession, Scratch(df.sparkSession)
     rows = df.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
@@ -112,26 +134,26 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     rows = rows.withColumn("v", F.when(F.size("v") == dims, F.col("v")))
     entries = scratch.table(rows.filter("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).select("rep", "n", F.col("v").alias("vec")), "entries")
     total = entries.count()
-    wanted = int(min(MAX_PIVOTS, max(MIN_PIVOTS, 2 * total**0.5)))
-    chosen = entries.orderBy(F.xxhash64("vec"), "rep").limit(wanted).collect()
+    wanted = min(MAX_PIVOTS, max(MIN_PIVOTS, total // CELL))
+    chosen = entries.orderBy(F.xxhash64("vec"), "rep").limit(min(SAMPLE, 4 * wanted)).collect()
     if not chosen:
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    points = np.array([r["vec"] for r in chosen])
-    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    points = _apart(_unit(np.array([r["vec"] for r in chosen])), wanted)
     shared_points = spark.sparkContext.broadcast(points)
-    k, m = min(permutation, len(points)), min(probes, len(points))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if len(b):
-                order = _order(_matrix(b.column("vec")), shared_points.value, m)
-                for role, values in ((True, order[:, 0]), (False, order.ravel())):
-                    cell, n = np.unique(values, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array([role] * len(cell)), pa.array(n)], names=["cell", "home", "n"])
+        counts = np.zeros((2, len(shared_points.value)), np.int64)
+        for whole in batches:
+            for at in range(0, len(whole), 500):
+                home, looks = _places(_matrix(whole.slice(at, 500).column("vec")), shared_points.value, threshold)
+                counts[0] += np.bincount(home, minlength=counts.shape[1])
+                counts[1] += looks.sum(axis=0)
+        role, cell = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(role == 0), pa.array(counts[role, cell])], names=["cell", "home", "n"])
 
     # A row per pivot and role: bounded by MAX_PIVOTS.
     counted = entries.mapInArrow(cells, "cell int, home boolean, n bigint").groupBy("cell", "home").agg(F.sum("n").alias("n")).collect()
-    blocks = np.ones((2, len(points)), np.int64)
+    blocks = np.zeros((2, len(points)), np.int64)
     for r in counted:
         blocks[int(not r["home"]), r["cell"]] = -(-r["n"] // (BLOCK_HOMES if r["home"] else BLOCK_PROBES))
     shared_blocks = spark.sparkContext.broadcast(blocks)
@@ -141,28 +163,24 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
         for whole in batches:
             for at in range(0, len(whole), 500):
                 b = whole.slice(at, 500)
-                order = _order(_matrix(b.column("vec")), shared_points.value, k)
+                home, looks = _places(_matrix(b.column("vec")), shared_points.value, threshold)
                 reps = b.column("rep").to_numpy()
-                row, cell, hb, pb, home = [], [], [], [], []
-                for role, salt, own, other, places in ((True, 1, home_blocks, probe_blocks, order[:, :1]), (False, 2, probe_blocks, home_blocks, order[:, :m])):
-                    spread = _spread(reps, salt)
-                    for i, cs in enumerate(places.tolist()):
-                        for c in cs:
-                            mine = int(spread[i] % np.uint64(own[c]))
-                            for x in range(int(other[c])):
-                                row.append(i)
-                                cell.append(c)
-                                hb.append(mine if role else x)
-                                pb.append(x if role else mine)
-                                home.append(role)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * k), pa.array(order.ravel()))
-                take = pa.array(row, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell, pa.int32()), pa.array(hb, pa.int32()), pa.array(pb, pa.int32()), pa.array(home), b.column("rep").take(take), b.column("n").take(take), lists.take(take), b.column("vec").take(take)],
-                    names=["cell", "home_block", "probe_block", "home", "rep", "n", "pivots", "vec"],
-                )
-
-    found = entries.mapInArrow(placed, _PLACED).groupBy("cell", "home_block", "probe_block").applyInPandas(_search(threshold, min(shared, k), m), "rep bigint, links bigint, root bigint")
+                for role, salt, own, other, (row, cell) in ((True, 1, home_blocks, probe_blocks, (np.arange(len(b)), home)), (False, 2, probe_blocks, home_blocks, np.nonzero(looks))):
+                    mine = (_spread(reps, salt)[row] % own[cell].astype(np.uint64)).astype(np.int32)
+                    times = other[cell]
+                    # Each place once for each block of the other role.
+                    row, cell, mine = np.repeat(row, times), np.repeat(cell, times).astype(np.int32), np.repeat(mine, times)
+                    theirs = (np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)).astype(np.int32)
+                    for cut in range(0, len(row), 4000):
+                        c = slice(cut, cut + 4000)
+                        take = pa.array(row[c])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(cell[c]), pa.array((mine if role else theirs)[c]), pa.array((theirs if role else mine)[c]), pa.array(np.full(len(take), role)), pa.array(home[row[c]] == cell[c]),
+                             b.column("rep").take(take), b.column("n").take(take), b.column("vec").take(take)],
+                            names=["cell", "home_block", "probe_block", "home", "own", "rep", "n", "vec"],
+                        )
+
+    found = entries.mapInArrow(placed, _PLACED).groupBy("cell", "home_block", "probe_block").applyInArrow(_search(threshold), _FOUND)
     found = scratch.table(found, "found")
     linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
