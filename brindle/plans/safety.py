@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -122,9 +126,38 @@ def prompt_scan(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", "role", F.array_join(T.injection_labels(F.col("text")), ",").alias("reasons"), (words > 4000).alias("over_limit"))
 
 
+_SCANS = [("prompt_injection", label, re.compile(p, re.IGNORECASE)) for label, p in T.INJECTION] + [("sensitive_data", name, re.compile(p)) for name, p, _ in T.PERSONAL]
+
+
+def _compact(text: str) -> str:
+    return re.sub(r"\s+", " ", text).strip()
+
+
+def review_findings(text: str | None, most: int = 12) -> list[tuple[str, str, str, str]]:
+    """Category, label, match and the match with 80 characters on either side, in the order of the patterns and of their matches.
+
+    A finding counts once by category, label and match; the first gives the context.
+    """
+    found: dict[tuple[str, str, str], str] = {}
+    for category, label, pattern in _SCANS:
+        for m in pattern.finditer(text or ""):
+            key = (category, label, _compact(m.group(0)))
+            if key not in found:
+                found[key] = _compact(text[max(0, m.start() - 80) : m.end() + 80])
+                if len(found) == most:
+                    return [(*k, c) for k, c in found.items()]
+    return [(*k, c) for k, c in found.items()]
+
+
 @registry.query()
 def safety_findings(spark: SparkSession, sf: str) -> DataFrame:
-    """Matches of the secret pattern with 80 characters on either side, distinct, twelve at most a document."""
-    name, pattern, _ = T.PERSONAL[-1]
-    context = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"((?s:.{0,80}?)" + pattern.replace("(?i)", "(?i:", 1) + r")(?s:.{0,80}))"), F.lit(1))
-    return table(spark, sf, "documents").select("doc_id", F.explode(F.slice(F.array_distinct(context), 1, 12)).alias("context")).withColumn("category", F.lit(name))
+    """All findings of injection and personal data, numbered, twelve at most a document; SQL's regexes give no positions and don't look behind."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, n, *f) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True) for n, f in enumerate(review_findings(t.as_py()), 1)]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.string()] * 4, strict=True)], names=["doc_id", "finding", "category", "label", "match_preview", "context"])
+
+    return docs.mapInArrow(scan, "doc_id bigint, finding bigint, category string, label string, match_preview string, context string")
