@@ -13,7 +13,9 @@ earlier place of the same one. Strings never cross documents and are judged on t
    mergesort, with comparisons through the longest common extension, found by binary search over prefix polynomial
    hashes. All neighbours in the order are then compared byte by byte; a collision sends the strings of the task to a
    plain sort. Of equal strings the first in place stays. Anchors with over HOT distinct segments (a common phrase in
-   many contexts) are split: their strings are grouped by two independent hashes (128 bits), by partial aggregation.
+   many contexts) are dealt anew: their segments are cut into blocks of WIDTHS strings, counted from the anchor, and
+   dealt by the bytes that all strings of a block share. Equal blocks are one again, so that what lies within a common
+   passage shrinks to a row and what reaches into its contexts parts company. All of it is sorted and verified alike.
 
 Defined results: a null text is empty; a row without an id is compared with nothing and keeps all; rows that repeat an
 id and a text are one document and get the same result; texts that share an id aren't earlier than one another at the
@@ -24,18 +26,21 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-LENGTH, K = 100, 24
+LENGTH, K = 100, 40
 HOT, BUCKET_SEGMENTS, BLOCK = 128, 4_000, 1 << 20
+#: Strings a block, at each time that hot groups are dealt anew; with one string a block, a group's segments are equal.
+WIDTHS = (8, 1)
 
 _U = np.uint64
 _SPANS = "array<struct<start:int,end:int>>"
@@ -223,6 +228,30 @@ def _cut_out(length: int):
     return run
 
 
+def _blocks(length: int, width: int):
+    """Cuts segments into blocks of ``width`` strings, counted from the anchor; ``hash`` is of the bytes that they share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _small(batches, "data"):
+            hashes, datas, docs, starts = [], [], [], []
+            given = b.column("data").to_pylist()
+            behind = _anchor_of_first(given, length) if given else ()
+            for h, data, doc_id, start, first in zip(b.column("hash").to_pylist(), given, b.column("doc_id").to_pylist(), b.column("start").to_pylist(), behind, strict=True):
+                # String i starts first - i bytes before the anchor; block k holds those from k * width on.
+                n = len(data) - length + 1
+                for k in range((first - n + 1) // width, first // width + 1):
+                    low, high = max(0, first - k * width - width + 1), min(n - 1, first - k * width)
+                    core = first - k * width
+                    shared = data[core : core - width + 1 + length]
+                    hashes.append(xxhash.xxh64_intdigest(shared, (h ^ k) & 0xFFFFFFFF) >> 1)
+                    datas.append(data[low : high + length])
+                    docs.append(doc_id)
+                    starts.append(start + low)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(datas, pa.binary()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64())], names=["hash", "data", "doc_id", "start"])
+
+    return run
+
+
 @lru_cache(1)
 def _powers(n: int) -> np.ndarray:
     out = np.empty(n, _U)
@@ -426,21 +455,25 @@ def find_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
 
     # The place (id, start) as one number, which partial aggregation keeps in order.
     place = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("start").cast("decimal(11,0)")
-    cut = texts.select("doc_id", "data", "cuts").mapInArrow(_cut_out(length), "hash bigint, data binary, doc_id bigint, start bigint")
-    distinct = cut.groupBy("hash", "data").agg(F.min(place.cast("decimal(38,0)")).alias("place"))
-    distinct = scratch.table(distinct, "segments")
-    sizes = distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-    hot = scratch.table(sizes.filter(F.col("n") > HOT).select("hash", F.lit(True).alias("hot")), "hot")
-    flagged = distinct.join(hot, "hash", "left")
     unpacked = [F.expr("(place - pmod(place, 2147483648bd)) div 2147483648bd").alias("doc_id"), F.expr("cast(pmod(place, 2147483648bd) AS bigint)").alias("start")]
-    buckets = max(1, -(-distinct.count() // BUCKET_SEGMENTS))
-    cool = flagged.filter("hot IS NULL").select("hash", "data", *unpacked, F.pmod(F.xxhash64("hash"), F.lit(buckets)).alias("bucket"))
-    firsts = cool.groupBy("bucket").applyInPandas(_firsts(length), "doc_id bigint, start bigint, n bigint")
-    string = lambda i: F.substring("data", i + 1, F.lit(length))
-    hashed = F.transform(F.sequence(F.lit(0), F.octet_length("data") - length), lambda i: F.struct(F.xxhash64(string(i)).alias("h1"), F.xxhash64(F.lit(1), string(i)).alias("h2")))
-    strings = flagged.filter("hot").select(F.posexplode(hashed).alias("i", "h"), "place")
-    hot_firsts = strings.groupBy("h.h1", "h.h2").agg(F.min(F.col("place") + F.col("i")).cast("decimal(38,0)").alias("place")).select(*unpacked, F.lit(1).cast("bigint").alias("n"))
-    by_text = firsts.unionAll(hot_firsts).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("firsts"))
+    schema = "hash bigint, data binary, doc_id bigint, start bigint"
+
+    def distinct(cut: DataFrame, name: str) -> DataFrame:
+        return scratch.table(cut.groupBy("hash", "data").agg(F.min(place.cast("decimal(38,0)")).alias("place")), name)
+
+    cut = distinct(texts.select("doc_id", "data", "cuts").mapInArrow(_cut_out(length), schema), "segments")
+    held, cool = cut, []
+    for width in WIDTHS:
+        counts = held.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+        hot = scratch.table(counts.filter(F.col("n") > HOT).select("hash", F.lit(True).alias("hot")), f"hot-{width}")
+        flagged = held.join(hot, "hash", "left").select("hash", "data", *unpacked, "hot")
+        cool.append(flagged.filter("hot IS NULL").drop("hot"))
+        held = distinct(flagged.filter("hot").drop("hot").mapInArrow(_blocks(length, width), schema), f"blocks-{width}")
+    cool.append(held.select("hash", "data", *unpacked))
+    buckets = max(1, -(-cut.count() // BUCKET_SEGMENTS))
+    dealt = reduce(DataFrame.unionAll, cool).withColumn("bucket", F.pmod(F.xxhash64("hash"), F.lit(buckets)))
+    firsts = dealt.groupBy("bucket").applyInPandas(_firsts(length), "doc_id bigint, start bigint, n bigint")
+    by_text = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("firsts"))
     removed = texts.join(by_text, "doc_id", "left").select("doc_id", "text_key", "data", "cuts", "firsts").mapInArrow(
         _remove(length), f"doc_id bigint, text_key bigint, spans {_SPANS}, n_removed bigint, kept_sha256 string"
     )
