@@ -41,7 +41,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components", max
 
     Alternates two steps until nothing changes: larger neighbours are linked to a node's smallest neighbour, then
     smaller ones. Edges never grow in number, the rounds are logarithmic, and no step gathers a node's neighbours:
-    there are only minima per node, joined back to the edges, which Spark may split where a node is hot.
+    there are only minima per node, joined back to the edges. The minima are written first, so that both sides of such
+    a join are plain shuffles, which Spark splits where a node is hot; nodes that have settled take no part in it.
     """
     made = 0
 
@@ -60,10 +61,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components", max
         if not state[0]:
             break
         ends = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = ends.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("v"), F.least("x", "y").alias("m"))
-        large = e.join(least, "v").select("u", F.col("m").alias("v")).distinct()
+        lower = scratch.table(ends.groupBy("x").agg(F.min("y").alias("m")).filter("m < x").select(F.col("x").alias("v"), "m"), f"{name}-lower")
+        large = e.join(lower, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         e, _ = stored(large)
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
+        least = scratch.table(e.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
         small = e.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).distinct()
         before = state
         e, state = stored(small)

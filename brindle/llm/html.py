@@ -2,9 +2,13 @@
 
 Every text block of a page belongs to a root-to-leaf tag path. Per path, text length and punctuation are summed and
 divided by the number of its blocks; the ratios are smoothed along the page, weighed by what tags and class names say
-(menus, footers, adverts, comments and the like weigh nothing, article and main more), fused upwards, so that the
-container in which most of the page's score gathers lends its score to all its paths, and held against a threshold.
-Blocks on the paths above it are the content.
+(menus, footers and comments weigh nothing, article and main more), fused upwards, so that the container in which most
+of the page's score gathers lends its score to all its paths, and held against a threshold. Blocks on the paths above
+it are the content.
+
+Forms and names of adverts, sidebars, notices and the like are doubts: on a page without an article, they only count
+against a container that holds less than HALF of the text, and never where no text would be left: a layout within a
+form, or a body of an odd name, is no boilerplate. Within an article, each word of such a name must tell of boilerplate.
 
 Defined results: a null page has no text (empty string); missing end tags and a page that breaks off are read as
 browsers do; white space within a block is one space, blocks are joined by an empty line; repeated rows and further
@@ -28,13 +32,18 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "xmp", "noembed", "noframes", "select", "math")
-BOILERPLATE = frozenset("nav footer aside form menu dialog button title head".split())
+BOILERPLATE = frozenset("nav footer aside menu dialog button title head".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsbygoogle banner sponsor sponsored promo promotion nav navbar navigation menu menubar "
     "breadcrumb breadcrumbs sidebar footer masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert disclaimer popup "
     "modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations teaser teasers "
     "widget copyright legal pagination pager comment comments disqus replies reply respond discussion tags search skip contentinfo complementary".split()
 )
+#: Words that say nothing by themselves when they stand beside one of those names.
+PLAIN = frozenset(
+    "article post page site box block wrapper wrap list bar link links button buttons section area container inner item items posts unit slot row "
+    "col group panel form content media icons icon top bottom left right".split()
+)
 COMMENTS = frozenset("comment comments disqus replies reply respond discussion".split())
 #: An end that a start tag implies: these open elements end, unless one of the others stands between.
 IMPLIED = {
@@ -42,6 +51,7 @@ IMPLIED = {
     "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"}),
 }
 CONTENT_WEIGHT, SMOOTHING, GATHERED, LENT, THRESHOLD = 4.0, (0.25, 0.5, 0.25), 0.8, 0.5, 0.2
+HALF = 0.5
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
@@ -54,29 +64,54 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECA
 
 
 class _Paths:
-    """Tag paths as a tree: number, parent and weight of each."""
+    """Tag paths as a tree: number, parent and weight of each; ``doubted`` where only a form or a name speaks against it."""
 
     def __init__(self):
-        self.parent, self.weight, self.inside = [-1], [1.0], [False]
-        self.numbers: dict[tuple, int] = {}
+        self.parent, self.weight, self.inside, self.doubted = [-1], [1.0], [False], [False]
+        self.content, self.numbers = [False], {}
 
     def below(self, parent: int, tag: str, attributes: str) -> int:
-        names = frozenset(_WORD.findall(" ".join(a or b or c for a, b, c in _NAMED.findall(attributes)).lower())) if "=" in attributes else frozenset()
-        key = (parent, tag, names)
-        if (found := self.numbers.get(key)) is not None:
-            return found
-        weight, inside = self.weight[parent], self.inside[parent]
-        if tag in ("article", "main") or "main" in names and "role" in attributes:
-            weight = 0.0 if names & COMMENTS or inside and not weight else CONTENT_WEIGHT
-            inside = True
-        elif tag in BOILERPLATE or tag == "header" and not inside or names & NAMES and tag not in ("html", "body"):
+        found = [a or b or c for a, b, c in _NAMED.findall(attributes)] if "=" in attributes else []
+        key = (parent, tag, *found)
+        if (number := self.numbers.get(key)) is not None:
+            return number
+        tokens = [frozenset(_WORD.findall(token)) for a in found for token in a.lower().split()]
+        names = frozenset().union(*tokens)
+        weight, inside, doubted, content = self.weight[parent], self.inside[parent], False, False
+        named = any(t & NAMES and t <= NAMES | PLAIN for t in tokens) if inside else bool(names & NAMES)
+        if names & COMMENTS and tag not in ("html", "body"):
             weight = 0.0
+        elif tag in ("article", "main") or "main" in names and "role" in attributes:
+            content, inside = True, True
+            weight = 0.0 if self.inside[parent] and not weight else CONTENT_WEIGHT
+        elif tag in BOILERPLATE or tag == "header" and not inside:
+            weight = 0.0
+        elif tag not in ("html", "body"):
+            doubted = named or tag == "form"
         self.parent.append(parent)
         self.weight.append(weight)
         self.inside.append(inside)
+        self.doubted.append(doubted)
+        self.content.append(content)
         self.numbers[key] = len(self.parent) - 1
         return len(self.parent) - 1
 
+    def settle(self, found: list[tuple[int, str]]) -> None:
+        """Takes the weight from doubted containers that hold less than HALF of the text that weighs anything."""
+        held = [0] * len(self.parent)
+        for p, text in found:
+            held[p] += len(text) if self.weight[p] else 0
+        for p in range(len(held) - 1, 0, -1):
+            held[self.parent[p]] += held[p]
+        told = any(c and w and n for c, w, n in zip(self.content, self.weight, held, strict=True))
+        gone = [False] * len(held)
+        for p in range(1, len(held)):
+            up = self.parent[p]
+            # An article ends what was doubted outside of it.
+            gone[p] = gone[up] and not (self.content[p] and not self.inside[up]) or self.doubted[p] and (told or held[p] < HALF * held[0])
+        if any(self.weight[p] and not gone[p] for p, _ in found):
+            self.weight = [0.0 if g else w for g, w in zip(gone, self.weight, strict=True)]
+
 
 def blocks(html: str) -> tuple[_Paths, list[tuple[int, str]]]:
     """The page's paths and its text blocks, as (path, text), in page order."""
@@ -167,6 +202,7 @@ def main_text(html: str | None) -> str:
     paths, found = blocks(html)
     if not found:
         return ""
+    paths.settle(found)
     n = len(paths.parent)
     length, marks, count = [0] * n, [0] * n, [0] * n
     for p, text in found:

@@ -8,10 +8,11 @@ Texts are sets of hashes (64 bits) of their n-grams of words; texts with equal s
    set with more empty parts offers those as well. Sizes form classes of ratio 1 / threshold; a set takes part in its own
    class and in the one below. One shuffle of the parts' hashes, read in order as a stream, links sets that meet. No link is
    lost, and short parts of a frequent passage rarely meet by themselves.
-2. Candidate groups are the components of these links. Large ones are split by size class, then into blocks of
-   BLOCK sets by hash of the id, and the blocks' pairs are tasks of their own, so that no task grows with a group. They
-   are first narrowed by the sets' bitmaps alone, a fraction of the sets' size: what the bitmaps' largest possible
-   overlap can't tell apart makes the groups anew, and these are split in the same way if they are still large.
+2. Each signature's first set leads it, and a candidate group is all sets that a set leads: it holds any two sets that
+   meet where that set is the first, while groups don't grow together through chance meetings. Groups of over BLOCK
+   sets are split by size class, then into blocks by hash of the id, and the blocks' pairs are tasks of their own, so
+   that no task grows with a group. Groups are first narrowed by the sets' bitmaps alone, a fraction of the sets' size,
+   to components of what the largest possible overlap can't tell apart; only those are compared by their sets.
 3. In a task, the sets of a group are the leaves of a signature tree. Nodes hold the union of their sets' bitmaps, their
    range of sizes and the most tokens that shared a bit. A dual traversal leaves out pairs of nodes whose largest
    possible overlap is too small, or whose sets are linked already; what reaches the leaves is compared exactly.
@@ -298,8 +299,41 @@ def _placed(n_words: int):
     return run
 
 
-def _linked(threshold: int, whole: bool):
-    """Rows (a, b): a set and the smallest one of the task that it is joined with, by whole sets or by bitmaps alone."""
+def _narrowed(threshold: int):
+    """Rows (grp, side, rep, key1): parts of a group that their bitmaps can't tell apart, two sets or more each."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["grp", "rep"], kind="stable").reset_index(drop=True)
+        grp, side, n = rows.grp.to_numpy(), rows.side.to_numpy(), rows.n.to_numpy()
+        part = np.full(len(rows), -1, np.int64)
+        for at in np.split(np.arange(len(rows)), np.flatnonzero(grp[1:] != grp[:-1]) + 1):
+            if len(at) < 2:
+                continue
+            held = [np.frombuffer(m, "<u8") for m in rows["map"].iloc[at]]
+            words = min(map(len, held))
+            unions = _unions(np.stack([folded(m, words) for m in held]), n[at], side[at], threshold, None)
+            part[at] = at[[unions.find(i) for i in range(len(at))]]
+        several = np.bincount(part[part >= 0], minlength=len(rows)) > 1 if len(rows) else np.zeros(0, bool)
+        kept = np.flatnonzero((part >= 0) & several[part])
+        # A part has the number of its group and of the set that leads it.
+        made = _mix(grp[kept].view(_U) + _mix(rows.rep.to_numpy()[part[kept]].view(_U))).view(np.int64)
+        return pd.DataFrame({"grp": made, "side": side[kept], "rep": rows.rep.to_numpy()[kept], "key1": rows.key1.to_numpy()[kept]})
+
+    return run
+
+
+def _unions(maps: np.ndarray, n: np.ndarray, side: np.ndarray, threshold: int, sets: list[np.ndarray] | None) -> Unions:
+    unions = Unions(len(maps))
+    by_size = np.lexsort([maps[:, 0], n])
+    sides = np.unique(side)
+    # Two blocks meet each other; each meets itself in a group of its own.
+    left, right = (by_size, by_size) if len(sides) == 1 else (by_size[side[by_size] == s] for s in sides)
+    link(maps, n, left, right, threshold, unions, sets)
+    return unions
+
+
+def _linked(threshold: int):
+    """Rows (a, b): a set and the smallest one of the task's group that it is joined with."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["grp", "doc_id"], kind="stable")
@@ -307,21 +341,10 @@ def _linked(threshold: int, whole: bool):
         for _, group in rows.groupby("grp", sort=False):
             if len(group) < 2:
                 continue
-            ids, side = group.doc_id.to_numpy(), group.side.to_numpy()
-            held = [np.frombuffer(t, "<u8") for t in group.tokens]
-            if whole:
-                n = np.array([len(s) for s in held])
-                bits = 1 << int(np.clip(2 * n.max() - 1, 63, (1 << 15) - 1)).bit_length()
-                maps = np.stack([bitmap(s, bits) for s in held])
-            else:
-                n, words = group.n.to_numpy(), min(len(m) for m in held)
-                maps = np.stack([folded(m, words) for m in held])
-            unions = Unions(len(held))
-            by_size = np.lexsort([maps[:, 0], n])
-            sides = np.unique(side)
-            # Two blocks meet each other; each meets itself in a group of its own.
-            left, right = (by_size, by_size) if len(sides) == 1 else (by_size[side[by_size] == s] for s in sides)
-            link(maps, n, left, right, threshold, unions, held if whole else None)
+            ids, held = group.doc_id.to_numpy(), [np.frombuffer(t, "<u8") for t in group.tokens]
+            n = np.array([len(s) for s in held])
+            bits = 1 << int(np.clip(2 * n.max() - 1, 63, (1 << 15) - 1)).bit_length()
+            unions = _unions(np.stack([bitmap(s, bits) for s in held]), n, group.side.to_numpy(), threshold, held)
             root = np.array([unions.find(i) for i in range(len(held))])
             moved = root != np.arange(len(held))
             a.append(ids[moved])
@@ -331,12 +354,6 @@ def _linked(threshold: int, whole: bool):
     return run
 
 
-def _with_groups(edges: DataFrame, scratch: Scratch, name: str, key: str) -> DataFrame:
-    """(key, grp) of every node of the edges."""
-    groups = components(edges, scratch, name)
-    return groups.select(F.col("id").alias(key), F.col("component_id").alias("grp")).unionAll(groups.select(F.col("component_id").alias(key), F.col("component_id").alias("grp")).distinct())
-
-
 def _large(members: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The members, with large set where their group has over BLOCK of them."""
     sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
@@ -371,23 +388,19 @@ def similar_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_w
     sigs = docs.filter("doc_id IS NOT NULL AND data IS NOT NULL").select("data").mapInArrow(_signature_rows(n_words, edges, threshold), "sig bigint, key1 bigint")
     met = sigs.repartition("sig").sortWithinPartitions("sig", "key1").mapInArrow(_meetings, "a bigint, b bigint").distinct()
     met = scratch.table(met, "met")
-    members = classes.join(_with_groups(met, scratch, "groups", "key1"), "key1").select("rep", "key1", "n_shingles", "class", "grp")
-    members = _large(scratch.table(members, "members"), scratch, "large")
-    wide = members.filter("large").drop("large")
-    narrowed = _in_buckets(_split(wide), BUCKET_SETS).join(wide.select("rep", "key1", "n_shingles"), ["rep", "key1"])
-    maps = light.select(F.col("doc_id").alias("rep"), "key1", F.col("map").alias("tokens")).join(wide.select("rep", "key1"), ["rep", "key1"], "left_semi").dropDuplicates(["rep", "key1"])
-    mapped = narrowed.join(maps, ["rep", "key1"]).select("bucket", "grp", "side", F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n"), "tokens")
-    possible = scratch.table(mapped.groupBy("bucket").applyInPandas(_linked(threshold, False), "a bigint, b bigint"), "possible")
-    regrouped = wide.drop("grp").join(_with_groups(possible, scratch, "regrouped", "rep"), "rep").select("rep", "key1", "n_shingles", "class", "grp")
-    again = members.filter("large IS NULL").select("rep", "key1", "n_shingles", "class", F.xxhash64("grp", F.lit(0)).alias("grp"))
-    again = again.unionAll(regrouped.withColumn("grp", F.xxhash64("grp", F.lit(1))))
-    again = _large(scratch.table(again, "again"), scratch, "large2")
-    small = again.filter("large IS NULL").select("rep", "key1", "grp", F.lit(0).alias("side"))
-    places = _in_buckets(scratch.table(small.unionAll(_split(again.filter("large"))), "places"), BUCKET_SETS)
+    led = met.select(F.col("a").alias("key1"), F.col("b").alias("grp")).unionAll(met.select(F.col("b").alias("key1"), F.col("b").alias("grp")).distinct())
+    members = _large(scratch.table(classes.join(led, "key1").select("rep", "key1", "n_shingles", "class", "grp"), "members"), scratch, "large")
+    small = members.filter("large IS NULL").select("rep", "key1", "grp", F.lit(0).alias("side"))
+    split = _in_buckets(scratch.table(small.unionAll(_split(members.filter("large"))), "split"), BUCKET_SETS)
+    maps = light.filter(usable).select(F.col("doc_id").alias("rep"), "key1", F.col("n_shingles").alias("n"), "map")
+    mapped = split.join(maps.join(split.select("rep", "key1").distinct(), ["rep", "key1"]).dropDuplicates(["rep", "key1"]), ["rep", "key1"])
+    places = mapped.groupBy("bucket").applyInPandas(_narrowed(threshold), "grp bigint, side int, rep bigint, key1 bigint")
+    places = _in_buckets(scratch.table(places, "places"), BUCKET_SETS)
     wanted = places.groupBy("rep", "key1").agg(F.collect_list(F.struct("bucket", "grp", "side")).alias("places")).withColumnRenamed("rep", "doc_id")
-    fetched = docs.join(wanted, "doc_id").select("doc_id", "key1", "data", "places")
+    # Never by broadcast: what is wanted grows with the table, and so the plan is the same at every size.
+    fetched = docs.join(wanted.hint("merge"), "doc_id").select("doc_id", "key1", "data", "places")
     placed = fetched.mapInArrow(_placed(n_words), "bucket bigint, grp bigint, side int, doc_id bigint, tokens binary")
-    links = scratch.table(placed.groupBy("bucket").applyInPandas(_linked(threshold, True), "a bigint, b bigint"), "links")
+    links = scratch.table(placed.groupBy("bucket").applyInPandas(_linked(threshold), "a bigint, b bigint"), "links")
 
     found = components(links, scratch, "found").withColumnRenamed("id", "rep")
     of_class = classes.join(found, "rep", "left").select("key1", "key2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))

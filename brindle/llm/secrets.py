@@ -1,10 +1,12 @@
 """Secret scans with one combined deterministic automaton.
 
-The rules' patterns are parsed, joined into one nondeterministic automaton with the rules as accepting labels, made
+The rules' patterns are parsed and joined into one nondeterministic automaton with the rules as accepting labels, made
 deterministic by subset construction and minimised by partition refinement; transitions are arrays of 256 states by
-byte. A single pass over a text's UTF-8 bytes drives all rules at once and ends in a state that tells whether any
-rule has matched; only such texts are passed through again, by the automaton's labels for which rules matched, and
-by the matched rules' own patterns for the exact spans (leftmost, not overlapping, within each kind).
+byte. Two automata come of it. The first one searches: it holds the rules' heads (a rule's first bytes, of fixed
+width) and reads each byte of a text once, for all rules; where a head ends, a match may begin. The second one holds
+the whole rules and starts there: it tells the longest match of each rule, or that there is none. Whole rules in
+the searching automaton would multiply their counted tails with one another, since each may begin within any other.
+Matches of a rule are taken leftmost first and don't overlap.
 
 Defined results: a null text counts as empty; spans count code points, with exclusive ends; repeated rows and
 further columns pass through.
@@ -12,7 +14,6 @@ further columns pass through.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,30 +30,31 @@ except ImportError:  # before Python 3.11
 
 @dataclass(frozen=True)
 class Rule:
-    """``trigger``: bytes that every kept match holds; ``pattern``: the exact matches; ``group`` has ``least`` characters or more.
+    """A pattern, and the fixed-width ``heads`` one of which each match begins with.
 
-    Long counted tails after a rare prefix are left to the pattern, since they'd multiply the automaton's states.
+    ``short``: a pattern whose matches are no finding but use up what they cover, where ``pattern`` doesn't match.
+    ``fold``: letters in either case.
     """
 
     kind: str
-    trigger: str
+    heads: tuple[str, ...]
     pattern: str
-    group: int = 0
-    least: int = 0
+    short: str | None = None
     fold: bool = False
 
 
+_KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 _ASSIGN = r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
 #: The three base kinds, then the further ones, in the order in which spans of equal start are listed.
 RULES = (
-    Rule("assign", _ASSIGN + r"[A-Za-z0-9+/_.=-]{6}", _ASSIGN + r"([A-Za-z0-9+/_.=-]+)", 2, 6, True),
-    Rule("access", r"AKIA[A-Z0-9]{4}", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]{24}", r"[0-9a-f]+", 0, 24),
-    Rule("key_block", r"-----BEGIN ", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]{0,20}PRIVATE KEY-----)?"),
-    Rule("git_token", r"gh[pousr]_[A-Za-z0-9]{4}", r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("chat_token", r"xox[abprs]-[A-Za-z0-9]{2}", r"xox[abprs]-[A-Za-z0-9-]{16,}"),
-    Rule("cloud_key", r"AIza[A-Za-z0-9_-]{4}", r"AIza[A-Za-z0-9_-]{35,}"),
-    Rule("signed_token", r"\.eyJ[A-Za-z0-9_-]{4}", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+)?"),
+    Rule("assign", _KEYWORDS, _ASSIGN + r"[A-Za-z0-9+/_.=-]{6,}", _ASSIGN + r"[A-Za-z0-9+/_.=-]{1,5}", fold=True),
+    Rule("access", ("AKIA",), r"AKIA[A-Z0-9]{16,}"),
+    Rule("hex", (r"[0-9a-f]{24}",), r"[0-9a-f]{24,}"),
+    Rule("key_block", ("-----BEGIN ",), r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]{0,20}PRIVATE KEY-----)?"),
+    Rule("git_token", (r"gh[pousr]_",), r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("chat_token", (r"xox[abprs]-",), r"xox[abprs]-[A-Za-z0-9-]{16,}"),
+    Rule("cloud_key", ("AIza",), r"AIza[A-Za-z0-9_-]{35,}"),
+    Rule("signed_token", ("eyJ",), r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+)?"),
 )
 BASE_KINDS = ("assign", "access", "hex")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -102,7 +104,7 @@ class _Nfa:
                     self.empty[at].append(end)
                     at = end
             else:
-                raise ValueError(f"a trigger can't hold {name}")
+                raise ValueError(f"a rule can't hold {name}")
         return at
 
 
@@ -122,8 +124,10 @@ def _bytes_of(name: str, value, fold: bool) -> frozenset[int]:
                 found.add(x)
             elif str(op) == "RANGE":
                 found |= set(range(x[0], x[1] + 1))
+            elif str(op) == "CATEGORY" and str(x) == "CATEGORY_SPACE":
+                found |= set(b" \t\n\r\f\v")
             else:
-                raise ValueError(f"a trigger's class can't hold {op}")
+                raise ValueError(f"a rule's class can't hold {op}")
         found = set(range(256)) - found if negate else found
     if fold:
         found |= {b ^ 32 for b in found if chr(b & ~32) in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" and b < 128}
@@ -132,39 +136,33 @@ def _bytes_of(name: str, value, fold: bool) -> frozenset[int]:
 
 @dataclass(frozen=True)
 class Automaton:
-    """``table[s * 256 + byte]`` is the next state; ``labels[s]`` the bit set of rules that match where s is entered."""
+    """``table[s * 256 + byte]`` is the next state; ``labels[s]`` the bit set of patterns that match where s is entered.
+
+    State 0 is the start. ``dead`` is the state that nothing leaves and that matches nothing, -1 if there is none.
+    """
 
     table: list[int]
     labels: list[int]
+    dead: int
 
-    def rules_in(self, data: bytes) -> int:
-        """Bit set of all rules that match somewhere in the bytes."""
-        table, labels, s, seen = self.table, self.labels, 0, 0
-        for b in data:
-            s = table[s << 8 | b]
-            seen |= labels[s]
-        return seen
-
-    def detector(self) -> list:
-        """The start row of linked rows, in which the first match leads to a row of itself: row[256] tells it."""
+    def linked_rows(self) -> list:
+        """The start row of linked rows: row[byte] is the next row, row[256] its labels."""
         rows: list[list] = [[] for _ in self.labels]
-        hit: list = []
-        hit.extend([hit] * 256 + [True])
         for s, row in enumerate(rows):
-            row.extend(hit if self.labels[t] else rows[t] for t in self.table[s * 256 : s * 256 + 256])
-            row.append(False)
+            row.extend(rows[t] for t in self.table[s * 256 : s * 256 + 256])
+            row.append(self.labels[s])
         return rows[0]
 
 
-def compile_rules(rules: tuple[Rule, ...]) -> Automaton:
-    """Subset construction and minimisation of the search for all triggers."""
+def compile_patterns(patterns: list[tuple[str, bool]], search: bool) -> Automaton:
+    """Subset construction and minimisation of (pattern, fold) pairs; with ``search``, matches may begin anywhere."""
     nfa = _Nfa()
     start = nfa.state()
     accepts: dict[int, int] = {}
-    for i, rule in enumerate(rules):
+    for i, (pattern, fold) in enumerate(patterns):
         begin = nfa.state()
         nfa.empty[start].append(begin)
-        accepts[nfa.add(sre.parse(rule.trigger), begin, rule.fold)] = 1 << i
+        accepts[nfa.add(sre.parse(pattern), begin, fold)] = 1 << i
 
     def closure(states: Iterable[int]) -> frozenset[int]:
         todo, seen = list(states), set(states)
@@ -187,7 +185,7 @@ def compile_rules(rules: tuple[Rule, ...]) -> Automaton:
         row = []
         for members in classes:
             b = members[0]
-            reached = closure({t for s in subset for bytes_, t in nfa.edges[s] if b in bytes_} | {start})
+            reached = closure({t for s in subset for bytes_, t in nfa.edges[s] if b in bytes_} | ({start} if search else set()))
             if reached not in numbers:
                 numbers[reached] = len(order)
                 order.append(reached)
@@ -213,28 +211,64 @@ def compile_rules(rules: tuple[Rule, ...]) -> Automaton:
         for b in members:
             of_byte[b] = c
     chosen = {block[s]: s for s in reversed(range(len(order)))}
-    return Automaton([block[table[chosen[k]][of_byte[b]]] for k in range(count) for b in range(256)], [labels[chosen[k]] for k in range(count)])
+    table = [block[table[chosen[k]][of_byte[b]]] for k in range(count) for b in range(256)]
+    labels = [labels[chosen[k]] for k in range(count)]
+    dead = next((k for k in range(count) if not labels[k] and set(table[k * 256 : k * 256 + 256]) == {k}), -1)
+    return Automaton(table, labels, dead)
 
 
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = rules
-        self.automaton = compile_rules(rules)
-        self.first = self.automaton.detector()
-        self.patterns = [re.compile(r.pattern, re.ASCII | (re.IGNORECASE if r.fold else 0)) for r in rules]
+        heads = [(i, head) for i, rule in enumerate(rules) for head in rule.heads]
+        self.first = compile_patterns([(head, rules[i].fold) for i, head in heads], search=True).linked_rows()
+        # Where a head's bit is set, its rule may have begun so many bytes before.
+        self.heads = [(i, _width(head)) for i, head in heads]
+        whole = [(i, False, rule.pattern) for i, rule in enumerate(rules)] + [(i, True, rule.short) for i, rule in enumerate(rules) if rule.short]
+        self.whole = compile_patterns([(pattern, rules[i].fold) for i, _, pattern in whole], search=False)
+        self.bits = [(sum(1 << j for j, (k, short, _) in enumerate(whole) if k == i and not short), sum(1 << j for j, (k, short, _) in enumerate(whole) if k == i and short)) for i in range(len(rules))]
+
+    def _match(self, data: bytes, start: int, rule: int) -> tuple[int, bool]:
+        """(end, found) of the longest match of a rule that begins there; the end is the start if there is none."""
+        table, labels, dead = self.whole.table, self.whole.labels, self.whole.dead
+        bits, short = self.bits[rule]
+        s, end, found, used = 0, start, False, start
+        for at in range(start, len(data)):
+            s = table[s << 8 | data[at]]
+            if s == dead:
+                break
+            if labels[s] & bits:
+                end, found = at + 1, True
+            elif labels[s] & short:
+                used = at + 1
+        return (end, True) if found else (used, False)
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         data, row = text.encode("utf-8", "surrogatepass"), self.first
-        for b in data:
-            row = row[b]
-        if not row[256]:
-            return []
-        matched = self.automaton.rules_in(data)
+        over = [0] * len(self.rules)
         found = []
-        for i, (rule, pattern) in enumerate(zip(self.rules, self.patterns, strict=True)):
-            if matched >> i & 1:
-                found += [(m.start(), i, m.end()) for m in pattern.finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
-        return [(self.rules[i].kind, start, end) for start, i, end in sorted(found)]
+        for at, b in enumerate(data, 1):
+            row = row[b]
+            if row[256]:
+                bits = row[256]
+                while bits:
+                    i, width = self.heads[(bits & -bits).bit_length() - 1]
+                    bits &= bits - 1
+                    if at - width >= over[i]:
+                        end, hit = self._match(data, at - width, i)
+                        over[i] = max(over[i], end)
+                        if hit:
+                            found.append((at - width, i, end))
+        ascii_ = len(data) == len(text)
+        place = (lambda p: p) if ascii_ else (lambda p: len(data[:p].decode("utf-8", "surrogatepass")))
+        return [(self.rules[i].kind, place(start), place(end)) for start, i, end in sorted(found)]
+
+
+def _width(head: str) -> int:
+    least, most = sre.parse(head).getwidth()
+    if least != most:
+        raise ValueError(f"a head must have a fixed width: {head}")
+    return least
 
 
 @lru_cache(4)
