@@ -14,9 +14,12 @@ so that no two are near each other: a large group of near copies stays in few ce
 so that a hot cell is many tasks, each with a bounded number of vectors; a block gives a row per vector with links,
 never its pairs.
 
-Defined results: vectors that are null, zero, hold null or non-finite components, or are of another length than most
-vectors, and vectors without an id, link with nothing. Repeated rows are vectors of their own. An empty table gives
-an empty table. Further columns are dropped; join them back by the id.
+Vectors of different lengths have no cosine and don't link; each length has pivots and cells of its own. Components are
+divided by the largest one first, so that no norm overflows or vanishes; vectors that are equal then are one entry.
+
+Defined results: vectors that are null, zero, or hold null or non-finite components, and vectors without an id, link
+with nothing. Repeated rows are vectors of their own. An empty table gives an empty table. Further columns are dropped;
+join them back by the id.
 """
 
 from __future__ import annotations
@@ -45,6 +48,31 @@ _PLACED = "cell int, home_block int, probe_block int, home boolean, own boolean,
 _FOUND = "rep bigint, links bigint, root bigint"
 
 
+def _by_length(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Small batches, each of vectors of one length."""
+    for at in range(0, len(batch), rows):
+        part = batch.slice(at, rows)
+        lengths = part.column("vec").value_lengths().to_numpy()
+        for n in np.unique(lengths).tolist():
+            yield part if (lengths == n).all() else part.take(pa.array(np.flatnonzero(lengths == n)))
+
+
+class _Pivots:
+    """The pivots of each length, and the number of its first cell."""
+
+    def __init__(self, points: list[np.ndarray]):
+        firsts = np.cumsum([0] + [len(p) for p in points]).tolist()
+        self.cells = firsts.pop()
+        self.of = {p.shape[1]: (p, first) for p, first in zip(points, firsts, strict=True)}
+
+    def places(self, vectors: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each vector's home cell; and (row, cell) of all cells that are looked into."""
+        points, first = self.of[vectors.shape[1]]
+        home, looks = _places(vectors, points, threshold)
+        row, cell = np.nonzero(looks)
+        return home + np.int32(first), row, cell + first
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
@@ -129,31 +157,32 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
         & F.exists("v", lambda x: x != 0)
     )
     rows = rows.withColumn("v", F.when(F.coalesce(usable, F.lit(False)), F.col("v")))
-    sizes = rows.filter("v IS NOT NULL").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    dims = sizes[0]["n"] if sizes else 0
-    rows = rows.withColumn("v", F.when(F.size("v") == dims, F.col("v")))
+    largest = F.array_max(F.transform("v", F.abs))
+    rows = rows.withColumn("v", F.transform("v", lambda x: x / largest))
     entries = scratch.table(rows.filter("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).select("rep", "n", F.col("v").alias("vec")), "entries")
-    total = entries.count()
-    wanted = min(MAX_PIVOTS, max(MIN_PIVOTS, total // CELL))
-    chosen = entries.orderBy(F.xxhash64("vec"), "rep").limit(min(SAMPLE, 4 * wanted)).collect()
-    if not chosen:
+    points = []
+    for length, total in sorted((r["length"], r["count"]) for r in entries.groupBy(F.size("vec").alias("length")).count().collect()):
+        wanted = min(MAX_PIVOTS, max(MIN_PIVOTS, total // CELL))
+        chosen = entries.filter(F.size("vec") == length).orderBy(F.xxhash64("vec"), "rep").limit(min(SAMPLE, 4 * wanted)).collect()
+        points.append(_apart(_unit(np.array([r["vec"] for r in chosen])), wanted))
+    if not points:
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    points = _apart(_unit(np.array([r["vec"] for r in chosen])), wanted)
-    shared_points = spark.sparkContext.broadcast(points)
+    pivots = _Pivots(points)
+    shared_pivots = spark.sparkContext.broadcast(pivots)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, len(shared_points.value)), np.int64)
+        counts = np.zeros((2, shared_pivots.value.cells), np.int64)
         for whole in batches:
-            for at in range(0, len(whole), 500):
-                home, looks = _places(_matrix(whole.slice(at, 500).column("vec")), shared_points.value, threshold)
+            for b in _by_length(whole):
+                home, _, cell = shared_pivots.value.places(_matrix(b.column("vec")), threshold)
                 counts[0] += np.bincount(home, minlength=counts.shape[1])
-                counts[1] += looks.sum(axis=0)
+                counts[1] += np.bincount(cell, minlength=counts.shape[1])
         role, cell = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(role == 0), pa.array(counts[role, cell])], names=["cell", "home", "n"])
 
-    # A row per pivot and role: bounded by MAX_PIVOTS.
+    # A row per pivot and role: bounded by MAX_PIVOTS for each length.
     counted = entries.mapInArrow(cells, "cell int, home boolean, n bigint").groupBy("cell", "home").agg(F.sum("n").alias("n")).collect()
-    blocks = np.zeros((2, len(points)), np.int64)
+    blocks = np.zeros((2, pivots.cells), np.int64)
     for r in counted:
         blocks[int(not r["home"]), r["cell"]] = -(-r["n"] // (BLOCK_HOMES if r["home"] else BLOCK_PROBES))
     shared_blocks = spark.sparkContext.broadcast(blocks)
@@ -161,11 +190,10 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         home_blocks, probe_blocks = shared_blocks.value
         for whole in batches:
-            for at in range(0, len(whole), 500):
-                b = whole.slice(at, 500)
-                home, looks = _places(_matrix(b.column("vec")), shared_points.value, threshold)
+            for b in _by_length(whole):
+                home, looker, looked = shared_pivots.value.places(_matrix(b.column("vec")), threshold)
                 reps = b.column("rep").to_numpy()
-                for role, salt, own, other, (row, cell) in ((True, 1, home_blocks, probe_blocks, (np.arange(len(b)), home)), (False, 2, probe_blocks, home_blocks, np.nonzero(looks))):
+                for role, salt, own, other, (row, cell) in ((True, 1, home_blocks, probe_blocks, (np.arange(len(b)), home)), (False, 2, probe_blocks, home_blocks, (looker, looked))):
                     mine = (_spread(reps, salt)[row] % own[cell].astype(np.uint64)).astype(np.int32)
                     times = other[cell]
                     # Each place once for each block of the other role.

@@ -72,3 +72,26 @@ def test_unusable_vectors_link_with_nothing(spark):
     found = pivots.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in found.collect()}
     assert got == {1: (2, 1, True), 2: (2, 1, False), 8: (2, 1, False), 3: (0, 3, True), 4: (0, 4, True), 5: (0, 5, True), 6: (0, 6, True), None: (0, None, True)}
+
+
+def test_lengths_and_sizes_of_components(spark):
+    rng = np.random.default_rng(9)
+    a, b, c = rng.normal(size=8), rng.normal(size=8), rng.normal(size=8)
+    rows = [(1, a), (2, a * 1e-200), (3, a * 1e200), (4, b * 1e-200), (5, -a), (6, np.array([3.0, 4.0])), (7, np.array([3.0, 4.1])), (8, np.array([4.0, -3.0])), (9, c * 5e-324 / np.abs(c).max()), (10, np.array([2.0])), (11, np.array([1.0])), (12, np.array([-1.0]))]
+    df = spark.createDataFrame([(i, [float(x) for x in v], 1) for i, v in rows], "vec_id bigint, embedding array<double>, v int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivots.near_vectors(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5), 6: (1, 6), 7: (1, 6), 8: (0, 8), 9: (0, 9), 10: (1, 10), 11: (1, 10), 12: (0, 12)}
+
+
+def test_empty_table(spark):
+    assert pivots.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).collect() == []
+
+
+def test_recall_of_the_default_settings(spark):
+    """Every link of three clusterings is found; the contract asks for nine tenths."""
+    for seed in (1, 2, 3):
+        vectors = _planted(3000, [500 * seed, 200, 50, 7], seed)
+        want, got = _brute(np.arange(3000), vectors, 0.95), _run(spark, vectors, 0.95)
+        links = sum(w[0] for w in want.values())
+        assert links and sum(min(got[i][0], w[0]) for i, w in want.items()) >= 0.9 * links
+        assert all(got[i][0] <= w[0] for i, w in want.items())
