@@ -9,7 +9,8 @@ features are made in parallel and gathered in one task, which learns sample by s
 broadcast weights (2 ** BITS floats).
 
 Defined results: a null or blank text has no features and scores the intercept; without usable labels every score is
-0.5; several labels of one id count as their minimum, null labels not at all; repeated rows and further columns stay.
+0.5; several labels of one id count as their minimum, null labels not at all; of several texts of a labelled id one is
+learned; repeated rows and further columns stay, but for columns named like the added ones, which these replace.
 """
 
 from __future__ import annotations
@@ -141,7 +142,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
         w = learn([(np.frombuffer(s, np.int32), np.frombuffer(v, np.float32), y) for _, _, s, v, y in rows_])
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["weights"])
 
+    # Of rows that repeat an id the smallest counts, so that the bound on labels is one on samples too.
     made = sample.mapInArrow(featured, "id string, label int, slots binary, shares binary")
+    made = made.groupBy("id").agg(F.min(F.struct("label", "slots", "shares")).alias("s")).select("id", "s.*")
     found = made.repartition(1).mapInArrow(fitted, "weights binary").collect()
     return np.frombuffer(found[0]["weights"], np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
 

@@ -1,8 +1,9 @@
 """Best-fit packing of documents into bins of a fixed number of words, under conflicts.
 
 Two rows of one duplicate cluster never share a bin, and a bin holds at most ``per_source`` rows of one source.
-Rows are dealt by a hash of their id to groups of about ``GROUP_ROWS`` rows, each packed by one task: any key, also
-one that holds a third of all rows, spreads evenly, and a task holds lengths and keys only, no texts. Within a
+Rows get a number each, which is written with their lengths and keys, and are dealt by its hash to groups of about
+``GROUP_ROWS`` rows, each packed by one task: any key, also one that holds a third of all rows, and rows that repeat
+without end spread evenly, and a task holds lengths and keys only, no texts. Within a
 group, best-fit decreasing: open bins are ordered by residual capacity; the search begins at the first residual that
 fits and goes on to its successors until a bin admits the row, which is the tightest compatible bin. Bins carry
 bitmaps of the duplicate clusters they hold and, as planes of a unary counter, of their sources.
@@ -23,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 CAPACITY, PER_SOURCE, GROUP_ROWS = 4096, 4, 2000
 
 PACKED = "doc_id bigint, piece int, first_word bigint, n_words bigint, bin_group bigint, bin_no int, bin_words bigint"
@@ -110,13 +113,16 @@ def pack(
     body = f"trim(BOTH {blank} FROM coalesce(`{text}`, ''))"
     words = f"split({body}, '[ \\\\t-\\\\r]+')"
     key = F.col(cluster).cast("string") if cluster else F.expr(f"CASE WHEN {body} != '' THEN sha2(lower(regexp_replace({body}, '[ \\\\t-\\\\r]+', ' ')), 256) END")
-    groups = max(1, -(-df.count() // group_rows))
     light = df.select(
         F.col(doc_id).cast("bigint").alias("doc_id"),
         F.expr(f"CASE WHEN {body} = '' THEN 0L ELSE cast(size({words}) AS bigint) END").alias("n"),
         F.col(source).cast("string").alias("source"),
         key.alias("cluster"),
-    ).withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(groups)))
+        F.monotonically_increasing_id().alias("row"),
+    )
+    light = Scratch(df.sparkSession).table(light, "light")
+    groups = max(1, -(-light.count() // group_rows))
+    light = light.withColumn("bin_group", F.pmod(F.xxhash64("row"), F.lit(groups)))
     packed = light.groupBy("bin_group").applyInPandas(_pack_group(capacity, per_source), PACKED)
     return packed.select(
         "doc_id", "piece", "first_word", "n_words",

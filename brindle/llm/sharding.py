@@ -6,7 +6,8 @@ slots change hands when a shard comes or goes. Placement is one hash and one pro
 size is the parameter ``slots``.
 
 Defined results: the key is cast to a string; null keys are placed by a fixed text of their own; equal keys share a
-shard; an empty table gives an empty table; further columns pass through.
+shard; an empty table gives an empty table; further columns pass through, but for those named like the added ones,
+which these replace.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 NULL_KEY = "\x00null"
 #: A hundred slots a shard keep the shares within a hundredth; the table's size is bounded.
 SHARDS, SLOTS, MAX_SLOTS = 40, 4099, 1_000_003
@@ -61,4 +64,6 @@ def shard(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS, slot_c
         F.col("id").alias(slot_col),
         F.element_at(F.split(F.lit(owner), ","), (F.col("id") + 1).cast("int")).cast("bigint").alias(shard_col),
     )
-    return df.withColumn(slot_col, slot_of(F.col(key), slots)).join(F.broadcast(table), slot_col, "inner")
+    (slot,) = fresh(df.columns, "_slot")
+    placed = df.withColumn(slot, slot_of(F.col(key), slots)).drop(slot_col, shard_col).withColumnRenamed(slot, slot_col)
+    return placed.join(F.broadcast(table), slot_col, "inner")

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
 
 LENGTH, K = 100, 40
 HOT, BUCKET_SEGMENTS, BLOCK = 128, 4_000, 1 << 20
@@ -507,7 +507,8 @@ def strip(df: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "
             out.append(t)
         return pa.array(out, pa.string())
 
-    keyed = df.withColumn("_key", F.xxhash64(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    cuts = found.filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_key"])
-    joined = keyed.join(cuts, (F.col(doc_id).cast("bigint") == F.col("_id")) & (keyed["_key"] == cuts["_key"]), "left")
-    return joined.withColumn(text, F.arrow_udf(run, "string")(F.col(text), F.col("_spans"))).select(*df.columns)
+    key, id_, cut = fresh(df.columns, "_key", "_id", "_spans")
+    keyed = df.withColumn(key, F.xxhash64(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    cuts = found.filter("n_removed > 0").select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("spans").alias(cut)).dropDuplicates([id_, key])
+    joined = keyed.join(cuts, (F.col(doc_id).cast("bigint") == F.col(id_)) & (keyed[key] == cuts[key]), "left")
+    return joined.withColumn(text, F.arrow_udf(run, "string")(F.col(text), F.col(cut))).select(*df.columns)
