@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 BITS = 18
 TRAIN_ROWS = 6000
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 1e-3, 1e-3
@@ -143,9 +145,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["weights"])
 
     # Of rows that repeat an id the smallest counts, so that the bound on labels is one on samples too.
-    made = sample.mapInArrow(featured, "id string, label int, slots binary, shares binary")
+    made = sample.mapInArrow(tidy(featured, _hashes), "id string, label int, slots binary, shares binary")
     made = made.groupBy("id").agg(F.min(F.struct("label", "slots", "shares")).alias("s")).select("id", "s.*")
-    found = made.repartition(1).mapInArrow(fitted, "weights binary").collect()
+    found = made.repartition(1).mapInArrow(tidy(fitted), "weights binary").collect()
     return np.frombuffer(found[0]["weights"], np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
 
 
@@ -153,15 +155,19 @@ def score(df: DataFrame, weights: np.ndarray, text: str = "text", score_col: str
     """Adds the probability (double) that a text is of label 1."""
     shared = df.sparkSession.sparkContext.broadcast(weights)
 
-    def run(texts: pa.Array) -> pa.Array:
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w = shared.value
-        out = []
-        for t in texts:
-            logit = float(w[-1])
-            for family in ngrams(t.as_py()):
-                logit += SCALE * float(w[family].mean(dtype=np.float64))
-            out.append(_logistic(logit))
-        return pa.array(out, pa.float64())
+        for texts in batches:
+            out = []
+            for t in texts:
+                logit = float(w[-1])
+                for family in ngrams(t.as_py()):
+                    logit += SCALE * float(w[family].mean(dtype=np.float64))
+                out.append(_logistic(logit))
+            yield pa.array(out, pa.float64())
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(scores, _hashes)(batches)
 
     return df.withColumn(score_col, F.arrow_udf(run, "double")(F.col(text)))
 

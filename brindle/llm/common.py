@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,46 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
+def tidy(run: Callable[[Iterator], Iterator], *caches: dict) -> Callable[[Iterator], Iterator]:
+    """``run``, and after a task's last batch its memory goes back to the machine: workers stay for tasks of other jobs."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            for cache in caches:
+                cache.clear()
+            give_back()
+
+    return tidied
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc, or no dynamic linking: nothing to trim
+
+
+#: The folders opened within each ``released`` block that is under way.
+_released: list[list[Scratch]] = []
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Removes, at its end, the folders that operators have opened in the block: by then their results must be written."""
+    _released.append([])
+    try:
+        yield
+    finally:
+        for scratch in _released.pop():
+            scratch.close()
+
+
 class Scratch:
     """A folder of tables under spark.checkpoint.dir, which driver and executors share.
 
@@ -35,10 +79,18 @@ class Scratch:
             root = tempfile.mkdtemp(prefix="brindle-")
             spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
         self.path = f"{root.rstrip('/')}/brindle-{uuid.uuid4().hex}"
+        for held in _released[-1:]:
+            held.append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        held = self.spark.conf.get(_BATCH)
+        # Whole texts go to Python in batches of some MB: a worker has two of them at a time.
+        self.spark.conf.set(_BATCH, str(min(int(held), BATCH_ROWS)) if int(held) > 0 else str(BATCH_ROWS))
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_BATCH, held)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def close(self) -> None:

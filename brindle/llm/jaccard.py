@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Unions, components
+from .common import Scratch, Unions, components, tidy
 
 WORDS, THRESHOLD = 4, 85
 BLOCK, BUCKET_SETS = 1500, 2000
@@ -381,12 +381,12 @@ def similar_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_w
     scratch = Scratch(df.sparkSession)
     edges = bounds(1 << 40, threshold)
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("data"))
-    light = scratch.table(docs.mapInArrow(_light(n_words, edges, threshold), "doc_id bigint, key1 bigint, key2 bigint, n_shingles bigint, class int, map binary"), "light")
+    light = scratch.table(docs.mapInArrow(tidy(_light(n_words, edges, threshold), _words), "doc_id bigint, key1 bigint, key2 bigint, n_shingles bigint, class int, map binary"), "light")
     usable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     classes = scratch.table(light.filter(usable).groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("class").alias("class")), "classes")
 
-    sigs = docs.filter("doc_id IS NOT NULL AND data IS NOT NULL").select("data").mapInArrow(_signature_rows(n_words, edges, threshold), "sig bigint, key1 bigint")
-    met = sigs.repartition("sig").sortWithinPartitions("sig", "key1").mapInArrow(_meetings, "a bigint, b bigint").distinct()
+    sigs = docs.filter("doc_id IS NOT NULL AND data IS NOT NULL").select("data").mapInArrow(tidy(_signature_rows(n_words, edges, threshold), _words), "sig bigint, key1 bigint")
+    met = sigs.repartition("sig").sortWithinPartitions("sig", "key1").mapInArrow(tidy(_meetings), "a bigint, b bigint").distinct()
     met = scratch.table(met, "met")
     led = met.select(F.col("a").alias("key1"), F.col("b").alias("grp")).unionAll(met.select(F.col("b").alias("key1"), F.col("b").alias("grp")).distinct())
     members = _large(scratch.table(classes.join(led, "key1").select("rep", "key1", "n_shingles", "class", "grp"), "members"), scratch, "large")
@@ -399,7 +399,7 @@ def similar_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_w
     wanted = places.groupBy("rep", "key1").agg(F.collect_list(F.struct("bucket", "grp", "side")).alias("places")).withColumnRenamed("rep", "doc_id")
     # Never by broadcast: what is wanted grows with the table, and so the plan is the same at every size.
     fetched = docs.join(wanted.hint("merge"), "doc_id").select("doc_id", "key1", "data", "places")
-    placed = fetched.mapInArrow(_placed(n_words), "bucket bigint, grp bigint, side int, doc_id bigint, tokens binary")
+    placed = fetched.mapInArrow(tidy(_placed(n_words), _words), "bucket bigint, grp bigint, side int, doc_id bigint, tokens binary")
     links = scratch.table(placed.groupBy("bucket").applyInPandas(_linked(threshold), "a bigint, b bigint"), "links")
 
     found = components(links, scratch, "found").withColumnRenamed("id", "rep")

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh
+from .common import Scratch, fresh, tidy
 
 LENGTH, K = 100, 40
 HOT, BUCKET_SEGMENTS, BLOCK = 128, 4_000, 1 << 20
@@ -444,13 +444,13 @@ def find_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
     firsts_of = light.filter("doc_id IS NOT NULL").groupBy("text_key", "key2").agg(F.min("doc_id").alias("first_id"))
     firsts_of = scratch.table(firsts_of, "texts")
 
-    marks = docs.filter("doc_id IS NOT NULL").select("text_key", "data").mapInArrow(_anchor_rows(length), "mark bigint, text_key bigint")
+    marks = docs.filter("doc_id IS NOT NULL").select("text_key", "data").mapInArrow(tidy(_anchor_rows(length)), "mark bigint, text_key bigint")
     # Both marks of a hash meet in a partition: the lowest bit takes no part in the dealing.
     dealt = marks.repartition(F.shiftright("mark", 1)).sortWithinPartitions(F.shiftright("mark", 1), "text_key")
-    repeated = scratch.table(dealt.mapInArrow(_repeated, "hash bigint, text_key bigint"), "repeated")
+    repeated = scratch.table(dealt.mapInArrow(tidy(_repeated), "hash bigint, text_key bigint"), "repeated")
     held = repeated.groupBy("text_key").agg(F.collect_list("hash").alias("hashes")).join(firsts_of, "text_key").select(F.col("first_id").alias("doc_id"), "text_key", "hashes")
     fetched = docs.join(held, ["doc_id", "text_key"])
-    texts = scratch.table(fetched.select("doc_id", "text_key", "data", "hashes").mapInArrow(_windows(length), "doc_id bigint, text_key bigint, data binary, cuts binary"), "cut")
+    texts = scratch.table(fetched.select("doc_id", "text_key", "data", "hashes").mapInArrow(tidy(_windows(length)), "doc_id bigint, text_key bigint, data binary, cuts binary"), "cut")
     scratch.drop("repeated")
 
     # The place (id, start) as one number, which partial aggregation keeps in order.
@@ -461,21 +461,21 @@ def find_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
     def distinct(cut: DataFrame, name: str) -> DataFrame:
         return scratch.table(cut.groupBy("hash", "data").agg(F.min(place.cast("decimal(38,0)")).alias("place")), name)
 
-    cut = distinct(texts.select("doc_id", "data", "cuts").mapInArrow(_cut_out(length), schema), "segments")
+    cut = distinct(texts.select("doc_id", "data", "cuts").mapInArrow(tidy(_cut_out(length)), schema), "segments")
     held, cool = cut, []
     for width in WIDTHS:
         counts = held.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
         hot = scratch.table(counts.filter(F.col("n") > HOT).select("hash", F.lit(True).alias("hot")), f"hot-{width}")
         flagged = held.join(hot, "hash", "left").select("hash", "data", *unpacked, "hot")
         cool.append(flagged.filter("hot IS NULL").drop("hot"))
-        held = distinct(flagged.filter("hot").drop("hot").mapInArrow(_blocks(length, width), schema), f"blocks-{width}")
+        held = distinct(flagged.filter("hot").drop("hot").mapInArrow(tidy(_blocks(length, width)), schema), f"blocks-{width}")
     cool.append(held.select("hash", "data", *unpacked))
     buckets = max(1, -(-cut.count() // BUCKET_SEGMENTS))
     dealt = reduce(DataFrame.unionAll, cool).withColumn("bucket", F.pmod(F.xxhash64("hash"), F.lit(buckets)))
     firsts = dealt.groupBy("bucket").applyInPandas(_firsts(length), "doc_id bigint, start bigint, n bigint")
     by_text = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("firsts"))
     removed = texts.join(by_text, "doc_id", "left").select("doc_id", "text_key", "data", "cuts", "firsts").mapInArrow(
-        _remove(length), f"doc_id bigint, text_key bigint, spans {_SPANS}, n_removed bigint, kept_sha256 string"
+        tidy(_remove(length)), f"doc_id bigint, text_key bigint, spans {_SPANS}, n_removed bigint, kept_sha256 string"
     )
     removed = scratch.table(removed, "removed").dropDuplicates(["doc_id", "text_key"])
 
