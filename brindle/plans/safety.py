@@ -75,12 +75,6 @@ def paragraph_pack(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.select("doc_id", "chunk", F.length("piece").alias("n_chars"), "piece")
 
 
-@registry.query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(coalesce(text, ''), '[0-9]{3}-[0-9]{4}'))), ',') AS refs FROM documents""")
-def cross_references(spark: SparkSession, sf: str) -> DataFrame:
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([0-9]{3}-[0-9]{4})"), F.lit(1))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("refs"))
-
-
 @registry.query("""WITH p AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS full_, string_split(text, chr(10)) AS pages FROM documents WHERE text IS NOT NULL),
 m AS (SELECT doc_id, len(pages) AS n, len(full_) AS filled, length(trim(text)) AS chars FROM p)
 SELECT doc_id, CAST(n AS BIGINT) AS pages, round((n - filled) / CAST(n AS DOUBLE), 6) AS empty_ratio, round(chars / CAST(n AS DOUBLE), 6) AS chars_per_page,
@@ -99,27 +93,6 @@ def parse_quality(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.col("n").cast("bigint").alias("pages"), F.round(empty, 6).alias("empty_ratio"), F.round(density, 6).alias("chars_per_page"), reason.alias("reason"), scan.alias("scan_likelihood"))
 
 
-@registry.query(r"""WITH p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role) AS before FROM conversations),
-n AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(coalesce(text, ''), '[0-9]+')) AS a, list_distinct(regexp_extract_all(coalesce(before, ''), '[0-9]+')) AS b FROM p),
-u AS (SELECT conv_id, turn, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS ungrounded FROM n)
-SELECT conv_id, turn, CAST(ungrounded AS BIGINT) AS ungrounded, round(greatest(0.0::DOUBLE, 1 - 0.15::DOUBLE * ungrounded), 6) AS score, greatest(0.0::DOUBLE, 1 - 0.15::DOUBLE * ungrounded) >= 0.7 AS grounded FROM u""")
-def grounding_score(spark: SparkSession, sf: str) -> DataFrame:
-    """Numbers of a turn that the turn before doesn't hold."""
-    c = table(spark, sf, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "role")))
-    numbers = lambda t: F.array_distinct(F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit("([0-9]+)"), F.lit(1)))
-    missing = F.size(F.array_except(numbers(F.col("text")), numbers(F.col("before")))).cast("bigint")
-    score = F.greatest(F.lit(0.0), 1 - 0.15 * missing)
-    return c.select("conv_id", "turn", missing.alias("ungrounded"), F.round(score, 6).alias("score"), (score >= 0.7).alias("grounded"))
-
-
-@registry.query(r"""SELECT conv_id, turn, role, CASE WHEN regexp_matches(lower(text), 'fired|terminated|harass|unsafe') THEN 'high_stakes' WHEN regexp_matches(lower(text), 'how much|pay|wage|[$]') THEN 'wage' ELSE 'contract' END AS intent,
-regexp_matches(lower(text), '[?] *$') AS question FROM conversations""")
-def intent_flags(spark: SparkSession, sf: str) -> DataFrame:
-    low = F.lower("text")
-    intent = F.when(low.rlike("fired|terminated|harass|unsafe"), "high_stakes").when(low.rlike("how much|pay|wage|[$]"), "wage").otherwise("contract")
-    return table(spark, sf, "conversations").select("conv_id", "turn", "role", intent.alias("intent"), low.rlike(r"[?] *\z").alias("question"))
-
-
 @registry.query(f"""SELECT conv_id, turn, role, {_INJECTION_SQL.format(c='text')} AS reasons, len(list_filter(regexp_split_to_array(text, '[ \\t\\n]+'), lambda x: x <> '')) > 4000 AS over_limit FROM conversations""")
 def prompt_scan(spark: SparkSession, sf: str) -> DataFrame:
     words = F.size(F.filter(F.split("text", "[ \t\n]+"), lambda x: x != ""))
