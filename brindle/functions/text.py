@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -40,8 +41,12 @@ PERSONAL = (
 
 def tokens(text: Column, least: int = 2) -> Column:
     """Lower-case words of a-z and 0-9 with ``least`` characters or more; words with other letters give none."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    return F.filter(words, lambda w: w.rlike(f"^[a-z0-9]{{{least},}}$"))
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}_])([a-z0-9]{{{least},}}+)(?![\p{{L}}\p{{N}}_])"), F.lit(1))
+
+
+def runs(text: Column, least: int = 2) -> Column:
+    """Lower-case runs of a-z and 0-9 with ``least`` characters or more, also within words of other letters."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"([a-z0-9]{{{least},}})"), F.lit(1))
 
 
 def search_terms(text: Column, most: int = 8) -> Column:
@@ -66,18 +71,68 @@ def injection_labels(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(found)))
 
 
+#: What every match of a class holds, so that most texts are spared its pattern.
+_GUARDS = {
+    "ssn": r"\d{2}[- ]?\d{4}(?!\w)", "email": r"@[A-Za-z0-9.-]+\.[A-Za-z]{2}", "phone": r"\d{3}[-.\s]?\d{4}(?!\d)", "dob": r"(?i)d(?:ob|ate)", "address": "(?i)address",
+    "routing_number": "(?i)routing", "account_number": "(?i)ac(?:count|ct)", "card_number": r"\d[ -]*\d[ -]*\d[ -]*\d(?!\w)", "member_id": r"(?i)member|employee", "secret": "(?i)key|secret|token|password",
+}
+
+
+def redaction(text: Column) -> Column:
+    """struct<text, classes>: personal data replaced, class after class, and the sorted classes that were found.
+
+    A fold over the classes' numbers, so that each pattern is run once on the text that those before it left.
+    """
+    def step(state: Column, number: Column) -> Column:
+        here, out, found = state["text"], state["text"], F.lit(None).cast("string")
+        for i, (name, pattern, mask) in enumerate(PERSONAL):
+            now = F.when(here.rlike(_GUARDS[name]), F.regexp_replace(here, pattern, mask)).otherwise(here)
+            out = F.when(number == i, now).otherwise(out)
+            found = F.when(number == i, F.lit(name)).otherwise(found)
+        # A class counts if its pattern matched; a replacement always differs from what it replaces.
+        return F.struct(out.alias("text"), F.when(out != here, F.concat(state["classes"], F.array(found))).otherwise(state["classes"]).alias("classes"))
+
+    start = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.array().cast("array<string>").alias("classes"))
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(len(PERSONAL) - 1)), start, step)
+    return F.struct(done["text"].alias("text"), F.array_sort(done["classes"]).alias("classes"))
+
+
+#: What every match of a class holds, so that most texts are spared its pattern.
+_GUARDS = {
+    "ssn": r"\d{2}[- ]?\d{4}(?!\w)", "email": r"@[A-Za-z0-9.-]+\.[A-Za-z]{2}", "phone": r"\d{3}[-.\s]?\d{4}(?!\d)", "dob": r"(?i)d(?:ob|ate)", "address": "(?i)address",
+    "routing_number": "(?i)routing", "account_number": "(?i)ac(?:count|ct)", "card_number": r"(?:\d[ -]*+){12}\d", "member_id": r"(?i)member|employee", "secret": "(?i)key|secret|token|password",
+}
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def redaction(text: Column) -> Column:
+    """struct<text, classes>: personal data replaced, class after class, and the sorted classes that were found.
+
+    Each step binds the text that the step before left, so that every pattern is run once; a replacement always differs.
+    """
+    def step(state: Column, name: str, pattern: str, mask: str) -> Column:
+        def replaced(s: Column) -> Column:
+            now = F.when(s["text"].rlike(_GUARDS[name]), F.regexp_replace(s["text"], pattern, mask)).otherwise(s["text"])
+            return _bound(now, lambda t: F.struct(t.alias("text"), F.when(t != s["text"], F.concat(s["classes"], F.array(F.lit(name)))).otherwise(s["classes"]).alias("classes")))
+
+        return _bound(state, replaced)
+
+    start = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.array().cast("array<string>").alias("classes"))
+    return _bound(reduce(lambda state, rule: step(state, *rule), PERSONAL, start), lambda s: F.struct(s["text"].alias("text"), F.array_sort(s["classes"]).alias("classes")))
+
+
 def redact(text: Column) -> Column:
     """Personal data replaced, class after class."""
-    return reduce(lambda t, rule: F.regexp_replace(t, rule[1], rule[2]), PERSONAL, F.coalesce(text, F.lit("")))
+    return redaction(text)["text"]
 
 
 def redacted_classes(text: Column) -> Column:
     """Sorted classes whose pattern occurs once those before it are replaced."""
-    state, found = F.coalesce(text, F.lit("")), []
-    for name, pattern, mask in PERSONAL:
-        found.append(F.when(state.rlike(pattern), F.lit(name)))
-        state = F.regexp_replace(state, pattern, mask)
-    return F.array_sort(F.array_compact(F.array(*found)))
+    return redaction(text)["classes"]
 
 
 def safety_status(labels: Column, classes: Column) -> Column:

@@ -24,10 +24,28 @@ def email_redact(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.sha2(F.regexp_replace(t, pattern, "$1***@$3"), 256).alias("redacted_sha256"), F.regexp_count(t, F.lit(pattern)).cast("bigint").alias("n_emails"))
 
 
-@registry.query()
+def _redaction_sql() -> str:
+    """t0 to t10: the text after each class of personal data. What the phone pattern looks behind at is kept as a group.
+
+    Two passes over phones: the character that parts two numbers can only belong to one match.
+    """
+    steps = ["t0 AS (SELECT doc_id, text AS raw, coalesce(text, '') AS x, CAST([] AS VARCHAR[]) AS classes FROM documents)"]
+    for i, (name, pattern, mask) in enumerate(T.PERSONAL):
+        to = re.sub(r"\$(\d)", r"\\\1", mask)
+        if name == "phone":
+            pattern, to = r"(^|[^\d])" + pattern.removeprefix(r"(?<!\d)").removesuffix(r"(?!\d)") + r"($|[^\d])", r"\1(***) ***-\4\5"
+        once = f"regexp_replace(x, '{pattern.removeprefix('(?i)')}', '{to}', '{'gi' if pattern.startswith('(?i)') else 'g'}')"
+        steps.append(f"u{i + 1} AS (SELECT *, {once} AS y FROM t{i})")
+        again = once.replace("(x,", "(y,") if name == "phone" else "y"
+        steps.append(f"t{i + 1} AS (SELECT doc_id, raw, {again} AS x, CASE WHEN y <> x THEN list_append(classes, '{name}') ELSE classes END AS classes FROM u{i + 1})")
+    return ", ".join(steps)
+
+
+@registry.query(f"WITH {_redaction_sql()} SELECT doc_id, x AS redacted, array_to_string(list_sort(classes), ',') AS classes FROM t10")
 def pii_redact(spark: SparkSession, sf: str) -> DataFrame:
-    """All ten classes in their order; the phone pattern looks behind, which the oracle's regexes can't."""
-    return table(spark, sf, "documents").select("doc_id", T.redact(F.col("text")).alias("redacted"), F.array_join(T.redacted_classes(F.col("text")), ",").alias("classes"))
+    """All ten classes in their order."""
+    d = table(spark, sf, "documents").select("doc_id", T.redaction(F.col("text")).alias("r"))
+    return d.select("doc_id", F.col("r.text").alias("redacted"), F.array_join("r.classes", ",").alias("classes"))
 
 
 _INJECTION_SQL = "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(coalesce({{c}}, '')), '{p}') THEN '{label}' END" for label, p in T.INJECTION).replace("{0,40}", "{{0,40}}") + "], lambda x: x IS NOT NULL))), ',')"
@@ -38,7 +56,9 @@ def injection_labels(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.array_join(T.injection_labels(F.col("text")), ",").alias("labels"))
 
 
-@registry.query()
+@registry.query(f"""WITH {_redaction_sql()}, s AS (SELECT doc_id, list_filter(string_split({_INJECTION_SQL.format(c='raw')}, ','), lambda x: x <> '') AS labels, classes FROM t10)
+SELECT doc_id, CASE WHEN len(labels) > 0 THEN 'blocked_prompt_injection' WHEN len(classes) > 0 THEN 'flagged_sensitive_data' ELSE 'clear' END AS status, len(labels) = 0 AS member_visible,
+array_to_string(list_sort(list_distinct(list_concat(labels, list_transform(classes, lambda c: 'sensitive_' || c)))), ',') AS reasons FROM s""")
 def safety_status(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", T.injection_labels(F.col("text")).alias("labels"), T.redacted_classes(F.col("text")).alias("classes"))
     reasons = F.array_sort(F.array_union("labels", F.transform("classes", lambda c: F.concat(F.lit("sensitive_"), c))))
