@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .windows import ordinal
+
 
 def row_hash(*columns: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[c.cast("string") for c in columns]), 256)
@@ -34,9 +36,7 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFr
     return a.join(b, key, "full_outer").select(key, state.alias("state"))
 
 
-def duplicate_suffix(df: DataFrame, name: str, order: list[Column], out: str) -> DataFrame:
-    """The first row of a name keeps it; the others get __dup1, __dup2 and so on, in order."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
-    return df.withColumn(out, F.when(n == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("__dup"), n.cast("string"))))
+def duplicate_suffix(df: DataFrame, name: str, order: str, out: str) -> DataFrame:
+    """The first row of a name, by a unique number, keeps it; the others get __dup1, __dup2 and so on, in order."""
+    numbered = ordinal(df, name, order, "_n")
+    return numbered.withColumn(out, F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("__dup"), (F.col("_n") - 1).cast("string")))).drop("_n")

@@ -51,3 +51,17 @@ def sessions(df: DataFrame, key: str, ts: str, tie: str, gap_seconds: int) -> Da
 
 def running_total(df: DataFrame, keys: list[str], order: list, value: str, name: str) -> DataFrame:
     return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def ordinal(df: DataFrame, key: str, order: str, name: str, parts: int = 64) -> DataFrame:
+    """Adds each row's number within its key, by a unique number: places within ranges of it, and counts of what lies before.
+
+    A key that holds most rows spreads over the ranges; only counts per key and range are ordered by key.
+    """
+    bounds = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.005)))
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    ranged = df.withColumn("_part", part)
+    counts = ranged.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(key).orderBy("_part")) - F.col("_n")).drop("_n")
+    local = ranged.withColumn("_i", F.row_number().over(Window.partitionBy(key, "_part").orderBy(order)))
+    return local.join(before, [key, "_part"]).withColumn(name, F.col("_i") + F.col("_before")).drop("_part", "_i", "_before")

@@ -52,7 +52,7 @@ def content_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 @registry.query("""SELECT p_partkey, CASE WHEN r = 1 THEN p_type ELSE p_type || '__dup' || CAST(r - 1 AS VARCHAR) END AS chunk_id FROM (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS r FROM part)""")
 def dup_id_suffix(spark: SparkSession, sf: str) -> DataFrame:
-    return versions.duplicate_suffix(table(spark, sf, "part"), "p_type", ["p_partkey"], "chunk_id").select("p_partkey", "chunk_id")
+    return versions.duplicate_suffix(table(spark, sf, "part"), "p_type", "p_partkey", "chunk_id").select("p_partkey", "chunk_id")
 
 
 @registry.query("""WITH j AS (SELECT quality = 1 AS t, d.n_chars >= 500 AS p FROM labels JOIN documents d USING (doc_id) WHERE quality IS NOT NULL), c AS (SELECT count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (t AND NOT p) AS fn, count(*) FILTER (NOT t AND NOT p) AS tn FROM j)
