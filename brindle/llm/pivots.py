@@ -157,8 +157,9 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
         & F.exists("v", lambda x: x != 0)
     )
     rows = rows.withColumn("v", F.when(F.coalesce(usable, F.lit(False)), F.col("v")))
-    largest = F.array_max(F.transform("v", F.abs))
-    rows = rows.withColumn("v", F.transform("v", lambda x: x / largest))
+    # The largest component is bound once a vector; named within the inner function it would be sought for each component.
+    scaled = F.transform(F.array(F.array_max(F.transform("v", F.abs))), lambda m: F.transform("v", lambda x: x / m))[0]
+    rows = rows.withColumn("v", scaled)
     entries = scratch.table(rows.filter("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).select("rep", "n", F.col("v").alias("vec")), "entries")
     points = []
     for length, total in sorted((r["length"], r["count"]) for r in entries.groupBy(F.size("vec").alias("length")).count().collect()):
