@@ -35,5 +35,15 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: dict[str, f
     return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("_below") > at(s), F.col(value))).alias(name) for name, s in shares.items()], F.sum("_c").alias("n"))
 
 
+def with_composite(grades: DataFrame) -> DataFrame:
+    """Adds final and composite to grades of factual, complete (0 to 3), entailment (0 to 1), calibrated and hard_fail.
+
+    A hard failure makes both 0; an entailment under a half caps the final score at 2.
+    """
+    final = F.when(F.col("hard_fail"), 0).when(F.col("entailment") < 0.5, F.least(F.lit(2).cast("bigint"), "factual")).otherwise(F.col("factual"))
+    score = F.col("final") * 0.4 + F.col("complete") * 0.3 + F.col("entailment") * 3 * 0.2 + F.when(F.col("calibrated"), 3).otherwise(0) * 0.1
+    return grades.withColumn("final", final.cast("bigint")).withColumn("composite", F.when(F.col("final") == 0, 0.0).otherwise(score))
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
