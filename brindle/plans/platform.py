@@ -62,25 +62,6 @@ def dashboard_summary(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@registry.query(f"""WITH {EV}, g AS (SELECT tenant, count(*) FILTER (ts >= TIMESTAMP '{DAY}') AS reqs, CAST(coalesce(sum(k) FILTER (ts >= TIMESTAMP '{DAY}'), 0) AS BIGINT) AS tokens,
-round(coalesce(sum(value) FILTER (ts >= TIMESTAMP '{DAY}'), 0), 4) AS cost, count(*) FILTER (ts >= TIMESTAMP '{HOUR}') AS hourly FROM e GROUP BY tenant)
-SELECT tenant, reqs, tokens, cost, CASE WHEN tenant = 9 THEN 'paused' WHEN reqs + 1 > 40 THEN 'request_cap' WHEN tokens + 100 > 2000 THEN 'token_cap' WHEN hourly + 1 > 5 THEN 'hourly_cap' ELSE 'allowed' END AS decision,
-(reqs + 1) / 40.0 >= 0.8 OR (tokens + 100) / 2000.0 >= 0.8 OR cost / 5000.0 >= 0.8 AS warn FROM g""")
-def quota_decision(spark: SparkSession, sf: str) -> DataFrame:
-    """Look-back sums per tenant against caps; the cost only warns."""
-    day, hour = F.col("ts") >= _ntz(DAY), F.col("ts") >= _ntz(HOUR)
-    g = _events(spark, sf).groupBy("tenant").agg(
-        F.count_if(day).alias("reqs"), F.coalesce(F.sum(F.when(day, F.col("k"))), F.lit(0)).alias("tokens"),
-        F.round(F.coalesce(F.sum(F.when(day, F.col("value"))), F.lit(0.0)), 4).alias("cost"), F.count_if(hour).alias("hourly"),
-    )
-    decision = (
-        F.when(F.col("tenant") == 9, "paused").when(F.col("reqs") + 1 > 40, "request_cap").when(F.col("tokens") + 100 > 2000, "token_cap")
-        .when(F.col("hourly") + 1 > 5, "hourly_cap").otherwise("allowed")
-    )
-    warn = ((F.col("reqs") + 1) / 40.0 >= 0.8) | ((F.col("tokens") + 100) / 2000.0 >= 0.8) | (F.col("cost") / 5000.0 >= 0.8)
-    return g.select("tenant", "reqs", "tokens", "cost", decision.alias("decision"), warn.alias("warn"))
-
-
 @registry.query("SELECT user_id, event_type, count(*) AS n, round(sum(value), 4) AS value, max(event_id) AS last_id FROM events GROUP BY user_id, event_type")
 def usage_by_key(spark: SparkSession, sf: str) -> DataFrame:
     return _events(spark, sf).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value"), F.max("event_id").alias("last_id"))

@@ -17,9 +17,12 @@ def chunk_artifacts(spark: SparkSession, path: str, schema: StructType | str, co
     return rows if contract_id is None else rows.filter(F.col("contract_id") == contract_id)
 
 
-def tenant_scope(df: DataFrame, tenant: Column, current: int | None, is_super: bool = False, nulls: str = "hidden") -> DataFrame:
-    """Rows that a tenant may read. ``nulls``: whether rows of no tenant are 'hidden' or 'visible'; super users read all."""
-    if is_super:
+def tenant_scope(df: DataFrame, tenant: Column, current: int | None, is_super: bool = False, nulls: str = "hidden", no_context: bool = False) -> DataFrame:
+    """Rows that a tenant may read. ``nulls``: whether rows of no tenant are 'hidden' or 'visible'; super users read all.
+
+    ``no_context``: whether all rows may be read where no tenant is set, as those of invitations.
+    """
+    if is_super or no_context and current is None:
         return df
     own = tenant == F.lit(current) if current is not None else F.lit(False)
     return df.filter(own | tenant.isNull() if nulls == "visible" else own & tenant.isNotNull())
