@@ -264,7 +264,7 @@ def anonymous_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def anonymous_key(session: Column, union: Column, user: Column, secret: str = SECRET) -> Column:
-    """Keys as Python's json writes them: sorted, with blanks, and other characters than ASCII escaped, which only ids of ASCII are spared."""
+    """A key of the ids as sorted JSON: a blank behind each colon and comma, characters beyond ASCII escaped."""
     field = lambda name, c: F.concat(F.lit(f'"{name}": '), F.coalesce(F.concat(F.lit('"'), _escaped(c), F.lit('"')), F.lit("null")))
     seed = F.concat(F.lit("{"), field("session_id", session), F.lit(", "), field("union_id", union), F.lit(", "), field("user_id", user), F.lit("}"))
     return F.when(session.isNotNull() | union.isNotNull() | user.isNotNull(), hmac_sha256(seed, secret))
@@ -272,7 +272,7 @@ def anonymous_key(session: Column, union: Column, user: Column, secret: str = SE
 
 def _escaped(c: Column) -> Column:
     plain = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    code = lambda x: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(F.encode(x, "UTF-16BE")), 4, "0")))
+    code = lambda x: F.regexp_replace(F.lower(F.hex(F.encode(x, "UTF-16BE"))), "(.{4})", r"\\\\u$1")
     chars = F.transform(F.split(plain, ""), lambda x: F.when(x.rlike(r"^[\x20-\x7e]?$"), x).otherwise(code(x)))
     return F.array_join(chars, "")
 

@@ -24,10 +24,31 @@ def lookback_totals(events: DataFrame, span: str = "24 hours", slide: str = "1 h
 
 
 def write_latest(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str):
-    """Each batch's newest row per key, written under the batch's number: a batch that runs again replaces itself."""
+    """The newest row of each key over all batches so far.
+
+    Each batch merges the stored rows with its own and writes them under its number, beside the state that it began
+    from; a batch that runs again starts from the same state and replaces itself. ``latest`` reads the last one.
+    """
     from ..operators.windows import top_per_key
 
     def put(batch: DataFrame, number: int) -> None:
-        top_per_key(batch, keys, [F.col(order).desc()]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        before = _last_batch(spark, path, number)
+        rows = batch if before is None else spark.read.schema(batch.schema).parquet(f"{path}/batch={before}").unionByName(batch)
+        top_per_key(rows, keys, [F.col(order).desc()]).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that the last complete batch of ``write_latest`` left."""
+    return spark.read.parquet(f"{path}/batch={_last_batch(spark, path)}")
+
+
+def _last_batch(spark: SparkSession, path: str, before: int | None = None) -> int | None:
+    """The number of the last batch that was written whole, below ``before``."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(fs_path(f"{path}/batch=*/_SUCCESS")) or []
+    numbers = [int(str(f.getPath().getParent().getName()).removeprefix("batch=")) for f in found]
+    return max((n for n in numbers if before is None or n < before), default=None)
