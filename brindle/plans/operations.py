@@ -272,7 +272,7 @@ def anonymous_key(session: Column, union: Column, user: Column, secret: str = SE
 
 def _escaped(c: Column) -> Column:
     plain = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    code = lambda x: F.regexp_replace(F.lower(F.hex(F.encode(x, "UTF-16BE"))), "(.{4})", r"\\\\u$1")
+    code = lambda x: F.regexp_replace(F.lower(F.hex(F.encode(x, "UTF-16BE"))), "(.{4})", r"\\u$1")
     chars = F.transform(F.split(plain, ""), lambda x: F.when(x.rlike(r"^[\x20-\x7e]?$"), x).otherwise(code(x)))
     return F.array_join(chars, "")
 
