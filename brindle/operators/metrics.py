@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .windows import prefix_sum
+
 
 def confusion(truth: Column, predicted: Column) -> list[Column]:
     """tp, fp, fn, tn, precision, recall and fpr; ratios with an empty denominator are 0."""
@@ -25,12 +27,10 @@ def gate(metrics: DataFrame, limits: dict[str, float]) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """The element at floor(n * share) of the sorted values of each key, from counts per distinct value."""
-    from pyspark.sql import Window
-
+    """The element at floor(n * share) of the sorted values of each key, from counts per distinct value, summed by ranges of it."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    ranked = counts.withColumn("_below", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    ranked = prefix_sum(counts, keys, value, [value], "_c", "_below").join(totals, keys)
     at = lambda s: F.least(F.floor(F.col("_n") * s), F.col("_n") - 1)
     return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("_below") > at(s), F.col(value))).alias(name) for name, s in shares.items()], F.sum("_c").alias("n"))
 

@@ -20,7 +20,7 @@ def bm25(df: DataFrame, text: str, terms: list[str], tf_mode: str = "binary", ke
     terms are one row; the second pass scores against it.
     """
     distinct = list(dict.fromkeys(terms))
-    counted = df.select(*keep, tokens(F.col(text)).alias("_tokens"))
+    counted = df.select(*keep, tokens(F.coalesce(text, F.lit(""))).alias("_tokens"))
     tf = lambda t: F.size(F.filter("_tokens", lambda w: w == t)).cast("double")
     held = counted.select(*keep, F.size("_tokens").alias("_len"), *[tf(t).alias(f"_tf{i}") for i, t in enumerate(distinct)])
     stats = held.agg(

@@ -53,15 +53,24 @@ def running_total(df: DataFrame, keys: list[str], order: list, value: str, name:
     return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def ordinal(df: DataFrame, key: str, order: str, name: str, parts: int = 64) -> DataFrame:
-    """Adds each row's number within its key, by a unique number: places within ranges of it, and counts of what lies before.
+def in_ranges(df: DataFrame, by: str, name: str, parts: int = 64) -> DataFrame:
+    """Adds the number of the range of a numeric column that a row lies in; ranges hold about as many rows each."""
+    bounds = sorted(set(df.approxQuantile(by, [i / parts for i in range(1, parts)], 0.005)))
+    return df.withColumn(name, F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(by))) if bounds else F.lit(0))
+
+
+def prefix_sum(df: DataFrame, keys: list[str], by: str, order: list, value: str, name: str, parts: int = 64) -> DataFrame:
+    """Adds the running sum of a value within each key, where ``by`` is a number that never falls along the order.
 
-    A key that holds most rows spreads over the ranges; only counts per key and range are ordered by key.
+    A key's rows spread over ranges of the number: sums within a range, and of the ranges before it.
     """
-    bounds = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.005)))
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(order))) if bounds else F.lit(0)
-    ranged = df.withColumn("_part", part)
-    counts = ranged.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(key).orderBy("_part")) - F.col("_n")).drop("_n")
-    local = ranged.withColumn("_i", F.row_number().over(Window.partitionBy(key, "_part").orderBy(order)))
-    return local.join(before, [key, "_part"]).withColumn(name, F.col("_i") + F.col("_before")).drop("_part", "_i", "_before")
+    ranged = in_ranges(df, by, "_part", parts)
+    sums = ranged.groupBy(*keys, "_part").agg(F.sum(value).alias("_s"))
+    before = sums.withColumn("_before", F.sum("_s").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_s")).drop("_s")
+    local = F.sum(value).over(Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("_here", local).join(before, [*keys, "_part"]).withColumn(name, F.col("_here") + F.col("_before")).drop("_part", "_here", "_before")
+
+
+def ordinal(df: DataFrame, key: str, order: str, name: str, parts: int = 64) -> DataFrame:
+    """Adds each row's number within its key, by a unique number; a key that holds most rows spreads over ranges of it."""
+    return prefix_sum(df.withColumn("_one", F.lit(1)), [key], order, [order], "_one", name, parts).drop("_one")

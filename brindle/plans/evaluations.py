@@ -46,6 +46,7 @@ def reconcile_versions(spark: SparkSession, sf: str) -> DataFrame:
 
 @registry.query("SELECT p_brand, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS content_hash FROM (SELECT p_brand, sha256(concat_ws('|', CAST(p_partkey AS VARCHAR), p_name, CAST(p_size AS VARCHAR))) AS h FROM part) GROUP BY p_brand")
 def content_hash(spark: SparkSession, sf: str) -> DataFrame:
+    """One hash per set of artifacts: a set is the rows of one contract, some thousands at most, whose hashes are gathered."""
     h = table(spark, sf, "part").select("p_brand", versions.row_hash(F.col("p_partkey"), F.col("p_name"), F.col("p_size")).alias("h"))
     return h.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("content_hash"))
 
@@ -101,7 +102,7 @@ def contamination_pairs(spark: SparkSession, sf: str) -> DataFrame:
     r = table(spark, sf, "region")
     a, b = r.select(F.col("r_regionkey").alias("a"), F.col("r_name").alias("contract")), r.select(F.col("r_regionkey").alias("b"), F.col("r_name").alias("other"))
     n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("b"), F.col("n_name").alias("foreign_name"))
-    return b.join(n, "b").join(F.broadcast(a), F.col("a") != F.col("b")).select("contract", "other", "foreign_name")
+    return b.join(n, "b").join(a, F.col("a") != F.col("b")).select("contract", "other", "foreign_name")
 
 
 @registry.query("""WITH g AS (SELECT lang, avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END) AS base, avg(CASE WHEN n_chars >= 500 THEN 1.0 ELSE 0.0 END) AS variant FROM labels JOIN documents USING (doc_id) GROUP BY lang)
