@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 # What tells a question about wages, and what tells that it is none.
 WAGE_KEYWORDS = (
     "my pay", "my wage", "my rate", "my salary", "my hourly", "wage rate", "pay rate", "hourly rate", "rate of pay", "what do i make", "what's my pay",
@@ -119,7 +121,10 @@ def normalized_question(text: Column) -> Column:
 
 def first_topic(question: Column) -> Column:
     """The first topic whose pattern the normalized question holds, or null."""
-    norm = normalized_question(question)
+    return bound(normalized_question(question), _topic_of)
+
+
+def _topic_of(norm: Column) -> Column:
     return F.coalesce(*[F.when(norm.rlike(p), F.lit(t)) for t, p in TOPICS])
 
 
@@ -130,37 +135,54 @@ def section_topics(text: Column) -> Column:
 
 def wage_signals(question: Column) -> Column:
     """Number of keywords and patterns of a wage question that match; 0 where it is about time off."""
-    low = F.lower(question)
-    hits = [low.contains(k) for k in WAGE_KEYWORDS] + [low.rlike(p) for p in WAGE_PATTERNS] + [low.rlike(r"\b(pay|wage|hourly)\b") & low.rlike(r"\b(for|as)\b")]
-    return F.when(contains_any(low, WAGE_EXCLUDED), F.lit(0)).otherwise(reduce(lambda a, b: a + b, [h.cast("int") for h in hits]))
+    return bound(F.lower(question), _wage_signals)
 
 
-def high_stakes(question: Column) -> dict[str, Column]:
-    """topic: of high stakes; active: a live incident and no mere supposition; matched: number of rules that match."""
-    low = F.lower(question)
-    words = [low.rlike(rf"(?<![a-z0-9]){w}(?![a-z0-9])") for w in STAKES_WORDS]
-    topic, active, supposed = [low.rlike(p) for p in STAKES_PATTERNS] + words, [low.rlike(p) for p in ACTIVE_PATTERNS], [low.rlike(p) for p in SUPPOSED_PATTERNS]
+def _wage_hits(low: Column) -> list[Column]:
+    return [low.contains(k) for k in WAGE_KEYWORDS] + [low.rlike(p) for p in WAGE_PATTERNS] + [low.rlike(r"\b(pay|wage|hourly)\b") & low.rlike(r"\b(for|as)\b")]
+
+
+def _wage_signals(low: Column) -> Column:
+    return F.when(contains_any(low, WAGE_EXCLUDED), F.lit(0)).otherwise(reduce(lambda a, b: a + b, [h.cast("int") for h in _wage_hits(low)]))
+
+
+def high_stakes(question: Column) -> Column:
+    """struct<topic, active, matched>: of high stakes; a live incident and no mere supposition; number of rules that match."""
+    return bound(F.lower(question), _high_stakes)
+
+
+def _topic_hits(low: Column) -> list[Column]:
+    return [low.rlike(p) for p in STAKES_PATTERNS] + [low.rlike(rf"(?<![a-z0-9]){w}(?![a-z0-9])") for w in STAKES_WORDS]
+
+
+def _high_stakes(low: Column) -> Column:
+    topic, active, supposed = _topic_hits(low), [low.rlike(p) for p in ACTIVE_PATTERNS], [low.rlike(p) for p in SUPPOSED_PATTERNS]
     reset = any_of(active) & any_of(supposed)
     count = reduce(lambda a, b: a + b, [c.cast("int") for c in [*topic, *active, *supposed, reset]])
-    return {"topic": any_of(topic) | any_of(active), "active": any_of(active) & ~any_of(supposed), "matched": count}
+    return F.struct((any_of(topic) | any_of(active)).alias("topic"), (any_of(active) & ~any_of(supposed)).alias("active"), count.alias("matched"))
 
 
 def personal_pay(norm: Column) -> Column:
     return norm.rlike(r"\b(my|me|i)\b") & norm.rlike(r"\b(pay|wage|salary|hourly|make|earn|rate)\b")
 
 
-def is_wage_question(question: Column) -> Column:
+def _is_wage(low: Column, norm: Column) -> Column:
     """Signals of a wage question, unless its topic or the tone of a clause speaks against it and nothing is personal."""
-    norm, topic = normalized_question(question), first_topic(question)
     asked = norm.rlike(r"\b(what (do|am|should) i (make|earn|be making)|what'?s my pay|my pay|my wage|my salary)\b")
     of_role = norm.rlike(r"\b(what|how much)\b.*\b(do|does|is|are)\b.*\b(make|earn|paid|pay|wage|rate)\b")
     clause = norm.rlike(r"\b(shall|section|article|hereof|thereof|for all work performed|in addition to)\b")
-    by_topic = F.coalesce(topic.isin(*WAGE_SUPPRESSED_TOPICS), F.lit(False)) & ~personal_pay(norm) & ~asked
-    return (wage_signals(question) > 0) & ~by_topic & ~(clause & ~personal_pay(norm) & ~of_role)
+    by_topic = F.coalesce(_topic_of(norm).isin(*WAGE_SUPPRESSED_TOPICS), F.lit(False)) & ~personal_pay(norm) & ~asked
+    signals = ~contains_any(low, WAGE_EXCLUDED) & any_of(_wage_hits(low))
+    return signals & ~(clause & ~personal_pay(norm) & ~of_role) & ~by_topic
 
 
 def intent(question: Column) -> Column:
-    return F.when(high_stakes(question)["topic"], "high_stakes").when(is_wage_question(question), "wage").otherwise("contract")
+    """high_stakes before wage before contract; the cheap tests of each stand first, and the texts are made once."""
+    def told(q: Column) -> Column:
+        stakes = any_of(_topic_hits(q["low"]) + [q["low"].rlike(p) for p in ACTIVE_PATTERNS])
+        return F.when(stakes, "high_stakes").when(_is_wage(q["low"], q["norm"]), "wage").otherwise("contract")
+
+    return bound(F.struct(F.lower(question).alias("low"), normalized_question(question).alias("norm")), told)
 
 
 def letter_mode(question: Column) -> Column:

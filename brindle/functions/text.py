@@ -104,7 +104,7 @@ _GUARDS = {
 }
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is computed once, however often it is named."""
     return F.transform(F.array(value), use)[0]
 
@@ -117,12 +117,12 @@ def redaction(text: Column) -> Column:
     def step(state: Column, name: str, pattern: str, mask: str) -> Column:
         def replaced(s: Column) -> Column:
             now = F.when(s["text"].rlike(_GUARDS[name]), F.regexp_replace(s["text"], pattern, mask)).otherwise(s["text"])
-            return _bound(now, lambda t: F.struct(t.alias("text"), F.when(t != s["text"], F.concat(s["classes"], F.array(F.lit(name)))).otherwise(s["classes"]).alias("classes")))
+            return bound(now, lambda t: F.struct(t.alias("text"), F.when(t != s["text"], F.concat(s["classes"], F.array(F.lit(name)))).otherwise(s["classes"]).alias("classes")))
 
-        return _bound(state, replaced)
+        return bound(state, replaced)
 
     start = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.array().cast("array<string>").alias("classes"))
-    return _bound(reduce(lambda state, rule: step(state, *rule), PERSONAL, start), lambda s: F.struct(s["text"].alias("text"), F.array_sort(s["classes"]).alias("classes")))
+    return bound(reduce(lambda state, rule: step(state, *rule), PERSONAL, start), lambda s: F.struct(s["text"].alias("text"), F.array_sort(s["classes"]).alias("classes")))
 
 
 def redact(text: Column) -> Column:
