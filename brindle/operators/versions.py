@@ -36,7 +36,7 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFr
     return a.join(b, key, "full_outer").select(key, state.alias("state"))
 
 
-def duplicate_suffix(df: DataFrame, name: str, order: str, out: str) -> DataFrame:
-    """The first row of a name, by a unique number, keeps it; the others get __dup1, __dup2 and so on, in order."""
-    numbered = ordinal(df, name, order, "_n")
+def duplicate_suffix(df: DataFrame, name: str, order: list[str], out: str) -> DataFrame:
+    """The first row of a name, by the one unique number in ``order``, keeps it; the others get __dup1, __dup2 and so on, in order."""
+    numbered = ordinal(df, name, *order, "_n")
     return numbered.withColumn(out, F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("__dup"), (F.col("_n") - 1).cast("string")))).drop("_n")
