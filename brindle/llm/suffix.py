@@ -319,7 +319,7 @@ class Suffixes:
     def strings(self, at: np.ndarray) -> np.ndarray:
         """The strings themselves, as rows of big-endian words, padded."""
         out = np.zeros((len(at), -(-self.length // 8) * 8), np.uint8)
-        out[:, : self.length] = self.data[at[:, None] + np.arange(self.length)]
+        out[:, : self.length] = np.lib.stride_tricks.sliding_window_view(self.data, self.length)[at]
         return out.view(">u8")
 
 
@@ -329,8 +329,8 @@ def equal_strings(data: bytes, at: np.ndarray, group: np.ndarray, length: int) -
     order = suffixes.sort(at, group)
     new = np.ones(len(order), bool)
     sound = True
-    for i in range(1, len(order), 50_000):
-        a, b = order[i - 1 : i + 50_000 - 1], order[i : i + 50_000]
+    for i in range(1, len(order), 20_000):
+        a, b = order[i - 1 : i + 20_000 - 1], order[i : i + 20_000]
         a = a[: len(b)]
         together = group[a] == group[b]
         x, y = suffixes.strings(at[a]), suffixes.strings(at[b])
