@@ -32,7 +32,7 @@ SAMPLE_ROWS = 1000
 SAMPLE_SHARE = 0.1
 SAMPLE_FILES = 8
 #: How often a rule is evaluated over the sample in one job, and how many such jobs are timed.
-REPEATS, TIMES = 5, 3
+REPEATS, TIMES = 2, 3
 
 
 @dataclass(frozen=True)
