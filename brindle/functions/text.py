@@ -173,7 +173,7 @@ def pack_paragraphs(text: Column, size: int = 800, overlap: int = 120, breaks: s
     def step(state: Column, part: Column) -> Column:
         done, open_ = state["done"], state["open"]
         joined = F.concat(open_, F.lit("\n\n"), part)
-        carried = F.when(F.length(open_) > overlap, F.concat(F.substring(open_, F.length(open_) - overlap + 1, F.lit(overlap)), F.lit("\n\n"), part)).otherwise(part)
+        carried = part if not overlap else F.when(F.length(open_) > overlap, F.concat(F.substring(open_, F.length(open_) - overlap + 1, F.lit(overlap)), F.lit("\n\n"), part)).otherwise(part)
         fits = F.length(joined) <= size
         return F.struct(
             F.when((open_ == "") | fits, done).otherwise(F.concat(done, F.array(open_))).alias("done"),

@@ -124,3 +124,19 @@ def related_sections(hits: DataFrame, sections: DataFrame, doc: str, k: int = 2)
     rank = F.struct(F.when(named, 0).when(near <= 1, 1).otherwise(2).alias("p"), F.when(named, 0).otherwise(near).alias("d"))
     w = Window.partitionBy(doc, "article").orderBy("_rank", "section")
     return told.withColumn("_rank", rank).withColumn("place", F.row_number().over(w).cast("bigint")).filter(F.col("place") <= k).select(doc, "article", "section", F.col("_rank.p").alias("kind"), "place")
+
+
+#: Characters of a section from which on it is cut, and of the pieces that paragraphs are packed into.
+LONG, PIECE = 2000, 800
+NUMBERED = r"\n(?=\(?\d{1,3}[.)]\s)"
+
+
+def segments(content: Column) -> Column:
+    """array<struct<segment, citation, text>>: one for a text of 2,000 characters at most; else its numbered parts, where it has three or more, else packed paragraphs."""
+    from ..functions.text import pack_paragraphs
+
+    numbered = F.split(content, NUMBERED)
+    pieces = F.when(F.size(numbered) >= 4, numbered).otherwise(pack_paragraphs(content, PIECE, 0))
+    named = F.transform(pieces, lambda t, i: F.struct(F.concat(F.lit("seg_"), F.lpad((i + 1).cast("string"), 3, "0")).alias("segment"), F.concat(F.lit("Part "), (i + 1).cast("string")).alias("citation"), t.alias("text")))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("segment"), F.lit(None).cast("string").alias("citation"), content.alias("text")))
+    return F.when(F.length(content) <= LONG, whole).otherwise(named)

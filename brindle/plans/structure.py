@@ -213,3 +213,21 @@ def letter_anchors(spark: SparkSession, sf: str) -> DataFrame:
     typed = F.sum("t").over(Window.partitionBy("contract")) > 0
     n = a.withColumn("n", F.when(typed, F.col("t")).otherwise(F.col("w"))).filter("n > 0")
     return n.select("contract", "article", "n", F.row_number().over(Window.partitionBy("contract").orderBy(F.desc("n"), "article")).cast("bigint").alias("place"))
+
+
+@registry.query()
+def long_section_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents cut as long sections are; the tests pack the paragraphs one by one."""
+    d = table(spark, sf, "documents").filter(F.col("text").isNotNull()).select("doc_id", F.explode(S.segments(F.col("text"))).alias("s"))
+    return d.select("doc_id", "s.segment", "s.citation", F.length("s.text").cast("bigint").alias("n_chars"), F.sha2("s.text", 256).alias("text_sha256"))
+
+
+@registry.query(r"""SELECT p_brand, p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'LOU ' || (p_partkey % 20) END AS own, last_value(CASE WHEN p_partkey % 9 = 0 THEN 'lou' || (p_partkey % 20) END IGNORE NULLS) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) AS letter FROM part""")
+def letters_of_understanding(spark: SparkSession, sf: str) -> DataFrame:
+    """Headings of letters of understanding, and the letter that each line behind them belongs to."""
+    k = F.col("p_partkey")
+    line = F.when(k % 9 == 0, F.concat(F.lit("LETTER OF UNDERSTANDING "), (k % 20).cast("string"))).otherwise(F.col("p_name"))
+    number = F.regexp_extract(line, r"(?i)^(?:#+\s*)?letter of understanding\s+#?(\d+)", 1)
+    found = table(spark, sf, "part").select("p_brand", k, F.nullif(number, F.lit("")).alias("n"))
+    w = Window.partitionBy("p_brand").orderBy("p_partkey").rowsBetween(Window.unboundedPreceding, 0)
+    return found.select("p_brand", "p_partkey", F.concat(F.lit("LOU "), "n").alias("own"), F.concat(F.lit("lou"), F.last("n", True).over(w)).alias("letter"))
