@@ -75,15 +75,14 @@ def wage_lookup(asked: DataFrame, rates: DataFrame) -> DataFrame:
     """The rate of each request (class_key, on, hours, months) from rates (class_key, effective_date, step_type, threshold, rate, confidence, table_id, row_index, step_name).
 
     The date is the latest one not after the request's, else the last; hours decide where the date has steps of hours, else
-    months; steps that are reached, or fixed, are ranked by kind, threshold, confidence, table and name. A class's rates
-    are one small array, so that a request is answered in its row, without a join by range.
+    months; steps that are reached, or fixed, are ranked by kind, threshold, confidence, table and name. A class's dates,
+    and its rates at a date, are small arrays, so that a request is answered in its row, without a join by range.
     """
-    row = F.struct("effective_date", "step_type", "threshold", "rate", "confidence", "table_id", "row_index", "step_name")
-    by_class = rates.groupBy("class_key").agg(F.collect_list(row).alias("_rates"))
-    a = asked.join(by_class, "class_key", "left")
-    dates = F.transform("_rates", lambda r: r["effective_date"])
-    a = a.withColumn("effective_date", F.coalesce(F.array_max(F.filter(dates, lambda d: d <= F.col("on"))), F.array_max(dates)))
-    a = a.withColumn("_at", F.filter("_rates", lambda r: r["effective_date"] == F.col("effective_date")))
+    row = F.struct("step_type", "threshold", "rate", "confidence", "table_id", "row_index", "step_name")
+    at_date = rates.groupBy("class_key", "effective_date").agg(F.collect_list(row).alias("_at"))
+    dates = at_date.groupBy("class_key").agg(F.collect_list("effective_date").alias("_dates"))
+    a = asked.join(dates, "class_key", "left")
+    a = a.withColumn("effective_date", F.coalesce(F.array_max(F.filter("_dates", lambda d: d <= F.col("on"))), F.array_max("_dates"))).join(at_date, ["class_key", "effective_date"], "left")
     kind = F.when(F.exists("_at", lambda r: r["step_type"] == "hours"), "hours").when(F.exists("_at", lambda r: r["step_type"] == "months"), "months").otherwise("fixed")
     a = a.withColumn("_kind", kind).withColumn("_served", F.when(F.col("_kind") == "hours", F.col("hours")).otherwise(F.col("months")))
     reached = lambda r: (F.col("_kind") == "fixed") | (r["step_type"] == "fixed") | ((r["step_type"] == F.col("_kind")) & (F.col("_served") >= F.coalesce(r["threshold"], F.lit(0))))

@@ -63,13 +63,13 @@ def section_flags(spark: SparkSession, sf: str) -> DataFrame:
     return clauses(spark, sf).select("clause_id", *[low.rlike(p).alias(n) for n, p in FLAGS.items()])
 
 
-@registry.query(r"""WITH t AS (SELECT p_partkey, 'PROV(span_id=s' || p_partkey || ', page=' || p_size || ', sources=[a.pdf#p1; b.pdf#p' || p_size || ']) ' || p_name || chr(10) || ' 9 PUEBLO CLERKS 2022-2025 ' || 'rest' AS t FROM part), b AS (SELECT p_partkey, t, regexp_extract(t, 'PROV\(([^)]*)\)', 1) AS b FROM t)
+@registry.query(r"""WITH t AS (SELECT p_partkey, 'PROV(span_id=s' || p_partkey || ', page=' || p_size || ', sources=[a.pdf#p1; b.pdf#p' || p_size || ']) ' || p_name || chr(10) || ' 9 NORTH STORES 2022-2025 ' || 'rest' AS t FROM part), b AS (SELECT p_partkey, t, regexp_extract(t, 'PROV\(([^)]*)\)', 1) AS b FROM t)
 SELECT p_partkey, regexp_extract(b, 'span_id=([^,)\]]*)', 1) AS span_id, CAST(regexp_extract(b, 'page=(\d+)', 1) AS INT) AS page, len(string_split(regexp_extract(b, 'sources=\[([^\]]*)\]', 1), ';')) AS sources,
 trim(regexp_replace(regexp_replace(regexp_replace(t, 'PROV\([^)]*\)\s*', ' ', 'g'), '\s*\d{1,4}\s*[A-Z][A-Z0-9 \-&''/]{3,60}?\s+\d{4}\s*-\s*\d{4}\s*', ' ', 'g'), '[ \t]{2,}', ' ', 'g')) AS text FROM b""")
 def provenance_marks(spark: SparkSession, sf: str) -> DataFrame:
     """Fields of the mark that owns a passage, and the passage without marks and page furniture."""
     p = F.col("p_size").cast("string")
-    t = F.concat(F.lit("PROV(span_id=s"), F.col("p_partkey").cast("string"), F.lit(", page="), p, F.lit(", sources=[a.pdf#p1; b.pdf#p"), p, F.lit("]) "), "p_name", F.lit("\n 9 PUEBLO CLERKS 2022-2025 rest"))
+    t = F.concat(F.lit("PROV(span_id=s"), F.col("p_partkey").cast("string"), F.lit(", page="), p, F.lit(", sources=[a.pdf#p1; b.pdf#p"), p, F.lit("]) "), "p_name", F.lit("\n 9 NORTH STORES 2022-2025 rest"))
     d = table(spark, sf, "part").select("p_partkey", t.alias("t")).withColumn("b", F.regexp_extract("t", r"PROV\(([^)]*)\)", 1))
     text = F.regexp_replace(F.regexp_replace("t", r"PROV\([^)]*\)\s*", " "), r"\s*\d{1,4}\s*[A-Z][A-Z0-9 \-&'/]{3,60}?\s+\d{4}\s*[-–—]\s*\d{4}\s*(?:[-–—]{2,}\s*)?", " ")
     return d.select(

@@ -33,13 +33,13 @@ def test_resolution_by_priority(spark, tmp_path):
 
 
 def test_catalog_and_default(spark, tmp_path):
-    put(tmp_path / "m/a.json", {"contract_id": "pueblo_clerks_2022", "union_local": "7", "employer": "E", "term_start": "2022", "term_end": "2025", "region_id": "South Side"})
-    put(tmp_path / "m/b.json", {"contract_id": "local7_pueblo", "union_local": "7", "employer": "E", "term_start": "2022", "term_end": "2025", "region_id": "south-side"})
+    put(tmp_path / "m/a.json", {"contract_id": "north_clerks_2022", "union_local": "7", "employer": "E", "term_start": "2022", "term_end": "2025", "region_id": "South Side"})
+    put(tmp_path / "m/b.json", {"contract_id": "local7_north_side", "union_local": "7", "employer": "E", "term_start": "2022", "term_end": "2025", "region_id": "south-side"})
     put(tmp_path / "m/local9_2021_meat_denver.json", {"employer": "F"})
     rows = {r.contract_id: r for r in A.catalog(spark, f"{tmp_path}/m").collect()}
-    assert set(rows) == {"local7_pueblo", "local9_2021_meat_denver"}
-    assert rows["local7_pueblo"].contract_version == "2022__2025" and rows["local9_2021_meat_denver"].region_id == "region-denver"
-    assert A.default_contract(spark, f"{tmp_path}/m", None, "old") == "local7_pueblo"
+    assert set(rows) == {"local7_north_side", "local9_2021_meat_denver"}
+    assert rows["local7_north_side"].contract_version == "2022__2025" and rows["local9_2021_meat_denver"].region_id == "region-denver"
+    assert A.default_contract(spark, f"{tmp_path}/m", None, "old") == "local7_north_side"
     assert A.default_contract(spark, f"{tmp_path}/m", None, "local9_2021_meat_denver") == "local9_2021_meat_denver"
     assert A.default_contract(spark, f"{tmp_path}/m", "x", "old") == "x"
 
