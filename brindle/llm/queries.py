@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, html, jaccard, packing, pivots, quality_rules, secrets, sharding, suffix
+from . import bpe, classifier, fingerprints, html, jaccard, merkle, packing, pivots, quality_rules, secrets, sharding, suffix, variants
+from .common import Scratch
 
 SHARD_NAMES = [f"shard-{i:02d}" for i in range(sharding.SHARDS)]
 
@@ -88,6 +89,21 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_neighbours(_table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(_table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth row by hash is tampered with: its text loses its upper case."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.manifest(_table(spark, sf_dir, "documents"), Scratch(spark), tampered=tampered, altered={"text": F.translate("text", upper, upper.lower())})
+
+
 OP1_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
 w AS (
@@ -137,6 +153,91 @@ SELECT doc_id, slot, CAST(owner[slot + 1] AS BIGINT) AS shard, CAST(n AS BIGINT)
 """
 
 
+#: CRC-32 by its table of 256 values, which its polynomial gives.
+CRC_TABLE = """
+crc AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS tab
+  FROM range(256) t(i)
+)"""
+
+
+def _crc32_sql(text: str) -> str:
+    code = f"list_transform(range(1, length(hex(encode({text}))), 2), lambda i: CAST('0x' || substr(hex(encode({text})), i, 2) AS BIGINT))"
+    return f"xor(list_reduce({code}, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+#: Near words share what is left when one code point is masked, or one is masked and the other has none there.
+OP12_SQL = f"""
+WITH {CRC_TABLE},
+runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]{{6,}}')) AS run FROM documents) GROUP BY ALL
+),
+hashed AS (SELECT run, n, {_crc32_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM runs, crc),
+made AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM made WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) AS l, substr(word, i + 1) AS r FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b USING (i, l, r) WHERE a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON b.word = a.l || a.r
+  UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON b.word = a.l || a.r
+),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+told AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 5 * w.n THEN b.near END AS form, CASE WHEN b.near_n >= 5 * w.n THEN b.near_n END AS form_n
+  FROM words w LEFT JOIN best b USING (word)
+),
+walk AS (
+  SELECT word, word AS root FROM told
+  UNION SELECT walk.word, told.form FROM walk JOIN told ON told.word = walk.root WHERE told.form IS NOT NULL
+)
+SELECT t.word, t.n, CAST(t.n_near AS BIGINT) AS n_near, t.form, t.form_n, w.root
+FROM told t JOIN walk w USING (word) JOIN told e ON e.word = w.root WHERE e.form IS NULL
+""".replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _op13_sql(levels: int = 7) -> str:
+    """The trees level by level; ``levels`` of sixteen nodes a parent hold 16^levels rows a source and as many sources."""
+    field = lambda c: f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        CRC_TABLE,
+        f"""
+d AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree
+  FROM (SELECT doc_id, source, {leaf("text")} AS leaf, CASE WHEN {_crc32_sql("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {leaf(low)} END AS bad FROM documents, crc)
+)""",
+        "s0 AS (SELECT tree, pos, n, leaf AS node FROM d)",
+    ]
+    # A tree with one node left keeps it, so that all have as many levels.
+    for name in ("s", "t"):
+        if name == "t":
+            parts.append(f"t0 AS (SELECT 0 AS tree, tree AS pos, count(*) OVER () AS n, node FROM s{levels})")
+        for k in range(levels):
+            parts.append(
+                f"{name}{k + 1} AS (SELECT tree, pos // 16 AS pos, (max(n) + 15) // 16 AS n, CASE WHEN max(n) = 1 THEN max(node) ELSE sha256(string_agg(node, '' ORDER BY pos)) END AS node FROM {name}{k} GROUP BY tree, pos // 16)"
+            )
+    parts.append("p0 AS (SELECT doc_id, leaf, tree, pos, tree AS place, coalesce(bad, leaf) AS folded, '' AS proof FROM d)")
+    count = 0
+    for name in ("s", "t"):
+        for k in range(levels):
+            tree, pos = ("p.tree", f"p.pos // {16**k}") if name == "s" else ("0", f"p.place // {16**k}")
+            side = lambda op: f"coalesce((SELECT string_agg(x.node, '' ORDER BY x.pos) FROM {name}{k} x WHERE x.tree = {tree} AND x.pos // 16 = {pos} // 16 AND x.pos {op} {pos} AND x.n > 1), '')"  # noqa: B023, E731
+            parts.append(
+                f"p{count + 1} AS (SELECT doc_id, leaf, tree, pos, place, proof || l || r AS proof, CASE WHEN (SELECT max(x.n) FROM {name}{k} x WHERE x.tree = c.up) = 1 THEN folded ELSE sha256(l || folded || r) END AS folded "
+                f"FROM (SELECT *, {tree} AS up, {side('<')} AS l, {side('>')} AS r FROM p{count} p) c)"
+            )
+            count += 1
+    return (
+        "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, leaf, s{levels}.node AS subroot, t{levels}.node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t{levels}.node AS verified\n"
+        f"FROM p{count} JOIN s{levels} USING (tree), t{levels}"
+    )
+
+
+OP13_SQL = _op13_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -149,8 +250,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_html_extraction": op10_html_extraction,
+        "op11_document_fingerprints": op11_document_fingerprints,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op3_sharding": OP3_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op3_sharding": OP3_SQL, "op12_spelling_variants": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
