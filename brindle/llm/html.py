@@ -18,7 +18,7 @@ columns pass through.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from html import unescape
 
 import pyarrow as pa
@@ -128,20 +128,29 @@ def blocks(html: str) -> tuple[_Paths, list[tuple[int, str]]]:
                 out.append((at_path, text))
             pieces.clear()
 
-    opened: Counter = Counter()
+    # Where each name stands in the stack, and where blocks do: what an end tag ends is found without walking the stack.
+    where: defaultdict[str, list[int]] = defaultdict(list)
+    block_at: list[int] = []
+
+    def push(tag: str, path: int) -> None:
+        where[tag].append(len(stack))
+        if tag in BLOCKS:
+            block_at.append(len(stack))
+        stack.append((tag, path))
 
     def pop_to(i: int) -> None:
-        opened.subtract(name for name, _ in stack[i:])
+        for name, _ in stack[i:]:
+            where[name].pop()
+        while block_at and block_at[-1] >= i:
+            block_at.pop()
         del stack[i:]
 
+    def newest(names: set[str]) -> int:
+        return max((where[x][-1] for x in names if where[x]), default=0)
+
     def close(names: set[str], barriers: set[str]) -> None:
-        while any(opened[x] > 0 for x in names):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in names:
-                    pop_to(i)
-                    break
-                if stack[i][0] in barriers:
-                    return
+        while (i := newest(names)) > newest(barriers):
+            pop_to(i)
 
     while at < end:
         m = _TOKEN.search(html, at)
@@ -165,12 +174,9 @@ def blocks(html: str) -> tuple[_Paths, list[tuple[int, str]]]:
         if closing:
             if tag in BLOCKS:
                 flush()
-            for i in range(len(stack) - 1, 0, -1) if opened[tag] > 0 else ():
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
-                if tag not in BLOCKS and stack[i][0] in BLOCKS:
-                    break
+            i = newest({tag})
+            if i and (tag in BLOCKS or not block_at or block_at[-1] < i):
+                pop_to(i)
             continue
         if tag in _RAW_END:
             if not attributes.endswith("/") or tag != "svg":
@@ -189,8 +195,7 @@ def blocks(html: str) -> tuple[_Paths, list[tuple[int, str]]]:
                 close(*IMPLIED[tag])
             if tag == "body":
                 close({"head"}, set())
-        opened[tag] += 1
-        stack.append((tag, paths.below(stack[-1][1], tag, attributes)))
+        push(tag, paths.below(stack[-1][1], tag, attributes))
     flush()
     return paths, out
 

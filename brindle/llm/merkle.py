@@ -154,13 +154,11 @@ def tree_reduce(placed: DataFrame, trees: int, scratch: Scratch) -> DataFrame:
     todo = placed.select("part", "tree", F.lit(0).alias("level"), "at", "n", F.col("leaf").alias("digest"), "pos")
     runs, fan, number = None, 1, 0
     while True:
-        sorted_ = todo.repartition("part").sortWithinPartitions("part", "pos").select("part", *node)
-        if number:
-            sorted_ = todo.repartition(F.expr(f"part div {FAN}")).sortWithinPartitions("part").select("part", *node)
+        sorted_ = todo.repartition(F.expr(f"part div {fan}")).sortWithinPartitions("part", "pos").select("part", *node)
         made = scratch.table(sorted_.mapInArrow(_fold(trees, fan), NODES), f"forests-{number}")
         done = made.filter("done")
         runs = done if runs is None else runs.unionByName(done)
-        todo = made.filter("NOT done").select(F.col("chunk").alias("part"), *node)
+        todo = made.filter("NOT done").select(F.col("chunk").alias("part"), *node, F.col("at").alias("pos"))
         if todo.isEmpty():
             return runs
         fan, number = FAN, number + 1

@@ -8,16 +8,21 @@ the whole rules and starts there: it tells the longest match of each rule, or th
 the searching automaton would multiply their counted tails with one another, since each may begin within any other.
 Matches of a rule are taken leftmost first and don't overlap.
 
+A text costs time in proportion to its length, whatever it holds: where a rule has read on behind its last match in vain,
+its states are remembered at every STEP-th byte, and a later start that comes to the same state there gives up.
+
 Defined results: a null text counts as empty; spans count code points, with exclusive ends; repeated rows and
 further columns pass through.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,6 +63,8 @@ RULES = (
 )
 BASE_KINDS = ("assign", "access", "hex")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
+#: States of reading in vain are remembered at multiples of it, from reads of LONG bytes on.
+STEP, LONG = 4, 64
 
 
 class _Nfa:
@@ -228,24 +235,37 @@ class Scanner:
         self.whole = compile_patterns([(pattern, rules[i].fold) for i, _, pattern in whole], search=False)
         self.bits = [(sum(1 << j for j, (k, short, _) in enumerate(whole) if k == i and not short), sum(1 << j for j, (k, short, _) in enumerate(whole) if k == i and short)) for i in range(len(rules))]
 
-    def _match(self, data: bytes, start: int, rule: int) -> tuple[int, bool]:
+    def _match(self, data: bytes, start: int, rule: int, vain: _Vain) -> tuple[int, bool]:
         """(end, found) of the longest match of a rule that begins there; the end is the start if there is none."""
         table, labels, dead = self.whole.table, self.whole.labels, self.whole.dead
         bits, short = self.bits[rule]
-        s, end, found, used = 0, start, False, start
+        either, known = bits | short, vain.known
+        s, end, found, used, last = 0, start, False, start, start
+        at = start
         for at in range(start, len(data)):
             s = table[s << 8 | data[at]]
             if s == dead:
                 break
-            if labels[s] & bits:
-                end, found = at + 1, True
-            elif labels[s] & short:
-                used = at + 1
+            if labels[s] & either:
+                last = at
+                if labels[s] & bits:
+                    end, found = at + 1, True
+                else:
+                    used = at + 1
+            elif known and at % STEP == 0 and vain.holds(at, s):
+                break
+        if at - last >= LONG:
+            s = 0
+            for k in range(start, at):
+                s = table[s << 8 | data[k]]
+                if k > last and k % STEP == 0:
+                    vain.add(k, s)
         return (end, True) if found else (used, False)
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         data, row = text.encode("utf-8", "surrogatepass"), self.first
         over = [0] * len(self.rules)
+        vain = [_Vain(len(data)) for _ in self.rules]
         found = []
         for at, b in enumerate(data, 1):
             row = row[b]
@@ -255,13 +275,43 @@ class Scanner:
                     i, width = self.heads[(bits & -bits).bit_length() - 1]
                     bits &= bits - 1
                     if at - width >= over[i]:
-                        end, hit = self._match(data, at - width, i)
+                        end, hit = self._match(data, at - width, i, vain[i])
                         over[i] = max(over[i], end)
                         if hit:
                             found.append((at - width, i, end))
-        ascii_ = len(data) == len(text)
-        place = (lambda p: p) if ascii_ else (lambda p: len(data[:p].decode("utf-8", "surrogatepass")))
-        return [(self.rules[i].kind, place(start), place(end)) for start, i, end in sorted(found)]
+        found.sort()
+        if len(data) != len(text):
+            place = _code_points(data, {p for start, _, end in found for p in (start, end)})
+            found = [(place[start], i, place[end]) for start, i, end in found]
+        return [(self.rules[i].kind, start, end) for start, i, end in found]
+
+
+class _Vain:
+    """States from which a rule has found nothing more, by place: the first one of a place in an array, others in a set."""
+
+    def __init__(self, length: int):
+        self.length, self.known, self.first, self.more = length, False, array("I"), set()
+
+    def add(self, at: int, state: int) -> None:
+        if not self.known:
+            self.known, self.first = True, array("I", bytes(4 * (self.length // STEP + 1)))
+        if not self.first[at // STEP]:
+            self.first[at // STEP] = state + 1
+        elif self.first[at // STEP] != state + 1:
+            self.more.add((at, state))
+
+    def holds(self, at: int, state: int) -> bool:
+        return self.first[at // STEP] == state + 1 or (at, state) in self.more
+
+
+def _code_points(data: bytes, places: set[int]) -> dict[int, int]:
+    """The number of code points before each place, counted once along the bytes."""
+    if not places:
+        return {}
+    ordered = sorted(places)
+    leads = np.concatenate([(np.frombuffer(data, np.uint8) & 0xC0) != 0x80, [False]])
+    counts = np.add.reduceat(leads, [0, *ordered], dtype=np.int64)[:-1] if ordered[0] else np.concatenate([[0], np.add.reduceat(leads, ordered, dtype=np.int64)[:-1]])
+    return dict(zip(ordered, np.cumsum(counts).tolist(), strict=True))
 
 
 def _width(head: str) -> int:

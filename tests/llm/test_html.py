@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -68,3 +69,60 @@ def test_defined_cases(spark, tmp_path):
     assert len(got) == 7 and all(r.n_chars == len(r.text) for r in got)
     assert [by_id[i].text for i in (1, 2, 3)] == ["", "", ""] and by_id[4].text == WANT
     assert by_id[5].text.count("some words, and more.") == 50_000
+
+
+@pytest.mark.parametrize("page", [
+    lambda n: "<i><div>" + "<b>" * n + "</i>" * n + "x", lambda n: "<p><table>" + "<b>" * n + "<p>" * n, lambda n: "<li><ul>" + "<b>" * n + "<li>x" * n,
+    lambda n: "<div>" * n + "</span>" * n, lambda n: "<b>x" * n + "</b>" * n, lambda n: "<td>" * n + "</i></b>" * n, lambda n: "<!--" * n, lambda n: "<a '" * n, lambda n: "<a \"x'" * n,
+    lambda n: "<" * n + "</" * n, lambda n: "<button><p>" + "<i>" * n + "</button><p>" * n,
+])
+def test_time_grows_with_the_page_alone(page):
+    def seconds(n):
+        text = page(n)
+        began = time.process_time()
+        html.main_text(text)
+        return time.process_time() - began
+
+    small, large = seconds(10_000), seconds(80_000)
+    assert large < 6 and large < 16 * small + 0.3
+
+
+def test_end_tags_by_walking_the_stack():
+    """Which open elements an end tag ends, against a walk down the stack."""
+    rng = random.Random(2)
+    names = ["div", "p", "b", "i", "li", "ul", "table", "tr", "td", "button", "span"]
+    for _ in range(3000):
+        page, stack = [], []
+
+        def walk(found, barriers, stack=stack):
+            for i in range(len(stack) - 1, -1, -1):
+                if found(stack[i]):
+                    del stack[i:]
+                    return True
+                if barriers(stack[i]):
+                    return False
+            return False
+
+        for _ in range(rng.randint(1, 25)):
+            tag = rng.choice(names)
+            if rng.random() < 0.4:
+                page.append(f"</{tag}>")
+                walk(lambda x: x == tag, lambda x: tag not in html.BLOCKS and x in html.BLOCKS)  # noqa: B023
+            else:
+                page.append(f"<{tag}>")
+                if tag in html.BLOCKS:
+                    for ends, barriers in (({"p"}, {"button", "table", "object"}), html.IMPLIED.get(tag, (set(), set()))):
+                        while walk(lambda x: x in ends, lambda x: x in barriers):  # noqa: B023
+                            pass
+                stack.append(tag)
+        paths, found = html.blocks("".join(page) + "word")
+        tags = {number: key[1] for key, number in paths.numbers.items()}
+
+        def named(p, paths=paths, tags=tags):
+            out = []
+            while p > 0:
+                out.append(tags[p])
+                p = paths.parent[p]
+            return "/".join(reversed(out))
+
+        assert [named(p) for p, _ in found] == ["/".join(stack)]

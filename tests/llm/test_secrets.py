@@ -96,3 +96,47 @@ def test_query(spark, tmp_path):
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == kind for k, *_ in want) for kind in secrets.BASE_KINDS]
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
         assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in brute(rows[r.doc_id][1]))
+
+
+@pytest.mark.parametrize("unit", ["eyJ", "eyJabcdefgh.", "eyJabcdefgh.eyJ", "é eyJ", "token ", "token= ", "token" + " " * 5000, "AKIA", "-----BEGIN PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----abc ", "gho_xox", "0123456789abcdef", "é token=abcdefgh "])
+def test_time_grows_with_the_text_alone(unit):
+    """A megabyte of heads that fail late, or of spans among other characters than ASCII."""
+    import time
+
+    s = secrets.scanner(secrets.RULES)
+
+    def seconds(size):
+        text = unit * (size // len(unit))
+        best = 1e9
+        for _ in range(2):
+            began = time.process_time()
+            s.spans(text)
+            best = min(best, time.process_time() - began)
+        return best
+
+    small, large = seconds(250_000), seconds(1_000_000)
+    assert large < 4 and large < 8 * small + 0.2
+
+
+def test_reads_in_vain_lose_no_match():
+    """Small alphabets of heads, tails and dots, so that many starts share a tail that fails or, later, doesn't."""
+    rng = random.Random(5)
+    rules = (secrets.Rule("signed", ("eyJ",), r"eyJ[a-zA-Z]{2,}\.eyJ[a-zA-Z]{2,}(?:\.[a-z]+)?"), secrets.Rule("pair", ("ab",), r"ab(?:ab|c)*d(?:[a-c]*e)?"), secrets.Rule("quoted", ("k=",), r"k=[a-z]*!", r"k=[a-z]{1,3}"))
+    s = secrets.Scanner(rules)
+    units = ["eyJ", "eyJab", ".", "ab", "abc", "d", "e", "x", "k=", "!", "abab" * 40, "eyJ" * 40, "k=" + "a" * 90, "c" * 70, "é"]
+    hits = 0
+    for _ in range(500):
+        text = "".join(rng.choice(units) for _ in range(rng.randint(1, 9)))
+        want = []
+        for i, rule in enumerate(rules):
+            at = 0
+            while at < len(text):  # leftmost longest, by definition
+                ends = list(range(len(text), at, -1)) if text.startswith(rule.heads[0], at) else []
+                whole = next((e for e in ends if re.fullmatch(rule.pattern, text[at:e])), None)
+                short = next((e for e in ends[-8:] if rule.short and re.fullmatch(rule.short, text[at:e])), None) if not whole else None
+                if whole:
+                    want.append((at, i, whole))
+                at = whole or short or at + 1
+        assert s.spans(text) == [(rules[i].kind, a, b) for a, i, b in sorted(want)], text
+        hits += len(want)
+    assert hits > 50
