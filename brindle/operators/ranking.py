@@ -2,47 +2,23 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import runs, token_sets_jaccard, trigrams
+from ..functions.text import runs
+from .sequences import similar_pairs
 
 
-def _ratios(terms: list[str]):
-    def run(words: pa.Array) -> pa.Array:
-        return pa.array([[SequenceMatcher(None, t, w).ratio() for t in terms] for w in words.to_pylist()], pa.list_(pa.float64()))
-
-    return F.arrow_udf(run, "array<double>")
-
-
-def token_similarities(words: DataFrame, word: str, terms: list[str], least: float = 0.84) -> DataFrame:
-    """(word, term_no, score) of distinct words that are like a term by ``least``: equal 1, contained 0.95 of the share, else the larger of both ratios.
-
-    A ratio can't reach ``least`` beyond a bound on the lengths, so that few words go to Python, each once for the whole table.
-    """
-    distinct = words.select(F.lower(F.trim(word)).alias("word")).distinct().filter("word != ''")
-    n = F.length("word")
-    near = reduce(lambda a, b: a | b, [2 * F.least(n, F.lit(len(t))) >= least * (n + len(t)) for t in terms] + [F.col("word").contains(t) | F.lit(t).contains(F.col("word")) for t in terms])
-    told = distinct.filter(near).withColumn("_r", _ratios(terms)(F.col("word")))
-    scores = []
-    for i, t in enumerate(terms):
-        share = F.least(n, F.lit(len(t))) / F.greatest(n, F.lit(len(t)))
-        within = (F.col("word").contains(t) | F.lit(t).contains(F.col("word"))) & (share >= 0.7)
-        like = F.greatest(F.get("_r", F.lit(i)), token_sets_jaccard(trigrams(F.col("word")), trigrams(F.lit(t))))
-        scores.append(F.struct(F.lit(i).alias("term_no"), F.when(F.col("word") == t, 1.0).when(within, 0.95 * share).otherwise(like).alias("score")))
-    return told.select("word", F.explode(F.filter(F.array(*scores), lambda s: s["score"] >= least)).alias("s")).select("word", "s.*")
-
-
-def fuzzy_bonus(df: DataFrame, key: str, text: str, terms: list[str], found: float = 0.2, like: float = 0.16) -> DataFrame:
+def fuzzy_bonus(df: DataFrame, key: str, text: str, terms: list[str], found: float = 0.2, like: float = 0.16, least: float = 0.84) -> DataFrame:
     """(key, bonus): for each term ``found`` where the text holds it, else ``like`` times its best similarity to a word of 3 letters or more."""
     low = F.lower(F.coalesce(text, F.lit("")))
     held = df.select(key, *[low.contains(t).alias(f"_h{i}") for i, t in enumerate(terms)], F.array_distinct(F.filter(runs(F.coalesce(text, F.lit("")), 1), lambda w: F.length(w) >= 3)).alias("_w"))
     words = held.select(key, F.explode("_w").alias("word"))
-    best = words.join(token_similarities(words, "word", terms), "word").groupBy(key).pivot("term_no", list(range(len(terms)))).agg(F.max("score"))
+    asked = df.sparkSession.createDataFrame([(i, t.lower().strip()) for i, t in enumerate(terms)], "term_no int, term string")
+    pairs = similar_pairs(asked, words, least).join(F.broadcast(asked), "term")  # a row per term of the question
+    best = words.join(pairs, "word").groupBy(key).pivot("term_no", list(range(len(terms)))).agg(F.max("score"))
     joined = held.drop("_w").join(best, key, "left")
     each = [F.when(F.col(f"_h{i}"), found).otherwise(like * F.coalesce(F.col(f"`{i}`"), F.lit(0.0))) for i in range(len(terms))]
     return joined.select(key, reduce(lambda a, b: a + b, each).alias("bonus"))
