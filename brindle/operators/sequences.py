@@ -114,6 +114,12 @@ def characters(word: Column) -> Column:
     return F.split(word, "")
 
 
+def letters(word: Column) -> Column:
+    """The set of a word's characters as 64 bits; characters that share a bit only make sets look closer."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.ascii(c), F.lit(64)))
+    return F.aggregate(F.filter(characters(word), lambda c: c != ""), F.lit(0).cast("bigint"), lambda x, c: x.bitwiseOR(bit(c)))
+
+
 def common_characters(a: Column, b: Column) -> Column:
     """The size of both words' common multiset of characters, which no matching exceeds."""
     each = F.array_distinct(F.filter(characters(a), lambda c: c != ""))
@@ -127,19 +133,25 @@ def similar_pairs(terms: DataFrame, words: DataFrame, least: float = 0.84, term:
     clean = lambda df, c, name: df.select(F.lower(F.trim(c)).alias(name)).filter(f"{name} != ''").distinct()
     asked, held = clean(terms, term, "term"), clean(words, word, "word")
     sets = F.size(F.array_distinct(grams(F.col("word"))))
-    index = held.select("word", F.length("word").alias("n"), sets.alias("n_set"), F.explode(F.array_distinct(grams(F.col("word"), size))).alias("gram"))
+    index = held.select("word", F.length("word").alias("n"), sets.alias("n_set"), letters(F.col("word")).alias("n_letters"), F.explode(F.array_distinct(grams(F.col("word"), size))).alias("gram"))
     common = index.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
     # The term's grams, the rarest first; what the most frequent ones would add is reached through the others.
     own = asked.select("term", _surplus(F.col("term"), least).alias("_spare"), F.explode(grams(F.col("term"), size)).alias("gram"))
     own = own.groupBy("term", "gram").agg(F.count(F.lit(1)).alias("times"), F.first("_spare").alias("_spare")).join(common, "gram")
     behind = Window.partitionBy("term").orderBy(F.desc("held"), "gram").rowsBetween(Window.unboundedPreceding, 0)
     own = own.withColumn("_left_out", F.sum("times").over(behind)).filter("_left_out > _spare")
-    own = own.select("term", "gram", F.length("term").alias("m"), F.size(F.array_distinct(grams(F.col("term")))).alias("m_set"))
+    own = own.select("term", "gram", "times", "_spare", F.length("term").alias("m"), F.size(F.array_distinct(grams(F.col("term")))).alias("m_set"), letters(F.col("term")).alias("m_letters"))
+    # A letter that one word has alone stays unmatched; of those that the sets' difference holds, a trigram has three at most.
+    alone = F.bit_count(F.col("m_letters").bitwiseXOR(F.col("n_letters")))
     by_length = 2 * F.least("m", "n") >= least * (F.col("m") + F.col("n")) - 1e-9
     by_set = F.least("m_set", "n_set") >= least * F.greatest("m_set", "n_set") - 1e-9
-    pairs = own.join(index, "gram").filter(by_length | by_set).select("term", "word").distinct()
-    a, b = F.col("term"), F.col("word")
-    sets = token_sets_jaccard(F.array_distinct(grams(a)), F.array_distinct(grams(b)))
-    may = (2 * common_characters(a, b) >= least * (F.length(a) + F.length(b)) - 1e-9) | (sets >= least)
-    scored = pairs.filter(may).withColumn("score", similarity(a, b))
+    near = by_length & (alone <= (1 - least) * (F.col("m") + F.col("n")) + 1e-9) | by_set & (alone <= 3 * (1 - least) / (1 + least) * (F.col("m_set") + F.col("n_set")) + 1e-9)
+    told = [F.first(c).alias(c) for c in ("m", "n", "m_set", "n_set", "_spare")]
+    # Named anew, so that no filter on the score, which costs, moves below the grouping.
+    pairs = own.join(index, "gram").filter(near).groupBy("term", "word").agg(F.sum("times").alias("_shared"), F.first("term").alias("_a"), F.first("word").alias("_b"), *told)
+    # What a pair shares at most, with the grams that were left out.
+    a, b, shared = F.col("_a"), F.col("_b"), F.col("_shared") + F.col("_spare")
+    enough = (shared >= least_shared(least, F.col("m") + F.col("n"))) & (2 * common_characters(a, b) >= least * (F.col("m") + F.col("n")) - 1e-9)
+    sets = shared >= least / (1 + least) * (F.col("m_set") + F.col("n_set")) - 1e-9 if size == 3 else by_set
+    scored = pairs.filter(by_length & enough | sets).select(a.alias("term"), b.alias("word"), similarity(a, b).alias("score"))
     return scored.filter(F.col("score") >= least)

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from difflib import unified_diff
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import diffs, windows
 from ..operators import wage_rows as R
-from ..operators import windows
 from ..sources.tables import table
 from .questions import CLAUSES_SQL, clauses
 from .registry import Registry
@@ -146,15 +144,35 @@ def table_attach(spark: SparkSession, sf: str) -> DataFrame:
     return held.unionByName(t.filter("chunk IS NULL").select("chunk", "article", F.col("tab").cast("string").alias("tables"), F.lit(True).alias("made")))
 
 
+def _changed(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and a later version of them: words changed, each eleventh line by its hash gone and a line added behind each thirteenth."""
+    cut = F.split("text", "\n")
+    edit = lambda x: F.when(F.crc32(x) % 13 == 0, F.concat(x, F.lit("\nadded behind it"))).otherwise(F.replace(x, F.lit("the "), F.lit("THE ")))
+    later = F.array_join(F.transform(F.filter(cut, lambda x: F.crc32(x) % 11 != 0), edit), "\n")
+    return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", "text", later.alias("later"))
+
+
 @registry.query()
 def diff_excerpts(spark: SparkSession, sf: str) -> DataFrame:
-    """The first lines of a unified diff between versions of a text, of those that changed; difflib has no SQL form."""
-    @F.arrow_udf("string")
-    def diff(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(["\n".join(list(unified_diff(x.splitlines(), y.splitlines(), "base", "effective", lineterm="", n=1))[:12]) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.string())
-
-    d = table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", "text", F.replace("text", F.lit("the "), F.lit("THE ")).alias("later")).filter("text != later")
-    return d.select("doc_id", diff(F.col("text"), F.col("later")).alias("excerpt"))
+    """The first twelve lines of a unified diff between versions of a text, of those that changed."""
+    return diffs.unified(diffs.hunks(diffs.line_diff(_changed(spark, sf), "doc_id", "text", "later"), "doc_id", 1), "doc_id", 12)
+
+
+@registry.query("""WITH d AS (SELECT doc_id, string_split(regexp_replace(text, '\r\n|[\n\r\x0B\f\x1C-\x1E\u0085\u2028\u2029]', chr(10), 'g'), chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(len(l) - CASE WHEN l[-1] = '' THEN 1 ELSE 0 END AS BIGINT) AS base_lines, TRUE AS same FROM d""")
+def diff_rebuilds(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the script of each document gives back both of its versions, line by line."""
+    d = _changed(spark, sf)
+    script = diffs.line_diff(d, "doc_id", "text", "later")
+    sides = script.groupBy("doc_id").agg(
+        *[F.xxhash64(F.transform(F.array_sort(F.collect_list(F.when(F.col("op") != skip, F.struct("place", "line")))), lambda x: x["line"])).alias(name) for skip, name in (("+", "old"), ("-", "new"))],
+        F.sum((F.col("op") != "+").cast("bigint")).alias("base_lines"),
+    )
+    whole = lambda side, name: diffs.lines(d, "doc_id", side, "k").groupBy("doc_id").agg(F.xxhash64(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"])).alias(name))
+    nothing = F.xxhash64(F.array().cast("array<string>"))
+    want = d.select("doc_id").join(whole("text", "was"), "doc_id", "left").join(whole("later", "is"), "doc_id", "left").join(sides, "doc_id", "left")
+    eq = lambda a, b: F.coalesce(a, nothing) == F.coalesce(b, nothing)
+    return want.select("doc_id", F.coalesce("base_lines", F.lit(0)).alias("base_lines"), (eq(F.col("old"), F.col("was")) & eq(F.col("new"), F.col("is"))).alias("same"))
 
 
 @registry.query("""WITH t AS (SELECT p_type AS topic, p_brand AS article, count(*) AS n FROM part WHERE p_size < 20 GROUP BY ALL), o(topic, article) AS (VALUES ('SMALL', 'Brand#3'), ('NEW', 'Brand#1')), r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC, article) AS r FROM t), g AS (SELECT topic, string_agg(article, ',' ORDER BY r) AS articles FROM r WHERE r <= 3 GROUP BY 1)
