@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.vectors import cosine
 from ..operators import search, sequences, windows
+from ..sources import postings
 from ..sources.tables import table
 from .registry import Registry
 
@@ -258,11 +259,20 @@ def bm25_postings(spark: SparkSession, sf: str) -> DataFrame:
 
 @registry.query(f"WITH {_bm25_sql(True)} SELECT doc_id, score FROM bm WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_indexed_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """The same scores from postings: the terms' rows, joined with the broadcast query."""
-    docs = table(spark, sf, "documents")
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.tokens(F.coalesce("text", F.lit(""))))).alias("al")).first()
-    scored = search.bm25_indexed(search.postings(docs, "text"), F.lit(stats["n"]), F.lit(stats["al"]), TERMS, tf_mode="count")
-    return search.top(scored, "score", "doc_id", 10)
+    """The same rows from the stored index: only the terms' buckets are read, and only blocks that may hold one of the first ten."""
+    return postings.stored(table(spark, sf, "documents")).topk(TERMS, 10)
+
+
+@registry.query(f"WITH {_bm25_sql(False).replace('WITH ', '')} SELECT doc_id, score FROM bm WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 25")
+def bm25_indexed_binary_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores that count a term once a document, from the same index."""
+    return postings.stored(table(spark, sf, "documents")).topk(TERMS, 25, tf_mode="binary")
+
+
+@registry.query(f"WITH {TOK}, t AS (SELECT doc_id, unnest(list_distinct(w)) AS term FROM tok) SELECT term, count(*) AS df FROM t GROUP BY term")
+def bm25_index_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """The dictionary of the stored index: each term's number of documents."""
+    return postings.stored(table(spark, sf, "documents")).table("terms").select("term", "df")
 
 
 def _hybrid_sql(w1: float, w2: float, after: str = "", boost: str = "0") -> str:
