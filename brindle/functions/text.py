@@ -71,32 +71,6 @@ def injection_labels(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(found)))
 
 
-#: What every match of a class holds, so that most texts are spared its pattern.
-_GUARDS = {
-    "ssn": r"\d{2}[- ]?\d{4}(?!\w)", "email": r"@[A-Za-z0-9.-]+\.[A-Za-z]{2}", "phone": r"\d{3}[-.\s]?\d{4}(?!\d)", "dob": r"(?i)d(?:ob|ate)", "address": "(?i)address",
-    "routing_number": "(?i)routing", "account_number": "(?i)ac(?:count|ct)", "card_number": r"\d[ -]*\d[ -]*\d[ -]*\d(?!\w)", "member_id": r"(?i)member|employee", "secret": "(?i)key|secret|token|password",
-}
-
-
-def redaction(text: Column) -> Column:
-    """struct<text, classes>: personal data replaced, class after class, and the sorted classes that were found.
-
-    A fold over the classes' numbers, so that each pattern is run once on the text that those before it left.
-    """
-    def step(state: Column, number: Column) -> Column:
-        here, out, found = state["text"], state["text"], F.lit(None).cast("string")
-        for i, (name, pattern, mask) in enumerate(PERSONAL):
-            now = F.when(here.rlike(_GUARDS[name]), F.regexp_replace(here, pattern, mask)).otherwise(here)
-            out = F.when(number == i, now).otherwise(out)
-            found = F.when(number == i, F.lit(name)).otherwise(found)
-        # A class counts if its pattern matched; a replacement always differs from what it replaces.
-        return F.struct(out.alias("text"), F.when(out != here, F.concat(state["classes"], F.array(found))).otherwise(state["classes"]).alias("classes"))
-
-    start = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.array().cast("array<string>").alias("classes"))
-    done = F.aggregate(F.sequence(F.lit(0), F.lit(len(PERSONAL) - 1)), start, step)
-    return F.struct(done["text"].alias("text"), F.array_sort(done["classes"]).alias("classes"))
-
-
 #: What every match of a class holds, so that most texts are spared its pattern.
 _GUARDS = {
     "ssn": r"\d{2}[- ]?\d{4}(?!\w)", "email": r"@[A-Za-z0-9.-]+\.[A-Za-z]{2}", "phone": r"\d{3}[-.\s]?\d{4}(?!\d)", "dob": r"(?i)d(?:ob|ate)", "address": "(?i)address",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -88,11 +89,20 @@ def expand_synonyms(question: Column, concepts: dict[str, list[str]], groups: li
     return F.when(F.size(terms) > 0, F.concat(question, F.lit(" ("), F.array_join(F.slice(terms, 1, most), " "), F.lit(")"))).otherwise(question)
 
 
-def expand_slang(question: Column, slang: dict[str, str], patterns: list[tuple[str, str]]) -> Column:
-    """The question with the contract's words for its slang behind it, longest slang first, then those of phrases, each once."""
+def expand_slang(question: Column, slang: dict[str, str], detectors: list[tuple[str, str, str]] = ()) -> Column:
+    """struct<text, applied>: the question with the contract's words for its slang behind it, and what was added for what.
+
+    Slang is tried longest first, of equal lengths in its own order, then come the detectors (pattern, words, label). Words that stand
+    there already are left out. The rules that a question meets are found first; the words are added by a fold over them.
+    """
     low = F.lower(question)
-    rules = [(rf"\b{s}\b", t) for s, t in sorted(slang.items(), key=lambda x: len(x[0]), reverse=True)] + patterns
-    out = question
-    for pattern, term in rules:
-        out = F.when(low.rlike(pattern) & ~F.lower(out).contains(term), F.concat(out, F.lit(f" ({term})"))).otherwise(out)
-    return out
+    rules = [(rf"\b{re.escape(s)}\b", t, s) for s, t in sorted(slang.items(), key=lambda x: len(x[0]), reverse=True)] + list(detectors)
+    met = [F.when(low.rlike(p), F.struct(F.lit(t).alias("words"), F.lit(f"{label} -> {t}").alias("told"))) for p, t, label in rules]
+    hits = F.array_compact(F.array(*met)) if met else F.array().cast("array<struct<words:string,told:string>>")
+    start = F.struct(question.alias("text"), F.array().cast("array<string>").alias("applied"))
+
+    def add(state: Column, hit: Column) -> Column:
+        more = F.struct(F.concat(state["text"], F.lit(" ("), hit["words"], F.lit(")")).alias("text"), F.concat(state["applied"], F.array(hit["told"])).alias("applied"))
+        return F.when(F.lower(state["text"]).contains(hit["words"]), state).otherwise(more)
+
+    return F.aggregate(hits, start, add)

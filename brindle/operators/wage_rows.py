@@ -44,7 +44,7 @@ def row_type(cells: Column, expected: int, active: Column) -> Column:
     ``active``: whether a class holds for the row.
     """
     label = clean(F.get(cells, F.lit(0)))
-    rest = F.transform(F.slice(cells, 2, 1000), clean)
+    rest = F.transform(F.slice(cells, 2, F.size(cells)), clean)
     whole = F.lower(F.array_join(F.transform(cells, clean), " "))
     rates = F.size(F.filter(rest, lambda c: rate(c).isNotNull()))
     dates = F.size(F.filter(F.transform(cells, clean), lambda c: c.rlike(DATE)))

@@ -50,7 +50,7 @@ def canonical_rows(rows: DataFrame, keys: list[str], order: list[str], rate: str
         replaced = (F.abs(a["rate"] - b["rate"]) >= 1e-9) & (b["confidence"] > a["confidence"] + least)
         return F.when(replaced, keep(b, a["conflicts"] + 1)).otherwise(a)
 
-    chosen = F.aggregate(F.slice("_all", 2, 1_000_000), keep(F.col("_all")[0], F.lit(0)), merge)
+    chosen = F.aggregate(F.slice("_all", 2, F.size("_all")), keep(F.col("_all")[0], F.lit(0)), merge)
     return held.select(*keys, chosen.alias("c"), F.size("_all").cast("bigint").alias("seen")).select(*keys, "c.rate", "c.confidence", F.col("c.conflicts").cast("bigint").alias("conflicts"), "seen")
 
 
@@ -71,26 +71,42 @@ def classification_key(asked: DataFrame, name: str, classes: DataFrame, aliases:
     return told.withColumn("class_key", key).drop("_n", "_classes", "_alias")
 
 
+def rate_steps(rates: DataFrame) -> DataFrame:
+    """Per class and date: the kind of its progression, the best row of each threshold of that kind, the best fixed one, the best of all.
+
+    A row is better by its kind, a higher threshold, a higher confidence, a table, its step's name and its rate. ``evidence``
+    counts the places in tables that give a row's step and rate. What is gathered are distinct thresholds, not rows.
+    """
+    keys = ["class_key", "effective_date"]
+    first = lambda kind: F.max(F.col("step_type") == kind)
+    kinds = rates.groupBy(*keys).agg(F.when(first("hours"), "hours").when(first("months"), "months").otherwise("fixed").alias("kind"))
+    same = [*keys, "step", "_rate"]
+    told = rates.withColumn("step", F.coalesce("step_name", F.lit(""))).withColumn("_rate", F.round("rate", 8))
+    places = told.groupBy(*same).agg(F.count_distinct(F.struct("table_id", "row_index")).alias("evidence"))
+    told = told.join(kinds, keys).join(places, same)
+    rank = F.struct(
+        F.when(F.col("step_type") == F.col("kind"), 0).when(F.col("step_type") == "fixed", 1).otherwise(2).alias("a"), (-F.coalesce("threshold", F.lit(0))).alias("b"), (-F.coalesce("confidence", F.lit(0.0))).alias("c"),
+        F.when(F.col("table_id").isNotNull(), 0).otherwise(1).alias("d"), "step", "rate", "evidence",
+    )
+    per = told.groupBy(*keys, "kind", "step_type", F.coalesce("threshold", F.lit(0)).alias("threshold")).agg(F.min(rank).alias("best"))
+    return per.groupBy(*keys, "kind").agg(
+        F.collect_list(F.when(F.col("step_type") == F.col("kind"), F.struct("threshold", "best"))).alias("steps"),
+        F.min(F.when(F.col("step_type") == "fixed", F.col("best"))).alias("fixed"), F.min("best").alias("any"),
+    )
+
+
 def wage_lookup(asked: DataFrame, rates: DataFrame) -> DataFrame:
     """The rate of each request (class_key, on, hours, months) from rates (class_key, effective_date, step_type, threshold, rate, confidence, table_id, row_index, step_name).
 
     The date is the latest one not after the request's, else the last; hours decide where the date has steps of hours, else
-    months; steps that are reached, or fixed, are ranked by kind, threshold, confidence, table and name. A class's dates,
-    and its rates at a date, are small arrays, so that a request is answered in its row, without a join by range.
+    months. The step is that of the highest threshold that is reached, else a fixed one, else the best of all. A class's
+    dates and a date's thresholds are looked through; how many rows they come from doesn't matter.
     """
-    row = F.struct("step_type", "threshold", "rate", "confidence", "table_id", "row_index", "step_name")
-    at_date = rates.groupBy("class_key", "effective_date").agg(F.collect_list(row).alias("_at"))
-    dates = at_date.groupBy("class_key").agg(F.collect_list("effective_date").alias("_dates"))
+    steps = rate_steps(rates)
+    dates = steps.groupBy("class_key").agg(F.collect_list("effective_date").alias("_dates"))
     a = asked.join(dates, "class_key", "left")
-    a = a.withColumn("effective_date", F.coalesce(F.array_max(F.filter("_dates", lambda d: d <= F.col("on"))), F.array_max("_dates"))).join(at_date, ["class_key", "effective_date"], "left")
-    kind = F.when(F.exists("_at", lambda r: r["step_type"] == "hours"), "hours").when(F.exists("_at", lambda r: r["step_type"] == "months"), "months").otherwise("fixed")
-    a = a.withColumn("_kind", kind).withColumn("_served", F.when(F.col("_kind") == "hours", F.col("hours")).otherwise(F.col("months")))
-    reached = lambda r: (F.col("_kind") == "fixed") | (r["step_type"] == "fixed") | ((r["step_type"] == F.col("_kind")) & (F.col("_served") >= F.coalesce(r["threshold"], F.lit(0))))
-    a = a.withColumn("_fit", F.filter("_at", reached)).withColumn("_fit", F.when(F.size("_fit") > 0, F.col("_fit")).otherwise(F.col("_at")))
-    ranked = F.transform("_fit", lambda r: F.struct(
-        F.when(r["step_type"] == F.col("_kind"), 0).when(r["step_type"] == "fixed", 1).otherwise(2).alias("a"), (-F.coalesce(r["threshold"], F.lit(0))).alias("b"), (-F.coalesce(r["confidence"], F.lit(0.0))).alias("c"),
-        F.when(r["table_id"].isNotNull(), 0).otherwise(1).alias("d"), F.coalesce(r["step_name"], F.lit("")).alias("e"), r["rate"].alias("rate"), r["row_index"].alias("row_index")))
-    a = a.withColumn("_best", F.array_min(ranked))
-    same = F.filter("_at", lambda r: (F.coalesce(r["step_name"], F.lit("")) == F.col("_best.e")) & (F.abs(r["rate"] - F.col("_best.rate")) <= 1e-9))
-    evidence = F.array_distinct(F.transform(same, lambda r: F.struct(r["table_id"], r["row_index"])))
-    return a.select(*asked.columns, "effective_date", F.col("_best.e").alias("step"), F.col("_best.rate").alias("rate"), F.when(F.col("_best").isNotNull(), F.size(evidence).cast("bigint")).alias("evidence"))
+    a = a.withColumn("effective_date", F.coalesce(F.array_max(F.filter("_dates", lambda d: d <= F.col("on"))), F.array_max("_dates"))).join(steps, ["class_key", "effective_date"], "left")
+    served = F.when(F.col("kind") == "hours", F.col("hours")).otherwise(F.col("months"))
+    reached = F.array_max(F.filter("steps", lambda s: (F.col("kind") != "fixed") & (served >= s["threshold"])))["best"]
+    a = a.withColumn("_best", F.when(F.col("kind") == "fixed", F.col("any")).otherwise(F.coalesce(reached, "fixed", "any")))
+    return a.select(*asked.columns, "effective_date", F.col("_best.step").alias("step"), F.col("_best.rate").alias("rate"), F.col("_best.evidence").alias("evidence"))

@@ -14,6 +14,7 @@ from ..sources.tables import table
 from .questions import CLAUSES_SQL, clauses
 from .registry import Registry
 from .routing import _re
+from .safety import redaction_steps
 
 registry = Registry()
 
@@ -76,25 +77,34 @@ def provenance_marks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Fixed value: words that a prompt may have.
+TOKEN_LIMIT = 4000
 _LABELS = "list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(coalesce(text, '')), '{p}') THEN '{label}' END" for label, p in T.INJECTION) + "], lambda x: x IS NOT NULL)))"
 
 
-@registry.query(f"""WITH s AS (SELECT doc_id, {_LABELS} AS labels, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) > 300 AS long FROM documents)
+@registry.query(f"""WITH s AS (SELECT doc_id, {_LABELS} AS labels, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) > 4000 AS long FROM documents)
 SELECT doc_id, len(labels) = 0 AND NOT long AS allowed, array_to_string(list_concat(labels, CASE WHEN long THEN ['token_limit'] ELSE CAST([] AS VARCHAR[]) END), ',') AS reasons, CASE WHEN long THEN 1.0 WHEN len(labels) > 0 THEN 0.95 ELSE 0.0 END AS risk FROM s""")
 def prompt_decision(spark: SparkSession, sf: str) -> DataFrame:
-    """A prompt passes if nothing speaks against it; the risk is the largest of its reasons. Three hundred words are the limit here."""
+    """A prompt passes if nothing speaks against it; the risk is the largest of its reasons. Texts of more than 4000 words don't pass."""
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
-    s = table(spark, sf, "documents").select("doc_id", T.injection_labels(F.col("text")).alias("labels"), (words > 300).alias("long"))
+    s = table(spark, sf, "documents").select("doc_id", T.injection_labels(F.col("text")).alias("labels"), (words > TOKEN_LIMIT).alias("long"))
     reasons = F.concat("labels", F.when(F.col("long"), F.array(F.lit("token_limit"))).otherwise(F.array().cast("array<string>")))
     risk = F.when(F.col("long"), 1.0).when(F.size("labels") > 0, 0.95).otherwise(0.0)
     return s.select("doc_id", (F.size(reasons) == 0).alias("allowed"), F.array_join(reasons, ",").alias("reasons"), risk.alias("risk"))
 
 
-@registry.query(r"""SELECT conv_id, turn, role, NOT regexp_matches(coalesce(text, ''), '[A-Za-z0-9._%+-]{1,63}@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS allowed FROM conversations WHERE role = 'assistant'""")
+#: Answers as they are, and with personal data of each class put into some of them.
+_LEAKS = ("", " call 303-555-0147 now", " ssn 123-45-6789", " DOB: 04/05/1980", " address: 12 Elm Hill Road", " routing number 123456789", " acct # 12345678", " card 4111 1111 1111 1111", " member id AB-12345", " password is hunter22", " nothing of it")
+_ANSWERS = "t0 AS (SELECT conv_id, turn, role, text AS raw, coalesce(text, '') || [" + ", ".join(f"'{x}'" for x in _LEAKS) + f"][CAST((conv_id * 7 + turn) % {len(_LEAKS)} AS INT) + 1] AS x, CAST([] AS VARCHAR[]) AS classes FROM conversations WHERE role = 'assistant')"
+
+
+@registry.query(f"WITH {_ANSWERS}, {redaction_steps('conv_id, turn, role')} SELECT conv_id, turn, role, len(classes) = 0 AS allowed, array_to_string(list_sort(classes), ',') AS classes FROM t10")
 def output_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Answers that may pass: those in which nothing personal is found. The conversations hold addresses of mail only."""
-    c = table(spark, sf, "conversations").filter("role = 'assistant'")
-    return c.select("conv_id", "turn", "role", (F.size(T.redaction(F.col("text"))["classes"]) == 0).alias("allowed"))
+    """Answers that may pass: those in which no class of personal data is found."""
+    leak = F.element_at(F.array(*[F.lit(x) for x in _LEAKS]), ((F.col("conv_id") * 7 + F.col("turn")) % len(_LEAKS) + 1).cast("int"))
+    c = table(spark, sf, "conversations").filter("role = 'assistant'").withColumn("answer", F.concat(F.coalesce("text", F.lit("")), leak))
+    found = c.select("conv_id", "turn", "role", T.redacted_classes(F.col("answer")).alias("found"))
+    return found.select("conv_id", "turn", "role", (F.size("found") == 0).alias("allowed"), F.array_join("found", ",").alias("classes"))
 
 
 @registry.query("""WITH t AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 THEN 'topic' || (turn % 5) END AS topic, CASE WHEN turn % 4 = 1 THEN 'Article ' || turn END AS cited FROM conversations)

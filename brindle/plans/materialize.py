@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import patches, windows
+from ..operators import patches, tables, windows
 from ..sources.tables import table
 from .registry import Registry
 
@@ -112,9 +112,9 @@ def html_tables(pages: DataFrame, html: str) -> DataFrame:
     """table_no and rows (array of arrays of trimmed cells) of every table of a page; nested tables aren't told apart."""
     all_of = lambda t, p: F.regexp_extract_all(t, F.lit(p), F.lit(1))
     clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\s+", " "))
-    tables = pages.select(*[c for c in pages.columns if c != html], F.posexplode(all_of(html, r"(?is)<table[^>]*>(.*?)</table>")).alias("n", "_t"))
+    found = pages.select(*[c for c in pages.columns if c != html], F.posexplode(all_of(html, r"(?is)<table[^>]*>(.*?)</table>")).alias("n", "_t"))
     rows = F.transform(all_of("_t", r"(?is)<tr[^>]*>(.*?)</tr>"), lambda r: F.transform(all_of(r, r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), clean))
-    return tables.withColumn("table_no", (F.col("n") + 1).cast("bigint")).withColumn("rows", rows).drop("n", "_t")
+    return found.withColumn("table_no", (F.col("n") + 1).cast("bigint")).withColumn("rows", rows).drop("n", "_t")
 
 
 def content_hash(rows) -> object:
@@ -136,42 +136,78 @@ def html_table_extract(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("p_partkey", "table_no", F.size("rows").cast("bigint").alias("n_rows"), cells.alias("cells"), content_hash(F.col("rows")).alias("content_hash"))
 
 
-@registry.query(f"""WITH {CELLS}, h AS (SELECT p_partkey, p_size % 10 AS article, n, substr(sha256('[' || array_to_string(list_transform(rows_, lambda r: '[' || array_to_string(list_transform(r, lambda c: '"' || lower(c) || '"'), ', ') || ']'), ', ') || ']'), 1, 16) AS ch FROM r),
-reg AS (SELECT ch, min(p_partkey) AS table_id, any_value(article) AS article FROM h WHERE p_partkey % 4 <> 1 GROUP BY ch), one AS (SELECT article, min(table_id) AS only_id FROM reg WHERE article >= 8 GROUP BY article)
-SELECT h.p_partkey, CAST(h.n AS BIGINT) AS table_no, coalesce(reg.table_id, one.only_id) AS table_id, CASE WHEN reg.table_id IS NOT NULL THEN 'hash' WHEN one.only_id IS NOT NULL THEN 'article' ELSE 'synthesized' END AS how FROM h LEFT JOIN reg USING (ch) LEFT JOIN one ON reg.table_id IS NULL AND one.article = h.article""")
+HASH = """substr(sha256('[' || array_to_string(list_transform(rows_, lambda r: '[' || array_to_string(list_transform(r, lambda c: '"' || lower(c) || '"'), ', ') || ']'), ', ') || ']'), 1, 16)"""
+
+
+@registry.query(f"""WITH RECURSIVE {CELLS}, h AS (SELECT p_partkey, p_size, n, {HASH} AS h FROM r),
+p AS (SELECT p_partkey // 40 AS contract, p_partkey * 10 + n AS place, row_number() OVER (PARTITION BY p_partkey // 40 ORDER BY p_partkey, n) AS i, h, CASE WHEN p_partkey % 11 > 0 THEN p_partkey % 6 END AS article,
+  lower(CASE WHEN p_partkey % 7 = 0 THEN p_name || ' of ' || p_type ELSE substr(p_name, 1, 4) END) AS heading FROM h JOIN part USING (p_partkey)),
+reg AS (SELECT p_partkey // 40 AS contract, p_partkey * 10 + n AS place, 'reg_' || p_partkey || '_' || n AS id, CASE WHEN p_partkey % 4 = 0 THEN h ELSE 'x' || h END AS h, p_partkey % 5 AS article, [lower(p_name), lower(p_type) || ' rates'] AS path FROM h JOIN part USING (p_partkey) WHERE p_partkey % 4 <> 1),
+q AS (SELECT p.*, (SELECT arg_max(id, place) FROM reg WHERE reg.contract = p.contract AND reg.h = p.h) AS rh,
+  (SELECT list({{'id': id, 'hit': len(list_filter(path, lambda x: contains(p.heading, x) OR contains(x, p.heading))) > 0}} ORDER BY place) FROM reg WHERE reg.contract = p.contract AND reg.article = p.article) AS c FROM p),
+w AS (SELECT contract, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS used, CAST([] AS STRUCT(h VARCHAR, id VARCHAR)[]) AS made, CAST(NULL AS BIGINT) AS place, CAST(NULL AS VARCHAR) AS table_id, CAST(NULL AS VARCHAR) AS how FROM (SELECT DISTINCT contract FROM q)
+UNION ALL SELECT contract, i, list_append(used, id), CASE WHEN how = 'synthesized' THEN list_append(made, {{'h': h, 'id': id}}) ELSE made END, place, id, how FROM (
+  SELECT *, coalesce(by_hash, by_heading, by_only, 'tbl_fallback_art' || coalesce(article, 0) || '_' || substr(h, 1, 8)) AS id, CASE WHEN by_hash IS NOT NULL THEN 'hash' WHEN by_heading IS NOT NULL THEN 'heading' WHEN by_only IS NOT NULL THEN 'only' ELSE 'synthesized' END AS how FROM (
+    SELECT q.contract, q.i, q.place, q.h, q.article, used, made, coalesce(rh, list_filter(made, lambda x: x.h = q.h)[1].id) AS by_hash, list_filter(c, lambda x: NOT list_contains(used, x.id) AND x.hit)[1].id AS by_heading,
+      CASE WHEN len(list_filter(c, lambda x: NOT list_contains(used, x.id))) = 1 THEN list_filter(c, lambda x: NOT list_contains(used, x.id))[1].id END AS by_only FROM w JOIN q ON q.contract = w.contract AND q.i = w.i + 1)))
+SELECT contract, CAST(place AS BIGINT) AS place, table_id, how FROM w WHERE i > 0""")
 def table_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Tables of pages beside a registry: by the hash of their cells, those left by their article, the rest is made from the page."""
-    h = _tables(spark, sf).select("p_partkey", (F.col("p_size") % 10).alias("article"), "table_no", content_hash(F.col("rows")).alias("ch"))
-    registered = h.filter("p_partkey % 4 != 1").groupBy("ch").agg(F.min("p_partkey").alias("table_id"), F.min_by("article", "p_partkey").alias("a"))
-    one = registered.filter("a >= 8").groupBy(F.col("a").alias("article")).agg(F.min("table_id").alias("only_id"))
-    hit = h.join(registered.select("ch", "table_id"), "ch", "left")
-    rest = hit.filter("table_id IS NULL").drop("table_id").join(one, "article", "left")
-    found = hit.filter("table_id IS NOT NULL").select("p_partkey", "table_no", "table_id", F.lit("hash").alias("how"))
-    return found.unionByName(rest.select("p_partkey", "table_no", F.col("only_id").alias("table_id"), F.when(F.col("only_id").isNotNull(), "article").otherwise("synthesized").alias("how")))
-
-
-@registry.query("""WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'APPENDIX A ' || p_name WHEN 1 THEN p_name || ' rates of pay' ELSE p_name END AS heading, CASE p_partkey % 3 WHEN 0 THEN '$1 | $2 | $3' ELSE 'Contents ..... 4' END AS body, p_size AS article FROM part)
-SELECT p_partkey, CASE WHEN contains(lower(heading), 'appendix') THEN 'appendix' WHEN article >= 50 - 20 AND (length(body) - length(replace(body, '$', '')) >= 3 OR contains(lower(heading || body), 'rates of pay')) THEN 'appendix' ELSE 'cba' END AS doc_type, regexp_matches(body, '\\.{4,}\\s*\\d+') AS is_contents, length(body) - length(replace(body, '$', '')) AS dollars FROM t""")
-def table_doc_type(spark: SparkSession, sf: str) -> DataFrame:
-    """Appendix tables by their heading, or wage-like ones of late articles; tables of contents by their dots."""
+    """Tables of pages beside a registry, in the order of a contract: by the hash of their cells, by article and heading among the free ones, by the only free one, else made."""
+    k, p = F.col("p_partkey"), table(spark, sf, "part").select("p_partkey", "p_name", "p_type")
+    h = _tables(spark, sf).select("p_partkey", (k * 10 + F.col("table_no")).alias("place"), "table_no", content_hash(F.col("rows")).alias("hash")).join(p, "p_partkey").withColumn("contract", F.expr("p_partkey div 40"))
+    heading = F.when(k % 7 == 0, F.concat_ws(" of ", "p_name", "p_type")).otherwise(F.substring("p_name", 1, 4))
+    pages = h.select("contract", "place", "hash", F.when(k % 11 > 0, k % 6).alias("article"), heading.alias("heading"))
+    held = h.filter(k % 4 != 1).select("contract", "place", F.concat_ws("_", F.lit("reg"), k, "table_no").alias("table_id"), F.when(k % 4 == 0, F.col("hash")).otherwise(F.concat(F.lit("x"), "hash")).alias("hash"), (k % 5).alias("article"), F.array("p_name", F.concat("p_type", F.lit(" rates"))).alias("path"))
+    return tables.match_tables(pages, held)
+
+
+_TABLE = """t AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'APPENDIX ' || chr(65 + CAST(p_size % 4 AS INT)) || ' ' || p_name WHEN 1 THEN p_name || ' rates of pay' WHEN 2 THEN 'Table of Contents' ELSE p_name END AS heading,
+CASE p_partkey % 3 WHEN 0 THEN 'Classification | Effective 1/1/22' || chr(10) || '$1 | $2 | $' || p_size WHEN 1 THEN '| Dental | Vacation |' ELSE '$3 | hourly rate' END AS md, p_size + 25 AS article FROM part), r AS (SELECT *, lower(heading || chr(10) || md) AS raw, length(md) - length(replace(md, '$', '')) AS dollars FROM t)"""
+
+
+def _described(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
-    heading = F.when(k % 4 == 0, F.concat(F.lit("APPENDIX A "), "p_name")).when(k % 4 == 1, F.concat("p_name", F.lit(" rates of pay"))).otherwise(F.col("p_name"))
-    t = table(spark, sf, "part").select("p_partkey", heading.alias("heading"), F.when(k % 3 == 0, "$1 | $2 | $3").otherwise("Contents ..... 4").alias("body"), F.col("p_size").alias("article"))
-    dollars = F.regexp_count("body", F.lit(r"\$")).cast("bigint")
-    wage_like = (dollars >= 3) | F.lower(F.concat("heading", "body")).contains("rates of pay")
-    kind = F.when(F.lower("heading").contains("appendix") | ((F.col("article") >= 30) & wage_like), "appendix").otherwise("cba")
-    return t.select("p_partkey", kind.alias("doc_type"), F.col("body").rlike(r"\.{4,}\s*\d+").alias("is_contents"), dollars.alias("dollars"))
+    heading = (
+        F.when(k % 5 == 0, F.concat(F.lit("APPENDIX "), F.chr(65 + F.col("p_size") % 4), F.lit(" "), "p_name")).when(k % 5 == 1, F.concat("p_name", F.lit(" rates of pay")))
+        .when(k % 5 == 2, "Table of Contents").otherwise(F.col("p_name"))
+    )
+    md = F.when(k % 3 == 0, F.concat(F.lit("Classification | Effective 1/1/22\n$1 | $2 | $"), F.col("p_size").cast("string"))).when(k % 3 == 1, "| Dental | Vacation |").otherwise("$3 | hourly rate")
+    return table(spark, sf, "part").select("p_partkey", heading.alias("heading"), md.alias("md"), (F.col("p_size") + 25).alias("article"))
+
+
+@registry.query(f"""WITH {_TABLE} SELECT p_partkey, CASE WHEN contains(lower(heading), 'appendix') OR (article >= 50 AND ((contains(raw, 'classification') AND contains(raw, 'effective') AND dollars >= 3) OR contains(raw, 'rates of pay'))) THEN 'appendix' ELSE 'cba' END AS doc_type, contains(raw, 'table of contents') AS is_contents FROM r""")
+def table_doc_type(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables of an appendix by their heading, or wage-like ones of articles from 50 on; tables of contents by what they are called."""
+    t, none = _described(spark, sf), F.lit(None).cast("string")
+    return t.select("p_partkey", tables.doc_type(F.col("heading"), F.col("md"), none, F.col("article")).alias("doc_type"), tables.is_contents(F.col("heading"), F.col("md"), none).alias("is_contents"))
+
+
+@registry.query(f"""WITH {_TABLE} SELECT p_partkey, concat_ws(',', CASE WHEN regexp_matches(raw, 'wage|rate|hourly|progression|journeyman|classification') THEN 'wages' END, CASE WHEN regexp_matches(raw, 'vacation|holiday|paid time') THEN 'vacation' END, CASE WHEN regexp_matches(raw, 'benefit|medical|dental|vision|insurance') THEN 'health_benefits' END) AS topics,
+CASE WHEN p_partkey % 5 = 0 THEN 'Appendix ' || chr(65 + CAST((article - 25) % 4 AS INT)) WHEN (contains(raw, 'classification') AND contains(raw, 'effective') AND dollars >= 2) OR regexp_matches(raw, 'rate of pay|hourly rate|wage progression') THEN 'Appendix A Wage Table' ELSE 'Appendix' END AS cited FROM r""")
+def table_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """What a table is about, and how it is cited as an appendix."""
+    t, none = _described(spark, sf), F.lit(None).cast("string")
+    return t.select("p_partkey", F.array_join(tables.topics(F.concat_ws("\n", "heading", "md")), ",").alias("topics"), tables.appendix_label(F.col("heading"), F.col("md"), none).alias("cited"))
+
+
+#: Kinds of issues for a reviewer, with their severity, the least similarity that passes, and the most evidence kept.
+LOW_SIMILARITY, MOST_EVIDENCE = 0.75, 100
 
 
-@registry.query("""WITH i AS (SELECT 'unresolved_mapping' AS issue, 'high' AS severity, p_brand AS subject, p_partkey FROM part WHERE p_size % 10 = 0 UNION ALL SELECT 'low_similarity', 'medium', p_brand, p_partkey FROM part WHERE (p_size % 20) / 20.0 < 0.25 UNION ALL SELECT 'override_warning', 'medium', p_brand, p_partkey FROM part WHERE p_size = 77),
-r AS (SELECT *, row_number() OVER (PARTITION BY issue, subject ORDER BY p_partkey) AS r FROM i) SELECT issue, severity, subject, count(*) AS n, string_agg(CASE WHEN r <= 5 THEN CAST(p_partkey AS VARCHAR) END, ',' ORDER BY p_partkey) AS evidence FROM r GROUP BY ALL""")
+@registry.query("""WITH i AS (SELECT 'unresolved_mapping' AS issue, 'high' AS severity, p_brand AS subject, p_partkey FROM part WHERE p_size % 10 = 0 UNION ALL SELECT 'low_similarity', 'medium', p_brand, p_partkey FROM part WHERE (p_size % 20) / 20.0 < 0.75
+UNION ALL SELECT 'override_warning', 'medium', p_brand, p_partkey FROM part WHERE p_size = 77 UNION ALL SELECT 'unresolved_rows', 'medium', p_brand, p_partkey FROM part WHERE p_size % 9 = 4 UNION ALL SELECT 'canonical_conflicts', 'high', p_brand, p_partkey FROM part WHERE p_partkey % 13 = 0 UNION ALL SELECT 'canonical_ambiguities', 'medium', p_brand, p_partkey FROM part WHERE p_partkey % 17 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY issue, subject ORDER BY p_partkey) AS r FROM i) SELECT issue, severity, subject, count(*) AS n, string_agg(CASE WHEN r <= 100 THEN CAST(p_partkey AS VARCHAR) END, ',' ORDER BY p_partkey) AS evidence FROM r GROUP BY ALL""")
 def review_queue(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per kind of issue and subject that has any, with the first of its evidence."""
+    """One row per kind of issue and subject that has any, with the first hundred of its evidence."""
+    k, size = F.col("p_partkey"), F.col("p_size")
     p = table(spark, sf, "part").select(F.col("p_brand").alias("subject"), "p_partkey", "p_size")
-    kinds = [("unresolved_mapping", "high", F.col("p_size") % 10 == 0), ("low_similarity", "medium", (F.col("p_size") % 20) / 20.0 < 0.25), ("override_warning", "medium", F.col("p_size") == 77)]
+    kinds = [
+        ("unresolved_mapping", "high", size % 10 == 0), ("low_similarity", "medium", (size % 20) / 20.0 < LOW_SIMILARITY), ("override_warning", "medium", size == 77),
+        ("unresolved_rows", "medium", size % 9 == 4), ("canonical_conflicts", "high", k % 13 == 0), ("canonical_ambiguities", "medium", k % 17 == 0),
+    ]
     found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(i).alias("issue"), F.lit(s).alias("severity"))) for i, s, c in kinds]))
     i = p.select("subject", "p_partkey", F.explode(found).alias("k")).select("subject", "p_partkey", "k.*")
-    first = windows.top_per_key(i, ["issue", "subject"], [F.col("p_partkey")], 5)
+    first = windows.top_per_key(i, ["issue", "subject"], [F.col("p_partkey")], MOST_EVIDENCE)
     evidence = first.groupBy("issue", "subject").agg(F.array_join(F.array_sort(F.collect_list("p_partkey")), ",").alias("evidence"))
     return i.groupBy("issue", "severity", "subject").agg(F.count(F.lit(1)).alias("n")).join(evidence, ["issue", "subject"])
 

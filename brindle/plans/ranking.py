@@ -58,8 +58,40 @@ def fallback_relevance(spark: SparkSession, sf: str) -> DataFrame:
 #: The deployment's dictionaries: phrases, groups of synonyms, slang, and phrases told by patterns.
 CONCEPTS = {"sick days": ["sick leave", "illness"], "fired": ["discharge", "just cause"]}
 GROUPS = [["pay", "wage", "rate", "compensation"], ["overtime", "time and a half", "extra hours"], ["baker", "bakery clerk"]]
-SLANG = {"boss": "supervisor", "written up": "disciplined", "pay": "wages"}
-PATTERNS = [(r"\b(funeral|died|death)\b", "bereavement leave"), (r"\bhours?\b.*\bbetween\b.*\bshifts?\b|\bbetween\b.*\bend\b.*\bshift\b", "rest period")]
+# Words of workers, and the words of contracts behind them.
+SLANG = {
+    "ot": "overtime", "pto": "vacation personal holiday time off", "fmla": "family medical leave", "loa": "leave of absence",
+    "float": "personal holiday", "float day": "personal holiday", "float days": "personal holidays", "floater": "personal holiday", "floaters": "personal holidays", "floating holiday": "personal holiday",
+    "fired": "discharge termination", "canned": "discharge termination", "let go": "discharge termination layoff", "pink slip": "discharge termination layoff",
+    "written up": "discipline warning", "write up": "discipline warning", "writeup": "discipline warning",
+    "my schedule": "work schedule hours", "when do i work": "schedule hours", "shift change": "schedule change", "called in": "call in reporting pay", "call out": "call in sick absence", "no call no show": "absence discipline",
+    "health insurance": "health benefits health trust", "medical": "health benefits", "dental": "health benefits", "vision": "health benefits", "retirement": "pension",
+    "raise": "wage increase progression", "bump": "wage increase step", "time and a half": "overtime premium", "double time": "overtime premium", "sunday pay": "sunday premium", "night pay": "night premium", "holiday pay": "holiday premium",
+    "bereavement": "funeral leave", "maternity": "family care leave", "paternity": "family care leave", "jury duty": "jury service", "sick time": "sick leave", "sick days": "sick leave", "cashier": "all purpose clerk",
+    "steward": "union steward union representative", "stewards conference": "annual union stewards conference union stewards work schedules", "rep": "union representative steward", "dues": "union dues",
+    "union meeting": "union business leave", "union meeting night": "regular local union meeting scheduled later than 6:00 p.m.",
+    "run through": "term of agreement expiration date end date", "in force through": "term of agreement expiration date end date",
+    "dress code": "uniform appearance dress", "uniform": "dress code appearance", "break": "rest period", "lunch": "meal period", "tardiness": "attendance discipline", "late": "attendance tardiness", "late policy": "attendance discipline",
+}
+# Phrases that contracts don't hold as they are said, the words to add, and what the phrase is called.
+DETECTORS = [
+    (
+        r"(?:\bcontract\b|\bagreement\b|\bcba\b).*(?:\bstart\b|\bbegin\b|\beffective\b).*(?:\bend\b|\bexpir)|(?:\bstart\b|\bbegin\b|\beffective\b).*(?:\bend\b|\bexpir).*(?:\bcontract\b|\bagreement\b|\bcba\b)"
+        r"|\bterm\s*of\s*(?:agreement|contract)\b|\beffective\s*date\b|\bexpiration\s*date\b|\brun\s*through\b|\bin\s*force\s*through\b",
+        "term of agreement effective date expiration date start date end date", "contract term pattern",
+    ),
+    (
+        r"\bstewards?\b.*\b(conference|meeting)\b|\bunion\s*meeting\b.*\bstewards?\b",
+        "annual union stewards conference adjust union stewards work schedules regular local union meeting scheduled later than 6:00 p.m.", "steward schedule pattern",
+    ),
+    (r"\bclose\b.*\bopen\b|\bopen\b.*\bclose\b", "minimum rest period between shifts relief periods lunch breaks", "close/open pattern"),
+    (
+        r"\bminimum\b.*\bhours?\b.*\bbetween\b.*\bshifts?\b|\bhours?\b.*\bbetween\b.*\bshifts?\b|\bbetween\b.*\bend\b.*\bshift\b.*\bstart\b.*\bnext\b",
+        "minimum rest period between shifts relief periods lunch breaks", "inter-shift rest pattern",
+    ),
+    (r"\b(funeral|died|death)\b", "bereavement leave funeral leave paid days", "bereavement pattern"),
+    (r"\b(store|location)\b.*\b(shut|closing|close)\b", "store closing severance pay", "store closing pattern"),
+]
 SKIP = ("what", "how", "the", "are", "does", "for", "with", "after", "per")
 
 
@@ -83,17 +115,29 @@ def synonym_expansion(spark: SparkSession, sf: str) -> DataFrame:
     return questions(spark, sf).select("q_id", R.expand_synonyms(F.col("question"), CONCEPTS, GROUPS, SKIP).alias("expanded"))
 
 
+#: What workers say, a phrase for each rule and some for several, beside the questions.
+_SAID = [
+    "Does {} count", "When does our contract start and when does it end", "can a steward go to the conference", "I close tonight and open tomorrow", "hours between shifts", "my uncle died", "the store is closing, do I get dues back",
+    "Fired after no call no show", "late policy and float days", "the union meeting night and the stewards", "what is the {} rule for a cashier",
+]
+_SAID_SQL = f"""w AS (SELECT ({_list(list(SLANG))})[CAST(q_id % {len(SLANG)} AS INT) + 1] AS word, q_id, question FROM q), asked AS (SELECT q_id, CASE WHEN q_id % 3 = 0 THEN question ELSE replace(({_list(_SAID)})[CAST(q_id % {len(_SAID)} AS INT) + 1], '{{}}', word) END AS question FROM w)"""
+
+
 def _slang_sql() -> str:
-    rules = [(rf"\b{s}\b", t) for s, t in sorted(SLANG.items(), key=lambda x: -len(x[0]))] + PATTERNS
-    steps = ["s0 AS (SELECT q_id, lower(question) AS low, question AS x FROM q)"]
-    for i, (p, t) in enumerate(rules):
-        steps.append(f"s{i + 1} AS (SELECT q_id, low, CASE WHEN regexp_matches(low, '{p}') AND NOT contains(lower(x), '{t}') THEN x || ' ({t})' ELSE x END AS x FROM s{i})")
-    return ", ".join(steps) + f" SELECT q_id, x AS expanded FROM s{len(rules)}"
+    rules = [(rf"\b{s}\b", t, s) for s, t in sorted(SLANG.items(), key=lambda x: -len(x[0]))] + DETECTORS
+    steps = ["s0 AS (SELECT q_id, lower(question) AS low, question AS x, CAST([] AS VARCHAR[]) AS a FROM asked)"]
+    for i, (p, t, label) in enumerate(rules):
+        met = f"regexp_matches(low, '{p}') AND NOT contains(lower(x), '{t}')"
+        steps.append(f"s{i + 1} AS (SELECT q_id, low, CASE WHEN {met} THEN x || ' ({t})' ELSE x END AS x, CASE WHEN {met} THEN list_append(a, '{label} -> {t}') ELSE a END AS a FROM s{i})")
+    return ", ".join(steps) + f" SELECT q_id, x AS expanded, array_to_string(a, '; ') AS applied FROM s{len(rules)}"
 
 
-@registry.query(f"WITH {QUESTIONS_SQL}, {_slang_sql()}")
+@registry.query(f"WITH {QUESTIONS_SQL}, {_SAID_SQL}, {_slang_sql()}")
 def slang_expansion(spark: SparkSession, sf: str) -> DataFrame:
-    return questions(spark, sf).select("q_id", R.expand_slang(F.col("question"), SLANG, PATTERNS).alias("expanded"))
+    of = lambda items: F.element_at(F.array(*[F.lit(x) for x in items]), (F.col("q_id") % len(items) + 1).cast("int"))
+    said = F.when(F.col("q_id") % 3 == 0, F.col("question")).otherwise(F.replace(of(_SAID), F.lit("{}"), of(list(SLANG))))
+    found = questions(spark, sf).select("q_id", R.expand_slang(said, SLANG, DETECTORS).alias("e"))
+    return found.select("q_id", F.col("e.text").alias("expanded"), F.array_join("e.applied", "; ").alias("applied"))
 
 
 def citations(text):

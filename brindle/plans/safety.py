@@ -24,12 +24,12 @@ def email_redact(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.sha2(F.regexp_replace(t, pattern, "$1***@$3"), 256).alias("redacted_sha256"), F.regexp_count(t, F.lit(pattern)).cast("bigint").alias("n_emails"))
 
 
-def _redaction_sql() -> str:
-    """t0 to t10: the text after each class of personal data. What the phone pattern looks behind at is kept as a group.
+def redaction_steps(keys: str) -> str:
+    """t1 to t10, from t0 (keys, raw, x, classes): the text after each class of personal data. What the phone pattern looks behind at is kept as a group.
 
     Two passes over phones: the character that parts two numbers can only belong to one match.
     """
-    steps = ["t0 AS (SELECT doc_id, text AS raw, coalesce(text, '') AS x, CAST([] AS VARCHAR[]) AS classes FROM documents)"]
+    steps = []
     for i, (name, pattern, mask) in enumerate(T.PERSONAL):
         to = re.sub(r"\$(\d)", r"\\\1", mask)
         if name == "phone":
@@ -37,10 +37,14 @@ def _redaction_sql() -> str:
         once = f"regexp_replace(x, '{pattern.removeprefix('(?i)')}', '{to}', '{'gi' if pattern.startswith('(?i)') else 'g'}')"
         steps.append(f"u{i + 1} AS (SELECT *, {once} AS y FROM t{i})")
         again = once.replace("(x,", "(y,") if name == "phone" else "y"
-        steps.append(f"t{i + 1} AS (SELECT doc_id, raw, {again} AS x, CASE WHEN y <> x THEN list_append(classes, '{name}') ELSE classes END AS classes FROM u{i + 1})")
+        steps.append(f"t{i + 1} AS (SELECT {keys}, raw, {again} AS x, CASE WHEN y <> x THEN list_append(classes, '{name}') ELSE classes END AS classes FROM u{i + 1})")
     return ", ".join(steps)
 
 
+def _redaction_sql() -> str:
+    return "t0 AS (SELECT doc_id, text AS raw, coalesce(text, '') AS x, CAST([] AS VARCHAR[]) AS classes FROM documents), " + redaction_steps("doc_id")
+
+
 @registry.query(f"WITH {_redaction_sql()} SELECT doc_id, x AS redacted, array_to_string(list_sort(classes), ',') AS classes FROM t10")
 def pii_redact(spark: SparkSession, sf: str) -> DataFrame:
     """All ten classes in their order."""

@@ -43,7 +43,7 @@ def paraphrase_stability(spark: SparkSession, sf: str) -> DataFrame:
     per = v.groupBy("family", "variant").agg(F.collect_set("article").alias("found"))
     ok = F.exists("found", lambda a: a.isin(1, 2, 3))
     g = per.groupBy("family").agg(F.count(F.lit(1)).alias("variants"), F.bool_and(ok).alias("family_pass"), F.collect_list("found").alias("sets"))
-    common = F.aggregate(F.slice("sets", 2, 1000), F.col("sets")[0], lambda a, b: F.array_intersect(a, b))
+    common = F.aggregate(F.slice("sets", 2, F.size("sets")), F.col("sets")[0], lambda a, b: F.array_intersect(a, b))
     return g.select("family", "variants", "family_pass", F.array_join(F.array_sort(common), ",").alias("common"))
 
 
