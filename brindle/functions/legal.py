@@ -245,3 +245,55 @@ def grounding(answer: Column, context: Column) -> dict[str, Column]:
     exact, time = sets[0] + sets[1], reduce(lambda a, b: a + b, times)
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - 0.15 * exact - 0.1 * time))
     return {"issues": (exact + time).cast("bigint"), "score": F.round(score, 6)}
+
+
+# The forms in which answers cite: ahead of a claim, behind it, and as the claim's subject; with the groups of claim and citation.
+_CITED = r"\*?\*?(Article\s+\d+(?:,?\s*Section\s+\d+)?)\*?\*?"
+CLAIM_FORMS = (
+    (rf"(?i)(?:According to|Per|Under|As stated in)\s+{_CITED},?\s+(.+?)(?:\.|$)", 2, 1),
+    (rf"(?i)(.+?)\s*(?:\(|\bper\b|\bunder\b)\s*{_CITED}\)?", 1, 2),
+    (rf"(?i){_CITED}\s+(?:states?|provides?|requires?|specifies?)\s+(?:that\s+)?(.+?)(?:\.|$)", 2, 1),
+)
+NO_CLAIM, LEAST_CLAIM = ("this", "see", "refer"), 10
+
+
+def claim_citations(answer: Column) -> Column:
+    """array<struct<claim, citation>>: what an answer claims and cites for it, by the three forms, one after the other.
+
+    Claims ahead of their citation have ten characters or more and don't begin with a word of reference.
+    """
+    found = []
+    for i, (pattern, claim, cited) in enumerate(CLAIM_FORMS):
+        all_ = F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(f"(?i)({pattern.removeprefix('(?i)')})"), F.lit(1))
+        pairs = F.transform(all_, lambda m: F.struct(F.trim(F.regexp_extract(m, pattern, claim)).alias("claim"), F.regexp_extract(m, pattern, cited).alias("citation")))  # noqa: B023
+        if i == 1:
+            pairs = F.filter(pairs, lambda x: (F.length(x["claim"]) >= LEAST_CLAIM) & ~F.lower(x["claim"]).rlike("^(" + "|".join(NO_CLAIM) + ")"))
+        found.append(F.filter(pairs, lambda x: x["claim"] != ""))
+    return F.concat(*found)
+
+
+def citation_hit(expected: Column, citations: Column) -> Column:
+    """Whether one of the citations (array<struct<citation, title>>) is the expected one: its article, an appendix at all, or its words; true where none is expected."""
+    low = F.lower(F.coalesce(expected, F.lit("")))
+    article = F.regexp_extract(low, r"article\s*(\d+)", 1)
+    of = lambda c, name: F.lower(F.coalesce(c[name], F.lit("")))
+    named = F.concat(F.lit("article "), article)
+    one = lambda c: ((article != "") & (of(c, "citation").contains(named) | of(c, "title").contains(named))) | (low.contains("appendix") & of(c, "citation").contains("appendix")) | of(c, "citation").contains(low)
+    return (low == "") | F.exists(citations, one)
+
+
+#: More steps than the closure of any name has members: each rule replaces all places at once.
+_CLOSURE_STEPS = 24
+
+
+def alias_closure(name: Column) -> Column:
+    """All forms of a class's name with food and foods, nonfood and non food, in the order in which they follow from one another."""
+    even = lambda t: F.trim(F.regexp_replace(F.regexp_replace(F.translate(F.lower(t), "’`", "''"), r"(?<=\w)'(?=\w)", ""), "[^a-z0-9]+", " "))
+    start = F.filter(F.array(even(F.coalesce(name, F.lit("")))), lambda t: t != "")
+
+    def step(known: Column, k: Column) -> Column:
+        t = F.get(known, k)
+        new = [F.replace(t, F.lit("nonfood"), F.lit("non food")), F.replace(t, F.lit("non food"), F.lit("nonfood")), F.regexp_replace(t, r"\bfoods\b", "food"), F.regexp_replace(t, r"\bfood\b", "foods")]
+        return F.when(t.isNull(), known).otherwise(F.array_union(known, F.filter(F.array(*[even(n) for n in new]), lambda n: n != "")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(_CLOSURE_STEPS - 1)), start, step)

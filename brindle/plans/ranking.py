@@ -170,11 +170,55 @@ def answer_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("clause_id", issues.alias("issues"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)), 6).alias("confidence"), ((issues == 0) | (F.col("unsure") & ~invalid)).alias("valid"))
 
 
-@registry.query(rf"""WITH {CLAUSES_SQL}, s AS (SELECT clause_id, unnest(regexp_extract_all(text, '[^.]+\.')) AS s FROM c), p AS (SELECT clause_id, trim(s) AS claim, regexp_extract(lower(s), 'article\s+(\d+)', 1) AS article FROM s WHERE regexp_matches(lower(s), 'article\s+\d+')) SELECT clause_id, claim, article, count(*) AS n FROM p GROUP BY ALL""")
+#: Answers that cite in each of the three forms, twice the same, without a known article, and not at all.
+ANSWERS = (
+    "According to Article {a}, Section 2, {n} is paid weekly. See Article 99 for more.", "{n} earns overtime after forty hours (Article {a}, Section 3). This is short (Article 4).",
+    "**Article {a}** states that {n} is covered. Article 12 requires notice.", "Per Article {a} the {n} shift is posted. The shift of all is posted per Article 5",
+    "Nothing is cited here about {n}.", "Under Article {a}, {n} is paid weekly. According to Article 8, {n} is paid weekly.", "Pay (Article 3) is due. A longer claim about {n} under Article 2, Section 1.",
+)
+_ANSWERS_SQL = f"a AS (SELECT p_partkey AS answer_id, replace(replace({_list(ANSWERS)}[CAST(p_partkey % {len(ANSWERS)} AS INT) + 1], '{{a}}', CAST(p_size AS VARCHAR)), '{{n}}', p_name) AS t FROM part)"
+_FORMS_SQL = " UNION ALL ".join(
+    f"SELECT answer_id, {i} AS form, generate_subscripts(l, 1) AS no, trim(regexp_extract(unnest(l), '{p}', {c})) AS claim, regexp_extract(unnest(l), '{p}', {d}) AS citation FROM (SELECT answer_id, regexp_extract_all(t, '{p}', 0) AS l FROM a)"
+    for i, (p, c, d) in enumerate(L.CLAIM_FORMS)
+)
+
+
+def _answers(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.element_at(F.array(*[F.lit(x) for x in ANSWERS]), (F.col("p_partkey") % len(ANSWERS) + 1).cast("int"))
+    filled = F.replace(F.replace(text, F.lit("{a}"), F.col("p_size").cast("string")), F.lit("{n}"), F.col("p_name"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("answer_id"), filled.alias("answer"))
+
+
+@registry.query(f"""WITH {_ANSWERS_SQL}, f AS ({_FORMS_SQL}), k AS (SELECT * FROM f WHERE claim <> '' AND (form <> 1 OR (length(claim) >= 10 AND NOT regexp_matches(lower(claim), '^(this|see|refer)')))),
+ch AS (SELECT CASE WHEN g = 0 THEN 'Article ' || p_size || ', Section ' || (p_partkey % 4) ELSE 'Article ' || p_size END AS cite, arg_max(p_name, p_partkey) AS content FROM part, (VALUES (0), (1)) AS x(g) GROUP BY 1),
+j AS (SELECT k.*, coalesce(x.content, y.content) AS cited_text FROM k LEFT JOIN ch x ON x.cite = k.citation LEFT JOIN ch y ON y.cite = 'Article ' || regexp_extract(k.citation, 'Article\\s+(\\d+)', 1)),
+r AS (SELECT *, row_number() OVER (PARTITION BY answer_id, substr(lower(claim), 1, 50) ORDER BY form, no) AS r FROM j WHERE cited_text IS NOT NULL) SELECT answer_id, claim, citation, cited_text FROM r WHERE r = 1""")
 def claim_citation_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Sentences with the article that they cite."""
-    s = clauses(spark, sf).select("clause_id", F.explode(F.regexp_extract_all("text", F.lit(r"([^.]+\.)"), F.lit(1))).alias("s")).filter(F.lower("s").rlike(r"article\s+\d+"))
-    return s.groupBy("clause_id", F.trim("s").alias("claim"), F.regexp_extract(F.lower("s"), r"article\s+(\d+)", 1).alias("article")).agg(F.count(F.lit(1)).alias("n"))
+    """What answers claim, with what they cite for it and its text; a claim counts once, at its first place."""
+    p = table(spark, sf, "part")
+    pairs = _answers(spark, sf).select("answer_id", F.posexplode(L.claim_citations(F.col("answer"))).alias("place", "_p")).select("answer_id", "place", "_p.*")
+    article = F.concat(F.lit("Article "), F.col("p_size").cast("string"))
+    cites = F.explode(F.array(F.concat(article, F.lit(", Section "), (F.col("p_partkey") % 4).cast("string")), article))
+    chunks = p.select("p_partkey", "p_name", cites.alias("cite")).groupBy("cite").agg(F.max_by("p_name", "p_partkey").alias("content"))
+    exact, whole = chunks.select(F.col("cite").alias("citation"), F.col("content").alias("_exact")), chunks.select(F.col("cite").alias("_article"), F.col("content").alias("_whole"))
+    pairs = pairs.withColumn("_article", F.concat(F.lit("Article "), F.regexp_extract("citation", r"Article\s+(\d+)", 1)))
+    told = pairs.join(exact, "citation", "left").join(whole, "_article", "left").withColumn("cited_text", F.coalesce("_exact", "_whole")).filter("cited_text IS NOT NULL")
+    first = windows.top_per_key(told.withColumn("_claim", F.substring(F.lower("claim"), 1, 50)), ["answer_id", "_claim"], [F.col("place")], 1)
+    return first.select("answer_id", "claim", "citation", "cited_text")
+
+
+@registry.query("""WITH p AS (SELECT *, row_number() OVER (ORDER BY p_partkey) AS i FROM part), c AS (SELECT p_partkey // 5 AS q, list({'citation': CASE p_partkey % 4 WHEN 0 THEN 'Appendix A' WHEN 3 THEN NULL ELSE 'Article ' || p_size || ', Section 1' END, 'title': CASE WHEN p_partkey % 4 = 3 THEN 'ARTICLE ' || p_size || ' PAY' ELSE p_name END}) AS l FROM part GROUP BY 1),
+e AS (SELECT q, l, CASE q % 5 WHEN 0 THEN 'Article ' || (q % 50 + 1) || ', Section 2' WHEN 1 THEN 'APPENDIX B' WHEN 2 THEN '' WHEN 3 THEN 'Section 1' END AS x FROM c), f AS (SELECT q, l, lower(coalesce(x, '')) AS x, regexp_extract(lower(coalesce(x, '')), 'article\\s*(\\d+)', 1) AS a FROM e)
+SELECT q, x = '' OR len(list_filter(l, lambda c: (a <> '' AND (contains(lower(coalesce(c.citation, '')), 'article ' || a) OR contains(lower(coalesce(c.title, '')), 'article ' || a))) OR (contains(x, 'appendix') AND contains(lower(coalesce(c.citation, '')), 'appendix')) OR contains(lower(coalesce(c.citation, '')), x))) > 0 AS hit FROM f""")
+def citation_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether an expected citation is among those found: by its article, as an appendix, or by its words."""
+    k, article = F.col("p_partkey"), F.concat(F.lit("Article "), F.col("p_size").cast("string"))
+    cited = F.when(k % 4 == 0, "Appendix A").when(k % 4 != 3, F.concat(article, F.lit(", Section 1")))
+    title = F.when(k % 4 == 3, F.concat(F.upper(article), F.lit(" PAY"))).otherwise(F.col("p_name"))
+    found = table(spark, sf, "part").groupBy(F.expr("p_partkey div 5").alias("q")).agg(F.collect_list(F.struct(cited.alias("citation"), title.alias("title"))).alias("l"))
+    q = F.col("q")
+    expected = F.when(q % 5 == 0, F.concat(F.lit("Article "), (q % 50 + 1).cast("string"), F.lit(", Section 2"))).when(q % 5 == 1, "APPENDIX B").when(q % 5 == 2, "").when(q % 5 == 3, "Section 1")
+    return found.select("q", L.citation_hit(expected, F.col("l")).alias("hit"))
 
 
 @registry.query(f"""WITH {QUESTIONS_SQL}, n AS (SELECT q_id, lower(question) AS low FROM q) SELECT q_id, regexp_matches(low, '^(what|how|when|who|why|is|are|does|do|can|could|am)\\b') AS asks, regexp_matches(low, 'where .* (defined|definition)|what (is|are) the (hours|definition)') AS locates, regexp_matches(low, '^(is|are) there\\b|does .* (mention|cover)') AS presence, regexp_matches(low, '^(tell me|explain|and|what about)\\b') AS follows FROM n""")
@@ -212,16 +256,14 @@ def word_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("p_partkey", values[F.regexp_extract("t", "^([a-z]+)", 1)].alias("n"))
 
 
-@registry.query("""WITH a AS (SELECT p_partkey, ['food ' || p_name, 'non food ' || p_name, 'nonfood foods'][p_partkey % 3 + 1] AS a FROM part), v AS (SELECT p_partkey, a, [a, replace(a, 'nonfood', 'non food'), replace(a, 'non food', 'nonfood'), regexp_replace(a, '\\bfoods\\b', 'food', 'g'), regexp_replace(a, '\\bfood\\b', 'foods', 'g')] AS v FROM a)
-SELECT p_partkey, array_to_string(list_filter(v, lambda x, i: list_position(v, x) = i), '|') AS variants FROM v""")
+@registry.query(r"""WITH RECURSIVE a AS (SELECT p_partkey, trim(regexp_replace(lower(['Food  ' || p_name, 'non food ' || p_name, 'nonfood foods', 'NON FOODS of ' || p_type][p_partkey % 4 + 1]), '[^a-z0-9]+', ' ', 'g')) AS a FROM part),
+w AS (SELECT p_partkey, [a] AS l, 1 AS k FROM a UNION ALL SELECT p_partkey, list_concat(l, list_filter(n, lambda x, i: NOT list_contains(l, x) AND list_position(n, x) = i)), k + 1 FROM (SELECT p_partkey, l, k, list_transform([replace(l[k], 'nonfood', 'non food'), replace(l[k], 'non food', 'nonfood'), regexp_replace(l[k], '\bfoods\b', 'food', 'g'), regexp_replace(l[k], '\bfood\b', 'foods', 'g')], lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))) AS n FROM w WHERE k <= len(l)))
+SELECT p_partkey, array_to_string(arg_max(l, k), '|') AS variants FROM w GROUP BY 1""")
 def alias_variants(spark: SparkSession, sf: str) -> DataFrame:
-    """A class's name and its forms with food and foods, nonfood and non food: one step of the closure, in order."""
-    k = F.col("p_partkey") % 3
-    a = F.when(k == 0, F.concat(F.lit("food "), "p_name")).when(k == 1, F.concat(F.lit("non food "), "p_name")).otherwise("nonfood foods")
-    p = table(spark, sf, "part").select("p_partkey", a.alias("a"))
-    swap = lambda x, y: F.replace("a", F.lit(x), F.lit(y))
-    v = F.array("a", swap("nonfood", "non food"), swap("non food", "nonfood"), F.regexp_replace("a", r"\bfoods\b", "food"), F.regexp_replace("a", r"\bfood\b", "foods"))
-    return p.select("p_partkey", F.array_join(F.array_distinct(v), "|").alias("variants"))
+    """All forms of a class's name with food and foods, nonfood and non food, until nothing new follows."""
+    k = F.col("p_partkey") % 4
+    a = F.when(k == 0, F.concat(F.lit("Food  "), "p_name")).when(k == 1, F.concat(F.lit("non food "), "p_name")).when(k == 2, "nonfood foods").otherwise(F.concat(F.lit("NON FOODS of "), "p_type"))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(L.alias_closure(a), "|").alias("variants"))
 
 
 @registry.query(f"""WITH s AS (SELECT vec_id, label, 1 - (1 - score) AS sim FROM {_cos_sql()}), t AS (SELECT * FROM s WHERE label <> 4 ORDER BY sim DESC, vec_id LIMIT 20) SELECT vec_id, round(sim + CASE WHEN label = 3 THEN 0.3 ELSE 0 END, 6) AS similarity FROM t ORDER BY similarity DESC, vec_id LIMIT 10""")

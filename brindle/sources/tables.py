@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -38,3 +40,17 @@ def unique_rows(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     from ..operators.windows import top_per_key
 
     return top_per_key(df, [key], order, 1)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The table written to the folder that the session names in spark.checkpoint.dir, with its lineage cut.
+
+    Only a local session without such a folder gets one of its own.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="brindle-"))
+    return df.checkpoint()
