@@ -21,11 +21,11 @@ TABLES: dict[str, tuple[str, str]] = {
         f"{_C} AS contract, CASE WHEN {_C} % 11 = 3 AND {_K} = 7 THEN NULL ELSE {_C} END AS contract_id, CASE WHEN {_C} % 9 = 4 AND {_K} = 8 THEN NULL ELSE 'r1' END AS region_id, CASE WHEN {_C} % 8 = 1 AND {_K} = 9 THEN 'c0' ELSE concat('c', {_K}) END AS chunk_id, "
         f"CASE WHEN {_K} = 39 THEN 'Letter of Understanding 1' WHEN {_C} % 6 = 5 AND {_K} = 5 THEN 'art. 5' ELSE concat('Article ', {_K} % 12 + 1) END AS citation, CASE WHEN {_K} = 39 AND {_C} % 14 <> 9 THEN 'lou' ELSE 'cba' END AS doc_type, "
         f"{_K} % 12 + CASE WHEN {_C} % 12 = 7 THEN 2 ELSE 1 END AS article, p_partkey % 10 < {_C} % 11 AS has_questions, p_name AS content, CASE WHEN {_K} % 8 = 0 THEN concat('t', {_K}) END AS table_ref", f"{_C} % 29 <> 8"),
-    "nav": (f"{_C} AS contract, {_K} + 1 AS article, CASE WHEN {_C} % 15 = 2 AND {_K} = 3 THEN 0 ELSE {_K} + 1 END AS page", f"{_K} < 12 - CASE WHEN {_C} % 10 = 6 THEN 1 ELSE 0 END"),
+    "nav": (f"{_C} AS contract, {_K} + 1 AS article, CASE WHEN {_C} % 15 = 2 AND {_K} = 3 THEN 0 ELSE {_K} + 1 END AS page", f"{_K} < 12 - CASE WHEN {_C} % 10 = 6 THEN 1 ELSE 0 END AND {_C} % 44 <> 34"),
     "tables": (f"{_C} AS contract, concat('t', {_K}) AS table_id", f"{_K} % 8 = 0 AND {_C} % 6 <> 1"),
     "concepts": (f"{_C} AS contract, p_name AS concept", f"{_C} % 16 <> 11"),
     "lexicon": (f"{_C} AS contract, p_name AS alias, CASE WHEN {_C} % 18 = 12 AND {_K} = 1 THEN NULL ELSE 'r1' END AS region_id, CASE WHEN {_K} % 10 = 0 THEN concat('k', CAST(floor({_K} / 10) AS INT) % 4 + CASE WHEN {_C} % 21 = 10 THEN 3 ELSE 0 END) END AS critical_class", f"{_C} % 20 <> 13"),
-    "outline": (f"{_C} AS contract, concat('c', {_K}) AS chunk_id", f"{_K} < 40 - CASE WHEN {_C} % 25 = 14 THEN 3 ELSE 0 END"),
+    "outline": (f"{_C} AS contract, concat('c', {_K}) AS chunk_id", f"{_K} < 40 - CASE WHEN {_C} % 25 = 14 THEN 3 ELSE 0 END AND {_C} % 45 <> 35"),
     "wages": (
         f"{_C} AS contract, CASE WHEN {_C} % 22 = 15 AND {_K} = 2 THEN NULL ELSE concat('k', {_K} % 4) END AS class_key, CASE WHEN {_C} % 24 = 16 AND {_K} = 6 THEN -1 ELSE p_size END AS rate, '2022-01-01' AS effective_date, concat(CASE WHEN {_C} % 26 = 17 THEN '' ELSE concat({_K}, '') END, 's') AS step, "
         f"{_K} % 2 = 0 AND {_C} % 27 <> 18 AS canonical, {_K} % 5 = 0 AND {_C} % 28 = 19 AS conflict, {_K} % 4 = 0 AND {_C} % 30 = 20 AS ambiguous", f"{_C} % 31 <> 21"),
