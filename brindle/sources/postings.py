@@ -5,7 +5,7 @@ can add to a score. A query reads the folders of its terms' buckets only, and of
 the highest bounds are scored whole, and then only those whose bound reaches the k-th score so far. Both give exactly the
 rows that a scan of all texts gives.
 
-Null texts are documents without words; the texts of a repeated id are one document; rows without an id are left out.
+Null texts are documents without words; rows that repeat an id are documents of their own, as in a scan; rows without an id are left out.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ BUCKETS, BLOCK_DOCS, SPREAD = 64, 128, 4
 PLACES = 6
 #: The stored tables, with the type of the keys left open; an empty corpus leaves no file to read a schema from.
 _SCHEMAS = {
-    "postings": "term string, block bigint, most double, most_once double, docs bigint, held array<struct<key:{},tf:bigint,len:bigint>>, bucket int",
+    "postings": "term string, block bigint, most double, most_once double, docs bigint, held array<struct<key:{},row:bigint,tf:bigint,len:bigint>>, bucket int",
     "terms": "term string, df bigint, bucket int",
 }
 
@@ -43,23 +43,19 @@ def build(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", b
     """Writes the index of a corpus to a folder that must not exist; a job that fails leaves none behind under that name."""
     spark = docs.sparkSession
     making = f"{path}-{uuid.uuid4().hex}"
-    counted = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), tokens(F.coalesce(text, F.lit(""))).alias("_t"))
-    lengths = counted.groupBy("key").agg(F.sum(F.size("_t")).alias("len"))
-    held = counted.select("key", F.explode("_t").alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
-    lengths.write.parquet(f"{making}/lengths")
-    lengths = spark.read.parquet(f"{making}/lengths")
-    n, mean = lengths.agg(F.count(F.lit(1)), F.avg("len")).first()
+    counted = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), tokens(F.coalesce(text, F.lit(""))).alias("_t")).withColumn("len", F.size("_t").cast("bigint"))
+    n, mean = counted.agg(F.count(F.lit(1)), F.avg("len")).first()
     mean = mean or 1.0
     blocks = max(1, -(-n // block_docs))
-    each = held.join(lengths, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
-    rows = each.groupBy("term", "block").agg(
+    # Terms are counted within their rows ahead of the first shuffle; the second one brings each file's rows together, and serves all that follows.
+    held = counted.select("key", "row", "len", F.explode("_t").alias("term")).groupBy("key", "row", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # A term of all documents fills its bucket: the bucket's rows are dealt over SPREAD files, each in the order of its terms.
+    placed = held.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).withColumn("bucket", _bucket(F.col("term"), buckets)).withColumn("spread", F.pmod("block", F.lit(SPREAD)))
+    rows = placed.repartition("bucket", "spread").groupBy("bucket", "spread", "term", "block").agg(
         F.max(_weight(F.col("tf").cast("double"), F.col("len"), mean)).alias("most"), F.max(_weight(F.lit(1.0), F.col("len"), mean)).alias("most_once"),
-        F.count(F.lit(1)).alias("docs"), F.collect_list(F.struct("key", "tf", "len")).alias("held"),
+        F.count(F.lit(1)).alias("docs"), F.collect_list(F.struct("key", "row", "tf", "len")).alias("held"),
     )
-    rows = rows.withColumn("bucket", _bucket(F.col("term"), buckets))
-    # A term of all documents fills its bucket: the bucket's rows are dealt over SPREAD files, each in the order of its terms.
-    dealt = rows.repartition(F.col("bucket"), F.pmod("block", F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "block")
-    dealt.write.partitionBy("bucket").parquet(f"{making}/postings")
+    rows.drop("spread").sortWithinPartitions("bucket", "term", "block").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{making}/postings")
     kind = rows.schema["held"].dataType.elementType["key"].dataType.simpleString()
     stored = spark.read.schema(_SCHEMAS["postings"].format(kind)).parquet(f"{making}/postings")
     stored.groupBy("bucket", "term").agg(F.sum("docs").alias("df")).write.partitionBy("bucket").parquet(f"{making}/terms")
@@ -114,7 +110,8 @@ class PostingIndex:
         def scored(some: DataFrame) -> DataFrame:
             each = some.select("term", F.explode("held").alias("p"))
             tf = F.col("p.tf").cast("double") if tf_mode == "count" else F.lit(1.0)
-            return each.groupBy(F.col("p.key").alias(key)).agg(F.round(F.sum(gain[F.col("term")] * _weight(tf, F.col("p.len"), self.mean)), PLACES).alias("score")).filter("score > 0")
+            score = F.round(F.sum(gain[F.col("term")] * _weight(tf, F.col("p.len"), self.mean)), PLACES)
+            return each.groupBy(F.col("p.key").alias(key), F.col("p.row").alias("_row")).agg(score.alias("score")).select(key, "score").filter("score > 0")
 
         first = [r.block for r in bounds.orderBy(F.desc("bound"), "block").limit(seeds or max(2, k)).collect()]
         best = top(scored(rows.filter(F.col("block").isin(*first))), "score", key, k).collect()
