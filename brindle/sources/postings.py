@@ -22,6 +22,8 @@ from ..operators.search import B, K1, top
 from .artifacts import _filesystem, exists
 
 BUCKETS, BLOCK_DOCS, SPREAD = 64, 128, 4
+#: Changes with the stored tables, so that an index of an older form isn't opened.
+FORM = 3
 #: Scores are rounded to so many places before they are compared.
 PLACES = 6
 #: The stored tables, with the type of the keys left open; an empty corpus leaves no file to read a schema from.
@@ -141,7 +143,7 @@ def signature(docs: DataFrame, *parameters: object) -> str:
 def stored(docs: DataFrame, text: str = "text", key: str = "doc_id", root: str | None = None, **parameters) -> PostingIndex:
     """The index of a corpus of files, built on the first call and as often as a file changes."""
     spark = docs.sparkSession
-    path = f"{root or _root(spark)}/brindle-postings-{signature(docs, text, key, sorted(parameters.items()))}"
+    path = f"{root or _root(spark)}/brindle-postings-{signature(docs, FORM, text, key, sorted(parameters.items()))}"
     if not exists(spark, f"{path}/stats/_SUCCESS"):
         build(docs, path, text, key, **parameters)
     return PostingIndex(spark, path)
