@@ -46,9 +46,10 @@ def page_at(offsets: DataFrame, pages: DataFrame, doc: str, offset: str, end: st
     both = offsets.select(doc, F.col(offset).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(pages.schema[page].dataType).alias("_page"), F.struct(*offsets.columns).alias("_row")).unionByName(
         pages.select(doc, F.col(end).alias("_at"), F.lit(1).alias("_kind"), F.col(page).alias("_page"), F.lit(None).cast(offsets.select(F.struct(*offsets.columns).alias("r")).schema["r"].dataType).alias("_row"))
     )
-    w = Window.partitionBy(doc).orderBy("_at", "_kind", "_page")
-    here = F.first("_page", True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    final = F.last("_page", True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    # From the end backwards, so that a frame only grows: Spark computes one that shrinks anew for each row.
+    w = Window.partitionBy(doc).orderBy(F.desc("_at"), F.desc("_kind"), F.desc("_page"))
+    here = F.last("_page", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    final = F.first("_page", True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return both.withColumn("_here", F.coalesce(here, final)).filter("_kind = 0").select("_row.*", F.col("_here").alias(page))
 
 
