@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def step_thresholds(rows: DataFrame, key: str, order: str, step: str) -> DataFrame:
-    """Adds hours and months that a step asks for, by a fold over the ordered steps of a class.
+    """Adds hours and months that a step asks for, by running sums along the ordered steps of a class.
 
     start: 0 and 0; after N hours or months: N; first N hours worked: 0, and N are gathered; next N: what is gathered, and
-    N more; thereafter: what is gathered. A class's steps are one small array.
+    N more; thereafter: what is gathered.
+
+    A start or a first step sets what is gathered, a next one adds to it and one after N raises it to N. So behind a setting it is the
+    sum of what was added since, and the largest of what was set or raised to, less the sum at that place.
     """
     low = F.lower(F.trim(step))
     number = lambda p: F.nullif(F.regexp_extract(low, p, 1), F.lit("")).cast("bigint")
@@ -20,21 +23,17 @@ def step_thresholds(rows: DataFrame, key: str, order: str, step: str) -> DataFra
         kind = kind.when(n.isNotNull(), name)
     kind = kind.when(low.startswith("thereafter"), "thereafter").otherwise("none")
     told = rows.withColumn("_k", kind).withColumn("_v", F.coalesce(*[n for _, n in kinds]))
-    steps = told.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, step, "_k", "_v"))).alias("_steps"))
-
-    def walk(state: Column, s: Column) -> Column:
-        gathered, k, v = state["gathered"], s["_k"], s["_v"]
-        held = F.coalesce(gathered, F.lit(0).cast("bigint"))
-        now = F.when(k == "start", 0).when(k == "after_hours", F.greatest(held, v)).when(k == "first", v).when(k == "next", held + v).otherwise(gathered)
-        hours = F.when(k.isin("start", "first"), 0).when(k == "after_hours", v).when(k == "next", held).when(k == "thereafter", gathered)
-        months = F.when(k == "start", 0).when(k == "after_months", v)
-        out = F.struct(s[order].alias(order), s[step].alias(step), hours.cast("bigint").alias("hours"), months.cast("bigint").alias("months"))
-        return F.struct(now.cast("bigint").alias("gathered"), F.concat(state["out"], F.array(out)).alias("out"))
-
-    empty = f"array<struct<{order}:{rows.schema[order].dataType.simpleString()},{step}:string,hours:bigint,months:bigint>>"
-    start = F.struct(F.lit(None).cast("bigint").alias("gathered"), F.array().cast(empty).alias("out"))
-    done = steps.select(key, F.explode(F.aggregate("_steps", start, walk, lambda s: s["out"])).alias("s"))
-    return done.select(key, "s.*")
+    so_far = lambda *keys: Window.partitionBy(*keys).orderBy(order, step, "_k", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    k, zero = F.col("_k"), F.lit(0).cast("bigint")
+    told = told.withColumn("_set", F.count(F.when(k.isin("start", "first"), 1)).over(so_far(key))).withColumn("_known", F.count(F.when(k.isin("start", "first", "next", "after_hours"), 1)).over(so_far(key)) > 0)
+    told = told.withColumn("_added", F.coalesce(F.sum(F.when(k == "next", F.col("_v"))).over(so_far(key, "_set")), zero))
+    level = F.when(k == "start", 0).when(k == "first", F.col("_v")).when(k == "after_hours", F.col("_v") - F.col("_added"))
+    level = F.max(level).over(so_far(key, "_set"))
+    # Ahead of the first setting nothing is gathered, which counts as 0.
+    held = F.col("_added") + F.when(F.col("_set") == 0, F.greatest(level, zero)).otherwise(level)
+    hours = F.when(k.isin("start", "first"), zero).when(k == "after_hours", F.col("_v")).when(k == "next", held - F.col("_v")).when((k == "thereafter") & F.col("_known"), held)
+    months = F.when(k == "start", zero).when(k == "after_months", F.col("_v"))
+    return told.select(key, order, step, hours.alias("hours"), months.alias("months"))
 
 
 def canonical_rows(rows: DataFrame, keys: list[str], order: list[str], rate: str, confidence: str, least: float = 0.05) -> DataFrame:
