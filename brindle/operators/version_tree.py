@@ -9,7 +9,7 @@ ancestors are refused.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import checkpointed
@@ -26,36 +26,48 @@ def ancestry(versions: DataFrame) -> DataFrame:
     known = versions.select("contract", F.col("version").alias("parent"))
     steps = versions.filter("parent IS NOT NULL").select("contract", "version", "parent").join(known, ["contract", "parent"], "left_semi")
     steps = steps.select("contract", "version", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
-    reach = versions.select("contract", "version", F.col("version").alias("ancestor"), F.lit(0).alias("distance")).unionByName(steps)
-    reach = checkpointed(reach)
+    # Each round stores what it adds and nothing else.
+    last = checkpointed(versions.select("contract", "version", F.col("version").alias("ancestor"), F.lit(0).alias("distance")).unionByName(steps))
+    reach = last
     for k in range(MOST_DOUBLINGS):
-        far = reach.filter(F.col("distance") == 1 << k)
+        far = last.filter(F.col("distance") == 1 << k)
         if far.isEmpty():
             return reach
         on = reach.filter(F.col("distance") > 0).select("contract", F.col("version").alias("ancestor"), F.col("ancestor").alias("further"), F.col("distance").alias("more"))
-        walked = far.join(on, ["contract", "ancestor"]).select("contract", "version", F.col("further").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance"))
-        if not walked.filter("version = ancestor").isEmpty():
+        last = checkpointed(far.join(on, ["contract", "ancestor"]).select("contract", "version", F.col("further").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance")))
+        if not last.filter("version = ancestor").isEmpty():
             raise ValueError("a version is its own ancestor")
-        reach = checkpointed(reach.unionByName(walked))
+        reach = reach.unionByName(last)
     raise ValueError("a version is its own ancestor")
 
 
+def together(df: DataFrame, by: str = "contract") -> DataFrame:
+    """The rows of a contract in one partition of a set number, so that joins and groups by a contract and more move nothing again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+
+
 def rows_at(ancestors: DataFrame, changes: DataFrame, base: DataFrame) -> DataFrame:
     """(contract, version, target, value, from_version): what is in force at each version, and the version that it comes from.
 
     ``ancestors``: of all versions or of those asked for. The nearest ancestor that names a target decides; from_version is null where
-    the base does. Targets that are taken away are left out.
+    the base does, which is farther than all of them. Targets that are taken away are left out.
     """
-    told = ancestors.join(changes.withColumnRenamed("version", "ancestor"), ["contract", "ancestor"])
-    near = told.groupBy("contract", "version", "target").agg(F.min_by(F.struct(F.col("ancestor").alias("from_version"), "value"), "distance").alias("_c"))
-    asked = ancestors.select("contract", "version").distinct()
-    both = asked.join(base, "contract").select("contract", "version", "target", F.col("value").alias("_base")).join(near, ["contract", "version", "target"], "full_outer")
-    value = F.when(F.col("_c").isNotNull(), F.col("_c.value")).otherwise(F.col("_base"))
-    return both.select("contract", "version", "target", value.alias("value"), F.col("_c.from_version").alias("from_version")).filter("value IS NOT NULL")
+    # The base counts as the farthest ancestor of every version. Ancestors and changes lie together by contracts; a window hands each
+    # ancestor's changes to its versions, so that what this multiplies is grouped where it is.
+    kind, no = ancestors.schema["ancestor"].dataType, F.lit(None)
+    reach = ancestors.select("contract", "version", "ancestor", "distance", F.lit(False).alias("_base"), no.cast(changes.schema["target"].dataType).alias("target"), no.cast(changes.schema["value"].dataType).alias("value"))
+    farthest = reach.filter("distance = 0").select("contract", "version", no.cast(kind).alias("ancestor"), F.lit((1 << 31) - 1).alias("distance"), F.lit(True).alias("_base"), "target", "value")
+    held = lambda df, ancestor, is_base: df.select("contract", no.cast(kind).alias("version"), ancestor.alias("ancestor"), no.cast("int").alias("distance"), F.lit(is_base).alias("_base"), "target", "value")
+    every = together(reach.unionByName(farthest).unionByName(held(changes, F.col("version"), False)).unionByName(held(base, no.cast(kind), True)))
+    named = F.collect_list(F.when(F.col("distance").isNull(), F.struct("target", "value"))).over(Window.partitionBy("contract", "ancestor", "_base"))
+    told = every.withColumn("_named", named).filter("distance IS NOT NULL").select("contract", "version", "ancestor", "distance", F.explode("_named").alias("_n"))
+    near = told.groupBy("contract", "version", F.col("_n.target").alias("target")).agg(F.min_by(F.struct(F.col("ancestor").alias("from_version"), F.col("_n.value").alias("value")), "distance").alias("_c"))
+    return near.select("contract", "version", "target", "_c.value", "_c.from_version").filter("value IS NOT NULL")
 
 
 def common_ancestors(ancestors: DataFrame, pairs: DataFrame) -> DataFrame:
     """(contract, ours, theirs, fork) of pairs (contract, ours, theirs): their nearest common ancestor, null where they have none."""
+    ancestors = together(ancestors)
     a = ancestors.select("contract", F.col("version").alias("ours"), F.col("ancestor").alias("fork"), F.col("distance").alias("_a"))
     b = ancestors.select("contract", F.col("version").alias("theirs"), F.col("ancestor").alias("fork"), F.col("distance").alias("_b"))
     met = pairs.join(a, ["contract", "ours"]).join(b, ["contract", "theirs", "fork"])
@@ -69,8 +81,13 @@ def three_way(fork: DataFrame, ours: DataFrame, theirs: DataFrame, keys: list[st
     ``state``: 'same' where neither changed it, 'ours', 'theirs', 'both' where both made the same change, 'conflict' where
     they differ: then the value is null. A row that is missing counts as a null value. Each side: keys, value.
     """
-    side = lambda df, name: df.select(*keys, F.col("value").alias(name))
-    all_ = side(fork, "_fork").join(side(ours, "our_value"), keys, "full_outer").join(side(theirs, "their_value"), keys, "full_outer")
+    side = lambda df, i: df.select(*keys, F.lit(i).alias("side"), "value")
+    return merged_sides(side(fork, 0).unionByName(side(ours, 1)).unionByName(side(theirs, 2)), keys)
+
+
+def merged_sides(every: DataFrame, keys: list[str]) -> DataFrame:
+    """As ``three_way``, of keys, side (0 the fork, 1 ours, 2 theirs), value: a side has a key once at most."""
+    all_ = every.groupBy(*keys).agg(*[F.max(F.when(F.col("side") == i, F.col("value"))).alias(name) for i, name in enumerate(("_fork", "our_value", "their_value"))])
     eq = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     state = (
         F.when(eq("our_value", "_fork") & eq("their_value", "_fork"), "same").when(eq("their_value", "_fork"), "ours").when(eq("our_value", "_fork"), "theirs")

@@ -14,7 +14,7 @@ registry = Registry()
 
 def _versions(spark: SparkSession, sf: str) -> DataFrame:
     """An order is a version; its parent is the order before it, for every third one that before that: side branches."""
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("contract"), F.col("o_orderkey").alias("version"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    o = V.together(table(spark, sf, "orders").select(F.col("o_custkey").alias("contract"), F.col("o_orderkey").alias("version"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")))
     w = Window.partitionBy("contract").orderBy("day", "version")
     back = F.lag("version", 2).over(w)
     return o.withColumn("before", F.lag("version").over(w)).withColumn("parent", F.when((F.col("version") % 3 == 0) & back.isNotNull(), back).otherwise(F.col("before")))
@@ -22,9 +22,11 @@ def _versions(spark: SparkSession, sf: str) -> DataFrame:
 
 def _changes(spark: SparkSession, sf: str) -> DataFrame:
     """An order's lines change the targets of their numbers; each thirteenth part takes its target away."""
-    li = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("version"), F.col("l_linenumber").cast("bigint").alias("target")).agg(F.min("l_partkey").alias("part"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("version"), F.col("l_linenumber").cast("bigint").alias("target"), "l_partkey")
+    li = V.together(lines, "version").groupBy("version", "target").agg(F.min("l_partkey").alias("part"))
     value = F.when(F.col("part") % 13 != 0, F.col("part"))
-    return li.join(_versions(spark, sf).select("contract", "version"), "version").select("contract", "version", "target", value.alias("value"))
+    owners = V.together(table(spark, sf, "orders").select(F.col("o_custkey").alias("contract"), F.col("o_orderkey").alias("version")), "version")
+    return li.join(owners, "version").select("contract", "version", "target", value.alias("value"))
 
 
 def _base(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,8 +71,9 @@ def version_merge(spark: SparkSession, sf: str) -> DataFrame:
     rows = V.rows_at(ancestors, _changes(spark, sf), _base(spark, sf)).select("contract", F.col("version").alias("_v"), "target", "value")
     pairs = V.common_ancestors(ancestors, v.filter(~F.col("parent").eqNullSafe(F.col("before"))).select("contract", F.col("version").alias("ours"), F.col("before").alias("theirs")))
     keys = ["contract", "ours", "theirs", "fork", "target"]
-    of = lambda which: pairs.withColumn("_v", F.col(which)).join(rows, ["contract", "_v"]).select(*keys, "value")
-    merged = V.three_way(of("fork"), of("ours"), of("theirs"), keys)
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(which).alias("_v")) for i, which in enumerate(("fork", "ours", "theirs"))]))
+    asked = pairs.select("contract", "ours", "theirs", "fork", sides.alias("_s")).select("contract", "ours", "theirs", "fork", "_s.*")
+    merged = V.merged_sides(asked.join(rows, ["contract", "_v"]), keys)
     return merged.select("contract", F.col("ours").alias("version"), F.col("theirs").alias("other"), "fork", "target", "state", "value")
 
 
