@@ -1,7 +1,7 @@
 """A stored keyword index: postings by buckets of terms, in blocks of documents with their largest weights.
 
-``build`` tokenizes a corpus once. A row of the index is a term in a block of documents: its postings, and the most that any of them
-can add to a score. A query reads the folders of its terms' buckets only, and of them first the weights: the blocks of
+``build`` tokenizes a corpus once. A row of the index is a posting: a term in a document. The rows of a term in a block of documents stand
+together, and the first of them holds the most that any of them can add to a score. A query reads the folders of its terms' buckets only, and of them first the weights: the blocks of
 the highest bounds are scored whole, and then only those whose bound reaches the k-th score so far. Both give exactly the
 rows that a scan of all texts gives.
 
@@ -14,7 +14,7 @@ import hashlib
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -23,12 +23,12 @@ from .artifacts import _filesystem, exists
 
 BUCKETS, BLOCK_DOCS, SPREAD = 64, 128, 4
 #: Changes with the stored tables, so that an index of an older form isn't opened.
-FORM = 3
+FORM = 4
 #: Scores are rounded to so many places before they are compared.
 PLACES = 6
 #: The stored tables, with the type of the keys left open; an empty corpus leaves no file to read a schema from.
 _SCHEMAS = {
-    "postings": "term string, block bigint, most double, most_once double, docs bigint, held array<struct<key:{},row:bigint,tf:bigint,len:bigint>>, bucket int",
+    "postings": "term string, block bigint, docs bigint, tf_most bigint, share_least double, len_least bigint, key {}, row bigint, tf bigint, len bigint, bucket int",
     "terms": "term string, df bigint, bucket int",
 }
 
@@ -41,26 +41,44 @@ def _weight(tf: Column, length: Column, mean: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean)))
 
 
+def _counts(words: str) -> Column:
+    """array<struct<term, tf>>: the distinct words of an array, each with how often it stands there."""
+
+    def runs(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        # The array of starts is held as the one element of an array, so that it's made once a text and not once a word.
+        tell = lambda s: F.transform(s, lambda at, k: F.struct(F.get(w, at).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(w)) - at).cast("bigint").alias("tf")))
+        return F.transform(F.array(starts), tell)[0]
+
+    return F.when(F.size(words) > 0, F.transform(F.array(F.sort_array(words)), runs)[0])
+
+
 def build(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS, block_docs: int = BLOCK_DOCS) -> None:
     """Writes the index of a corpus to a folder that must not exist; a job that fails leaves none behind under that name."""
     spark = docs.sparkSession
     making = f"{path}-{uuid.uuid4().hex}"
-    counted = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), tokens(F.coalesce(text, F.lit(""))).alias("_t")).withColumn("len", F.size("_t").cast("bigint"))
-    n, mean = counted.agg(F.count(F.lit(1)), F.avg("len")).first()
-    mean = mean or 1.0
+    own = docs.filter(F.col(key).isNotNull())
+    counted = own.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), tokens(F.coalesce(text, F.lit(""))).alias("_t")).withColumn("len", F.size("_t").cast("bigint"))
+    n = own.count()
     blocks = max(1, -(-n // block_docs))
-    # Terms are counted within their rows ahead of the first shuffle; the second one brings each file's rows together, and serves all that follows.
-    held = counted.select("key", "row", "len", F.explode("_t").alias("term")).groupBy("key", "row", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # Terms are counted within their rows, so that one shuffle brings each file's rows together and serves all that follows.
+    held = counted.select("key", "row", "len", F.explode(_counts("_t")).alias("_h")).select("key", "row", "len", "_h.term", "_h.tf")
     # A term of all documents fills its bucket: the bucket's rows are dealt over SPREAD files, each in the order of its terms.
     placed = held.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).withColumn("bucket", _bucket(F.col("term"), buckets)).withColumn("spread", F.pmod("block", F.lit(SPREAD)))
-    rows = placed.repartition("bucket", "spread").groupBy("bucket", "spread", "term", "block").agg(
-        F.max(_weight(F.col("tf").cast("double"), F.col("len"), mean)).alias("most"), F.max(_weight(F.lit(1.0), F.col("len"), mean)).alias("most_once"),
-        F.count(F.lit(1)).alias("docs"), F.collect_list(F.struct("key", "row", "tf", "len")).alias("held"),
+    # Postings aren't gathered into arrays, which sorts and copies them twice: a window marks the first one of a term in a block, and
+    # gives it what bounds the others' weights under any mean length, so that texts are cut into words once.
+    along = Window.partitionBy("bucket", "term", "block", "spread").orderBy("row")
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    told = lambda value: F.when(F.row_number().over(along) == 1, value.over(whole))
+    rows = placed.repartition("bucket", "spread").select(
+        "bucket", "term", "block", told(F.count(F.lit(1))).alias("docs"), told(F.max("tf")).alias("tf_most"), told(F.min(F.col("len") / F.col("tf"))).alias("share_least"),
+        told(F.min("len")).alias("len_least"), "key", "row", "tf", "len",
     )
-    rows.drop("spread").sortWithinPartitions("bucket", "term", "block").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{making}/postings")
-    kind = rows.schema["held"].dataType.elementType["key"].dataType.simpleString()
+    rows.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{making}/postings")
+    kind = rows.schema["key"].dataType.simpleString()
     stored = spark.read.schema(_SCHEMAS["postings"].format(kind)).parquet(f"{making}/postings")
-    stored.groupBy("bucket", "term").agg(F.sum("docs").alias("df")).write.partitionBy("bucket").parquet(f"{making}/terms")
+    stored.filter("docs IS NOT NULL").groupBy("bucket", "term").agg(F.sum("docs").alias("df")).repartition("bucket").write.partitionBy("bucket").parquet(f"{making}/terms")
+    mean = (stored.agg(F.sum("tf")).first()[0] or n or 1) / (n or 1)
     spark.createDataFrame([(n, float(mean), blocks, buckets, kind)], "n bigint, mean double, blocks bigint, buckets int, kind string").write.parquet(f"{making}/stats")
     fs, where = _filesystem(spark, making)
     target = _filesystem(spark, path)[1]
@@ -106,14 +124,14 @@ class PostingIndex:
             return self.spark.createDataFrame([], f"{key} {self.kind}, score double"), None
         gain = F.create_map(*[x for t in known for x in (F.lit(t), F.lit(float(terms.count(t))) * F.log((F.lit(self.n) - df_of[t] + 0.5) / (F.lit(df_of[t]) + 0.5) + 1.0))])
         rows = self._of("postings", known)
-        most = F.col("most") if tf_mode == "count" else F.col("most_once")
-        bounds = rows.groupBy("block").agg(F.sum(gain[F.col("term")] * most).alias("bound"))
+        # No posting's tf is larger, nor its length a term, so that no weight is; where a term counts once, the shortest text has the largest.
+        most = _weight(F.lit(1.0), F.col("len_least"), self.mean) if tf_mode == "binary" else (K1 + 1) / (1 + K1 * ((1 - B) / F.col("tf_most") + B * F.col("share_least") / self.mean))
+        bounds = rows.filter("docs IS NOT NULL").groupBy("block").agg(F.sum(gain[F.col("term")] * most).alias("bound"))
 
         def scored(some: DataFrame) -> DataFrame:
-            each = some.select("term", F.explode("held").alias("p"))
-            tf = F.col("p.tf").cast("double") if tf_mode == "count" else F.lit(1.0)
-            score = F.round(F.sum(gain[F.col("term")] * _weight(tf, F.col("p.len"), self.mean)), PLACES)
-            return each.groupBy(F.col("p.key").alias(key), F.col("p.row").alias("_row")).agg(score.alias("score")).select(key, "score").filter("score > 0")
+            tf = F.col("tf").cast("double") if tf_mode == "count" else F.lit(1.0)
+            score = F.round(F.sum(gain[F.col("term")] * _weight(tf, F.col("len"), self.mean)), PLACES)
+            return some.groupBy(F.col("key").alias(key), "row").agg(score.alias("score")).select(key, "score").filter("score > 0")
 
         first = [r.block for r in bounds.orderBy(F.desc("bound"), "block").limit(seeds or max(2, k)).collect()]
         best = top(scored(rows.filter(F.col("block").isin(*first))), "score", key, k).collect()
