@@ -1,8 +1,8 @@
 """Line diffs of many pairs of texts at once.
 
-Lines that stand once in either text are joined as anchors; the longest increasing subsequence of an anchor's places
-gives the spine. Between neighbouring anchors of the spine lie gaps; a shortest edit is sought in those that have lines of both
-texts. All else is window sums along a text: which lines are near a change, the hunks they form and their places.
+Lines that stand once in either text are anchors, found by sorting the lines of both; the longest increasing subsequence of an
+anchor's places gives the spine. Between neighbouring anchors of the spine lie gaps; a shortest edit is sought in those that have lines
+of both texts. Hunks are window sums along a script: which lines are near a change, the hunks they form and their places.
 
 A text's lines are its own group, which a row's size bounds. A null text counts as empty; line ends of any kind are equal; a last
 line without an end is a line like the others; an empty text has none. Gaps that differ by more than MOST_EDITS lines are
@@ -12,6 +12,7 @@ replaced as a whole, which is right, though not shortest.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -21,11 +22,10 @@ MOST_EDITS = 400
 LINE_END = "\r\n|[\n\r\x0B\f\x1C-\x1E\u0085\u2028\u2029]"
 
 
-def lines(df: DataFrame, key: str, text: str, place: str) -> DataFrame:
-    """(key, place, line): the lines of each text, from 0."""
+def cut_lines(text: Column) -> Column:
+    """array<string>: the lines of a text."""
     cut = F.split(F.coalesce(text, F.lit("")), LINE_END)
-    held = F.when(F.element_at(cut, -1) == "", F.slice(cut, 1, F.greatest(F.size(cut) - 1, F.lit(0)))).otherwise(cut)
-    return df.select(key, F.posexplode(held).alias(place, "line"))
+    return F.when(F.element_at(cut, -1) == "", F.slice(cut, 1, F.greatest(F.size(cut) - 1, F.lit(0)))).otherwise(cut)
 
 
 def increasing(places: list[int]) -> list[int]:
@@ -62,11 +62,11 @@ def common_lines(a: list[str], b: list[str], most: int = MOST_EDITS) -> list[tup
                 x += 1
             reach[k] = x
             if x >= n and x - k >= m:
-                return _kept(trace, n, m)
+                return _walked(trace, n, m)
     return []
 
 
-def _kept(trace: list[dict[int, int]], x: int, y: int) -> list[tuple[int, int]]:
+def _walked(trace: list[dict[int, int]], x: int, y: int) -> list[tuple[int, int]]:
     out = []
     for d in range(len(trace) - 1, -1, -1):
         reach, k = trace[d], x - y
@@ -80,62 +80,85 @@ def _kept(trace: list[dict[int, int]], x: int, y: int) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-_PAIRS = pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))
+def kept_places(a: list[str], b: list[str], anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The places of the lines that a text keeps: the spine of its anchors, and those of a shortest edit in each gap that has lines of both texts."""
+    out, i, j = [], 0, 0
+    spine = [anchors[k] for k in increasing([y for _, y in anchors])]
+    for ni, nj in [*spine, (len(a), len(b))]:
+        if i < ni and j < nj:
+            out += [(i + x, j + y) for x, y in common_lines(a[i:ni], b[j:nj])]
+        out.append((ni, nj))
+        i, j = ni + 1, nj + 1
+    return out[:-1]
 
 
-def _increasing(places: Column) -> Column:
-    def run(rows: pa.Array) -> pa.Array:
-        return pa.array([increasing(r) for r in rows.to_pylist()], pa.list_(pa.int32()))
+_PAIRS = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())]))
 
-    return F.arrow_udf(run, "array<int>")(places)
 
+def _kept(a: Column, b: Column, anchor_i: Column, anchor_j: Column) -> Column:
+    def run(left: pa.Array, right: pa.Array, at_i: pa.Array, at_j: pa.Array) -> pa.Array:
+        texts = ((x.as_py(), y.as_py(), list(zip(i.as_py(), j.as_py(), strict=True))) for x, y, i, j in zip(left, right, at_i, at_j, strict=True))
+        return pa.array([[{"i": i, "j": j} for i, j in kept_places(*t)] for t in texts], _PAIRS)
 
-def _shortest(a: Column, b: Column) -> Column:
-    def run(left: pa.Array, right: pa.Array) -> pa.Array:
-        pairs = zip(left.to_pylist(), right.to_pylist(), strict=True)
-        return pa.array([[{"x": x, "y": y} for x, y in common_lines(p, q)] for p, q in pairs], _PAIRS)
+    return F.arrow_udf(run, "array<struct<i:int,j:int>>")(a, b, anchor_i, anchor_j)
 
-    return F.arrow_udf(run, "array<struct<x:int,y:int>>")(a, b)
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once a row: within a lambda it would be made for every element."""
+    return F.transform(F.array(value), use)[0]
 
-def kept_lines(base: DataFrame, later: DataFrame, key: str) -> DataFrame:
-    """(key, i, j): the lines that a text keeps. ``base``: key, i, line; ``later``: key, j, line."""
-    once = lambda df, place: df.groupBy(key, "line").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias(place)).filter("_n = 1").drop("_n")
-    anchors = once(base, "i").join(once(later, "j"), [key, "line"]).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("_at"))
-    chosen = anchors.withColumn("_in", _increasing(F.col("_at.j"))).select(key, F.explode(F.transform("_in", lambda k: F.col("_at")[k])).alias("_a"))
-    spine = chosen.select(key, F.col("_a.i").alias("i"), F.col("_a.j").alias("j"))
 
-    def gaps(df: DataFrame, place: str, name: str) -> DataFrame:
-        """The lines between anchors, with the number of anchors before them."""
-        told = df.join(spine.select(key, place, F.lit(1).alias("_anchor")), [key, place], "left")
-        before = F.count("_anchor").over(Window.partitionBy(key).orderBy(place))
-        held = told.withColumn("_gap", before).filter("_anchor IS NULL").groupBy(key, "_gap").agg(F.array_sort(F.collect_list(F.struct(place, "line"))).alias(name))
-        return held
+def _span(first: Column, behind: Column, tell: Callable[[Column], Column]) -> Column:
+    """``tell`` of the places from ``first`` up to the one before ``behind``; none if there are none."""
+    return F.transform(F.filter(F.sequence(first, F.greatest(first, behind - 1)), lambda x: x < behind), tell)
 
-    both = gaps(base, "i", "_a").join(gaps(later, "j", "_b"), [key, "_gap"])
-    found = both.withColumn("_same", _shortest(F.col("_a.line"), F.col("_b.line"))).select(key, "_a", "_b", F.explode("_same").alias("_s"))
-    return spine.unionByName(found.select(key, F.col("_a")[F.col("_s.x")]["i"].alias("i"), F.col("_b")[F.col("_s.y")]["j"].alias("j")))
+
+def _at(i: Column, j: Column) -> Column:
+    return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+
+
+def _anchors(a: Column, b: Column) -> Column:
+    """array<struct<i, j>>: the lines that stand once in either text, by their places in the first one."""
+    side = lambda text, n: F.transform(text, lambda line, place: F.struct(line.alias("line"), F.lit(n).alias("side"), place.alias("place")))
+
+    def pairs(s: Column) -> Column:
+        # Equal lines stand together: an anchor is a run of two, one of either side.
+        line = lambda k: F.get(s, k)["line"]
+        alone = lambda k: F.coalesce(line(k) != line(k - 1), F.lit(True)) & F.coalesce(line(k + 1) != line(k + 2), F.lit(True))
+        is_anchor = lambda k: (line(k) == line(k + 1)) & (F.get(s, k)["side"] == 0) & (F.get(s, k + 1)["side"] == 1) & alone(k)
+        return F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), F.size(s)), is_anchor), lambda k: _at(F.get(s, k)["place"], F.get(s, k + 1)["place"])))
+
+    return _once(F.sort_array(F.concat(side(a, 0), side(b, 1))), pairs)
+
+
+def _ends(kept: Column, n: Column, m: Column) -> Column:
+    """array<struct<i, j, ni, nj>>: the spans between kept lines: each from behind one (i, j) to the next one (ni, nj)."""
+    before, behind = F.concat(F.array(_at(F.lit(-1), F.lit(-1))), kept), F.concat(kept, F.array(_at(n, m)))
+    return F.zip_with(before, behind, lambda x, y: F.struct((x["i"] + 1).alias("i"), (x["j"] + 1).alias("j"), y["i"].alias("ni"), y["j"].alias("nj")))
 
 
 def line_diff(df: DataFrame, key: str, base: str, later: str) -> DataFrame:
     """(key, place, op, line, i, j): the script from each base text to the later one: ' ' kept, '-' deleted, '+' inserted.
 
-    ``i`` and ``j`` count the lines of either text before this one.
+    ``i`` and ``j`` count the lines of either text before this one. A row holds both texts, so that its script is made where the row is:
+    nothing is shuffled or joined.
     """
-    a, b = lines(df, key, base, "i"), lines(df, key, later, "j")
-    kept = kept_lines(a, b, key)
-    old = a.join(kept.withColumnRenamed("j", "_j"), [key, "i"], "left")
-    # Between two kept lines deletions come first; each row knows how many kept lines stand before it.
-    by = lambda place: F.count("_kept").over(Window.partitionBy(key).orderBy(place).rowsBetween(Window.unboundedPreceding, -1))
-    old = old.withColumn("_kept", F.when(F.col("_j").isNotNull(), 1)).withColumn("_before", by("i")).select(key, "_before", F.when(F.col("_kept").isNull(), "-").otherwise(" ").alias("op"), F.col("i").alias("_at"), "line")
-    told = b.join(kept.withColumnRenamed("i", "_i"), [key, "j"], "left").withColumn("_kept", F.when(F.col("_i").isNotNull(), 1)).withColumn("_before", by("j"))
-    new = told.filter("_kept IS NULL").select(key, "_before", F.lit("+").alias("op"), F.col("j").alias("_at"), "line")
-    order = ["_before", F.when(F.col("op") == "-", 0).when(F.col("op") == "+", 1).otherwise(2), "_at"]
-    along = Window.partitionBy(key).orderBy(*order)
-    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
-    count = lambda other: (F.sum((F.col("op") != other).cast("int")).over(so_far) - (F.col("op") != other).cast("int")).cast("int")
-    script = old.unionByName(new)
-    return script.select(key, (F.row_number().over(along) - 1).alias("place"), "op", "line", count("+").alias("i"), count("-").alias("j"))
+    told = df.select(key, cut_lines(F.col(base)).alias("_a"), cut_lines(F.col(later)).alias("_b"))
+    told = told.select(key, "_a", "_b", _anchors(F.col("_a"), F.col("_b")).alias("_at"))
+    told = told.select(key, "_a", "_b", _kept(F.col("_a"), F.col("_b"), F.col("_at.i"), F.col("_at.j")).alias("_kept"))
+
+    def script(t: Column) -> Column:
+        a, b = t["_a"], t["_b"]
+        row = lambda op, line, i, j: F.struct(F.lit(op).alias("op"), line.alias("line"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+        # Between two kept lines deletions come first.
+        gone = lambda g: _span(g["i"], g["ni"], lambda x: row("-", F.get(a, x), x, g["j"]))
+        come = lambda g: _span(g["j"], g["nj"], lambda y: row("+", F.get(b, y), g["ni"], y))
+        kept = lambda g: F.filter(F.array(row(" ", F.get(a, g["ni"]), g["ni"], g["nj"])), lambda x: x["i"] < F.size(a))
+        return F.flatten(F.transform(_ends(t["_kept"], F.size(a), F.size(b)), lambda g: F.concat(gone(g), come(g), kept(g))))
+
+    all_ = _once(F.struct("_a", "_b", "_kept"), script)
+    # An inner explode would have the script made once more, to filter by its size.
+    return told.select(key, F.posexplode_outer(all_).alias("place", "_s")).filter("place IS NOT NULL").select(key, "place", "_s.*")
 
 
 def hunks(script: DataFrame, key: str, context: int = 3) -> DataFrame:
