@@ -132,6 +132,9 @@ def similar_pairs(terms: DataFrame, words: DataFrame, least: float = 0.84, term:
     size = gram_size(least)
     clean = lambda df, c, name: df.select(F.lower(F.trim(c)).alias(name)).filter(f"{name} != ''").distinct()
     asked, held = clean(terms, term, "term"), clean(words, word, "word")
+    # Distinct words are few bytes, which Spark would put into one task, whatever is made of them: a set number keeps them apart. By the
+    # word itself they lie apart already, and the step would be left out.
+    held = held.repartition(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("word"))
     sets = F.size(F.array_distinct(grams(F.col("word"))))
     index = held.select("word", F.length("word").alias("n"), sets.alias("n_set"), letters(F.col("word")).alias("n_letters"), F.explode(F.array_distinct(grams(F.col("word"), size))).alias("gram"))
     common = index.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
@@ -147,11 +150,12 @@ def similar_pairs(terms: DataFrame, words: DataFrame, least: float = 0.84, term:
     by_set = F.least("m_set", "n_set") >= least * F.greatest("m_set", "n_set") - 1e-9
     near = by_length & (alone <= (1 - least) * (F.col("m") + F.col("n")) + 1e-9) | by_set & (alone <= 3 * (1 - least) / (1 + least) * (F.col("m_set") + F.col("n_set")) + 1e-9)
     told = [F.first(c).alias(c) for c in ("m", "n", "m_set", "n_set", "_spare")]
-    # Named anew, so that no filter on the score, which costs, moves below the grouping.
-    pairs = own.join(index, "gram").filter(near).groupBy("term", "word").agg(F.sum("times").alias("_shared"), F.first("term").alias("_a"), F.first("word").alias("_b"), *told)
+    # Only numbers are gathered: with texts among them Spark sorts all that is joined instead of hashing it.
+    pairs = own.join(index, "gram").filter(near).groupBy("term", "word").agg(F.sum("times").alias("_shared"), *told)
     # What a pair shares at most, with the grams that were left out.
-    a, b, shared = F.col("_a"), F.col("_b"), F.col("_shared") + F.col("_spare")
+    a, b, shared = F.col("term"), F.col("word"), F.col("_shared") + F.col("_spare")
     enough = (shared >= least_shared(least, F.col("m") + F.col("n"))) & (2 * common_characters(a, b) >= least * (F.col("m") + F.col("n")) - 1e-9)
     sets = shared >= least / (1 + least) * (F.col("m_set") + F.col("n_set")) - 1e-9 if size == 3 else by_set
-    scored = pairs.filter(by_length & enough | sets).select(a.alias("term"), b.alias("word"), similarity(a, b).alias("score"))
+    # The score hangs on what was gathered, so that no filter on it, which costs, moves below the grouping.
+    scored = pairs.filter(by_length & enough | sets).select("term", "word", F.when(F.col("_shared") > 0, similarity(a, b)).alias("score"))
     return scored.filter(F.col("score") >= least)
