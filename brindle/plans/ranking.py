@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import legal as L
 from ..operators import ranking as R
 from ..operators import search, windows
-from ..sources.tables import table
+from ..operators.version_tree import together
+from ..sources.tables import checkpointed, table
 from .questions import CLAUSES_SQL, QUESTIONS_SQL, clauses, questions
 from .registry import Registry
 from .retrieval import _cos_sql, _scored
@@ -183,10 +184,14 @@ _FORMS_SQL = " UNION ALL ".join(
 )
 
 
-def _answers(spark: SparkSession, sf: str) -> DataFrame:
+#: So many citations at most are handed to all tasks; more are joined by shuffles.
+FEW_CITATIONS = 20_000
+
+
+def _answers(parts: DataFrame) -> DataFrame:
     text = F.element_at(F.array(*[F.lit(x) for x in ANSWERS]), (F.col("p_partkey") % len(ANSWERS) + 1).cast("int"))
     filled = F.replace(F.replace(text, F.lit("{a}"), F.col("p_size").cast("string")), F.lit("{n}"), F.col("p_name"))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("answer_id"), filled.alias("answer"))
+    return parts.select(F.col("p_partkey").alias("answer_id"), filled.alias("answer"))
 
 
 @registry.query(f"""WITH {_ANSWERS_SQL}, f AS ({_FORMS_SQL}), k AS (SELECT * FROM f WHERE claim <> '' AND (form <> 1 OR (length(claim) >= 10 AND NOT regexp_matches(lower(claim), '^(this|see|refer)')))),
@@ -195,11 +200,15 @@ j AS (SELECT k.*, coalesce(x.content, y.content) AS cited_text FROM k LEFT JOIN
 r AS (SELECT *, row_number() OVER (PARTITION BY answer_id, substr(lower(claim), 1, 50) ORDER BY form, no) AS r FROM j WHERE cited_text IS NOT NULL) SELECT answer_id, claim, citation, cited_text FROM r WHERE r = 1""")
 def claim_citation_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """What answers claim, with what they cite for it and its text; a claim counts once, at its first place."""
-    p = table(spark, sf, "part")
-    pairs = _answers(spark, sf).select("answer_id", F.posexplode(L.claim_citations(F.col("answer"))).alias("place", "_p")).select("answer_id", "place", "_p.*")
+    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_size")
+    # Parts are few bytes and would fall to few tasks; an answer's claims stay where it lies.
+    pairs = _answers(together(p, "p_partkey")).select("answer_id", F.posexplode(L.claim_citations(F.col("answer"))).alias("place", "_p")).select("answer_id", "place", "_p.*")
+    last = p.filter("p_name IS NOT NULL").groupBy("p_size", (F.col("p_partkey") % 4).alias("section")).agg(F.max_by("p_name", "p_partkey").alias("p_name"), F.max("p_partkey").alias("p_partkey"))
     article = F.concat(F.lit("Article "), F.col("p_size").cast("string"))
-    cites = F.explode(F.array(F.concat(article, F.lit(", Section "), (F.col("p_partkey") % 4).cast("string")), article))
-    chunks = p.select("p_partkey", "p_name", cites.alias("cite")).groupBy("cite").agg(F.max_by("p_name", "p_partkey").alias("content"))
+    cites = F.explode(F.array(F.concat(article, F.lit(", Section "), F.col("section").cast("string")), article))
+    chunks = checkpointed(last.select("p_partkey", "p_name", cites.alias("cite")).groupBy("cite").agg(F.max_by("p_name", "p_partkey").alias("content")))
+    if chunks.limit(FEW_CITATIONS + 1).count() <= FEW_CITATIONS:
+        chunks = F.broadcast(chunks)
     exact, whole = chunks.select(F.col("cite").alias("citation"), F.col("content").alias("_exact")), chunks.select(F.col("cite").alias("_article"), F.col("content").alias("_whole"))
     pairs = pairs.withColumn("_article", F.concat(F.lit("Article "), F.regexp_extract("citation", r"Article\s+(\d+)", 1)))
     told = pairs.join(exact, "citation", "left").join(whole, "_article", "left").withColumn("cited_text", F.coalesce("_exact", "_whole")).filter("cited_text IS NOT NULL")
