@@ -23,9 +23,7 @@ def ancestry(versions: DataFrame) -> DataFrame:
 
     After k rounds all ancestors nearer than 2 ** k are known; the next round joins each of them to its own.
     """
-    known = versions.select("contract", F.col("version").alias("parent"))
-    steps = versions.filter("parent IS NOT NULL").select("contract", "version", "parent").join(known, ["contract", "parent"], "left_semi")
-    steps = steps.select("contract", "version", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
+    steps = _steps(versions).withColumn("distance", F.lit(1))
     # Each round stores what it adds and nothing else.
     last = checkpointed(versions.select("contract", "version", F.col("version").alias("ancestor"), F.lit(0).alias("distance")).unionByName(steps))
     reach = last
@@ -41,6 +39,34 @@ def ancestry(versions: DataFrame) -> DataFrame:
     raise ValueError("a version is its own ancestor")
 
 
+def _steps(versions: DataFrame) -> DataFrame:
+    """(contract, version, ancestor): each version's parent, where it is a version."""
+    known = versions.select("contract", F.col("version").alias("parent"))
+    steps = versions.filter("parent IS NOT NULL").select("contract", "version", "parent").join(known, ["contract", "parent"], "left_semi")
+    return steps.select("contract", "version", F.col("parent").alias("ancestor"))
+
+
+def lineage(versions: DataFrame, asked: DataFrame) -> DataFrame:
+    """(contract, version, ancestor, distance) as ``ancestry`` has it, of the versions asked for alone (contract, version).
+
+    A round doubles the length of all versions' leaps, a row each, and takes what is known of the asked ones by a leap further: no more
+    rows than versions are stored in a round, while all ancestors of all versions are as many as their depths add up to.
+    """
+    leaps = checkpointed(_steps(versions))
+    reach = asked.select("contract", "version", F.col("version").alias("ancestor"), F.lit(0).alias("distance"))
+    most = leaps.groupBy("contract").count().agg(F.max("count")).first()[0] or 0
+    for k in range(MOST_DOUBLINGS):
+        if leaps.isEmpty():
+            return reach
+        if most < 1 << k:  # a way of as many steps leaves as many versions
+            break
+        further = leaps.select("contract", F.col("version").alias("ancestor"), F.col("ancestor").alias("further"))
+        told = lambda df, *more: df.join(further, ["contract", "ancestor"]).select("contract", "version", F.col("further").alias("ancestor"), *more)  # noqa: B023, E731
+        reach = reach.unionByName(checkpointed(told(reach, (F.col("distance") + (1 << k)).alias("distance"))))
+        leaps = checkpointed(told(leaps))
+    raise ValueError("a version is its own ancestor")
+
+
 def together(df: DataFrame, by: str = "contract") -> DataFrame:
     """The rows of a contract in one partition of a set number, so that joins and groups by a contract and more move nothing again."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
@@ -61,8 +87,23 @@ def rows_at(ancestors: DataFrame, changes: DataFrame, base: DataFrame) -> DataFr
     every = together(reach.unionByName(farthest).unionByName(held(changes, F.col("version"), False)).unionByName(held(base, no.cast(kind), True)))
     named = F.collect_list(F.when(F.col("distance").isNull(), F.struct("target", "value"))).over(Window.partitionBy("contract", "ancestor", "_base"))
     told = every.withColumn("_named", named).filter("distance IS NOT NULL").select("contract", "version", "ancestor", "distance", F.explode("_named").alias("_n"))
-    near = told.groupBy("contract", "version", F.col("_n.target").alias("target")).agg(F.min_by(F.struct(F.col("ancestor").alias("from_version"), F.col("_n.value").alias("value")), "distance").alias("_c"))
-    return near.select("contract", "version", "target", "_c.value", "_c.from_version").filter("value IS NOT NULL")
+    return _nearest(told.select("contract", "version", "ancestor", "distance", "_n.*"), ["contract", "version", "target"])
+
+
+def rows_along(told: DataFrame, base: DataFrame) -> DataFrame:
+    """(contract, target, value, from_version): as ``rows_at``, for one version of each contract and the base's other contracts.
+
+    ``told``: contract, ancestor, distance, target, value: the version's ancestors with what they change.
+    """
+    no = F.lit(None).cast(told.schema["ancestor"].dataType)
+    farthest = base.select("contract", no.alias("ancestor"), F.lit((1 << 31) - 1).alias("distance"), "target", "value")
+    return _nearest(together(told.select(farthest.columns).unionByName(farthest)), ["contract", "target"])
+
+
+def _nearest(told: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, value, from_version of the nearest ancestor; without those that are taken away."""
+    near = told.groupBy(*keys).agg(F.min_by(F.struct(F.col("ancestor").alias("from_version"), F.col("value").alias("value")), "distance").alias("_c"))
+    return near.select(*keys, "_c.value", "_c.from_version").filter("value IS NOT NULL")
 
 
 def common_ancestors(ancestors: DataFrame, pairs: DataFrame) -> DataFrame:

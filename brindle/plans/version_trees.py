@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import version_tree as V
-from ..sources.tables import table
+from ..sources.tables import checkpointed, table
 from .registry import Registry
 
 registry = Registry()
@@ -20,13 +20,18 @@ def _versions(spark: SparkSession, sf: str) -> DataFrame:
     return o.withColumn("before", F.lag("version").over(w)).withColumn("parent", F.when((F.col("version") % 3 == 0) & back.isNotNull(), back).otherwise(F.col("before")))
 
 
-def _changes(spark: SparkSession, sf: str) -> DataFrame:
-    """An order's lines change the targets of their numbers; each thirteenth part takes its target away."""
+def _changes(spark: SparkSession, sf: str, owners: DataFrame | None = None) -> DataFrame:
+    """An order's lines change the targets of their numbers; each thirteenth part takes its target away.
+
+    ``owners``: contract and version of the changes asked for, and more columns to go with them; all orders without.
+    """
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("version"), F.col("l_linenumber").cast("bigint").alias("target"), "l_partkey")
     li = V.together(lines, "version").groupBy("version", "target").agg(F.min("l_partkey").alias("part"))
     value = F.when(F.col("part") % 13 != 0, F.col("part"))
-    owners = V.together(table(spark, sf, "orders").select(F.col("o_custkey").alias("contract"), F.col("o_orderkey").alias("version")), "version")
-    return li.join(owners, "version").select("contract", "version", "target", value.alias("value"))
+    if owners is None:
+        owners = table(spark, sf, "orders").select(F.col("o_custkey").alias("contract"), F.col("o_orderkey").alias("version"))
+    more = [c for c in owners.columns if c not in ("contract", "version")]
+    return li.join(V.together(owners, "version"), "version").select("contract", "version", "target", value.alias("value"), *more)
 
 
 def _base(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,8 +89,9 @@ SELECT contract, patch_id, op_no, target, CASE WHEN status = 'success' THEN sha2
 def patch_rebase(spark: SparkSession, sf: str) -> DataFrame:
     """Patches written for the base, made fit for the last version: hashes in force, who touched a row last, targets that are gone."""
     v = _versions(spark, sf)
-    last = v.groupBy("contract").agg(F.max_by("version", F.struct("day", "version")).alias("version"))
-    rows = V.rows_at(V.ancestry(v).join(last, ["contract", "version"], "left_semi"), _changes(spark, sf), _base(spark, sf))
+    last = checkpointed(v.groupBy("contract").agg(F.max_by("version", F.struct("day", "version")).alias("version")))
+    line = V.lineage(v, last).select("contract", F.col("ancestor").alias("version"), "distance")
+    rows = V.rows_along(_changes(spark, sf, line).withColumnRenamed("version", "ancestor"), _base(spark, sf))
     k, n = F.col("contract"), F.col("op_no")
     ops = last.select("contract", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(4).cast("bigint"))).alias("op_no")).join(table(spark, sf, "customer").select(F.col("c_custkey").alias("contract")), "contract")
     ops = ops.select("contract", (k * 10 + n % 2).alias("patch_id"), "op_no", F.when((k % 17 == 0) & (n == 4), 99).otherwise(n * 2 - 1).alias("target"), F.sha2((-(k * 10 + n * 2 - 1)).cast("string"), 256).alias("expected"))
